@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, simhash
+from . import decontaminate, mixing, secrets, simhash, toxicity
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +13,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": mixing.query, "op5_secrets": secrets.query, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_mixing": mixing.query,
+    "op5_secrets": secrets.query,
+    "op8_decontaminate": decontaminate.query,
+    "op9_toxicity": toxicity.query,
+    "op10_simhash": op10_simhash,
+}
 ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL}
