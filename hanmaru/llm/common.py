@@ -73,3 +73,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")).unionByName(
         pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )
+
+
+def likely_in(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> DataFrame:
+    """rows without most of those whose long `key` isn't among ids: a bitmap of 2**bits hash slots is sent out, so its size
+    is fixed. None that belongs is lost; a join has the last word."""
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
+    maps = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("page")).agg(F.bitmap_construct_agg(F.pmod(F.col("s"), F.lit(1 << 15))).alias("bitmap"))
+    test = "(cast(conv(hex(substring(bitmap__, cast(pmod(s__, 32768) as int) div 8 + 1, 1)), 16, 10) as int) >> cast(pmod(s__, 8) as int)) & 1 = 1"
+    some = rows.withColumn("s__", slot).join(F.broadcast(maps.select(F.col("page").alias("page__"), F.col("bitmap").alias("bitmap__"))), F.shiftright("s__", 15) == F.col("page__"))
+    return some.where(test).select(*rows.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, simhash, topk, toxicity
+from . import decontaminate, mixing, secrets, simhash, substrings, topk, toxicity
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +15,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_substrings": substrings.query,
     "op3_topk": topk.query,
     "op5_secrets": secrets.query,
     "op8_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash": op10_simhash,
 }
-ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op3_topk": topk.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL}
+ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op3_topk": topk.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL}
