@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 6000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -83,11 +85,6 @@ class Model:
             self.known[token] = own
         return own
 
-    def logit(self, row: tuple[int, int, list[tuple[str, int]], list[float]]) -> float:
-        """The classifier's value of a training row."""
-        z = self.bias + float(np.dot(self.patterns, row[3]))
-        return z + sum(self.present[i] + self.share[i] * scaled(c, row[1]) for s, c in row[2] if (i := self.index.get(s)) is not None)
-
     def score(self, text: str | None) -> float:
         text = text or ""
         n = addressed = 0
@@ -140,89 +137,91 @@ def label_model(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.nda
     return post, weight
 
 
-def fit(rows: list[tuple[int, int, list[tuple[str, int]], list[float]]]) -> Model:
-    """Model from rows (label, words, [(stem, count)], pattern values)."""
-    labels = np.array([r[0] for r in rows], float)
-    share = float(labels.mean()) if len(labels) else 0.0
+@dataclass
+class Sample:
+    """Labelled rows in flat arrays: entry k says that row[k] has stem[k] count[k] times."""
+
+    labels: np.ndarray
+    words: np.ndarray
+    patterns: np.ndarray
+    row: np.ndarray
+    stem: np.ndarray
+    count: np.ndarray
+
+    def part(self, keep: np.ndarray) -> Sample:
+        """The rows that keep marks."""
+        at = keep[self.row]
+        place = np.cumsum(keep) - 1
+        return Sample(self.labels[keep], self.words[keep], self.patterns[keep], place[self.row[at]], self.stem[at], self.count[at])
+
+
+def fit(data: Sample, chosen: list[str], voters: int) -> Model:
+    """Model over the chosen stems, the first `voters` of which vote as a lexicon."""
+    labels, size, rows = data.labels, len(chosen), len(data.labels)
+    share = float(labels.mean()) if rows else 0.0
     if not 0 < share < 1:
         return Model(bias=30.0 if share else -30.0)
-    n_words = np.array([max(1, r[1]) for r in rows], float)
-    in_docs: Counter[str] = Counter(s for r in rows for s, _ in r[2])
-    in_toxic: Counter[str] = Counter(s for r in rows if r[0] for s, _ in r[2])
-    pos, neg = labels.sum(), len(labels) - labels.sum()
-    found = [s for s, c in in_docs.items() if c >= 5]
-    a = np.array([in_toxic[s] for s in found], float) + 0.5
-    b = np.array([in_docs[s] - in_toxic[s] for s in found], float) + 0.5
-    z = (np.log(a / (pos + 1 - a + 0.5)) - np.log(b / (neg + 1 - b + 0.5))) / np.sqrt(1 / a + 1 / b)
-    order = sorted(range(len(found)), key=lambda i: (-z[i], found[i]))
-    lexicon = [found[i] for i in order[:MAX_VOTERS] if z[i] > 2]
-    tail = order[-MAX_STEMS // 4 :] if len(order) > MAX_STEMS else []
-    chosen = list(dict.fromkeys([found[i] for i in order[:MAX_STEMS] if z[i] > 0.5] + [found[i] for i in tail] + lexicon))
-    index = {s: i for i, s in enumerate(chosen)}
-
-    r_, f_, v_ = [], [], []
-    for i, r in enumerate(rows):
-        for s, c in r[2]:
-            if (k := index.get(s)) is not None:
-                r_.append(i)
-                f_.append(k)
-                v_.append(c)
-    r_, f_ = np.array(r_, np.int64), np.array(f_, np.int64)
-    x = scaled(np.array(v_, float), n_words[r_])
-    pats = np.array([r[3] for r in rows], float)
+    r, f = data.row, data.stem
+    x = scaled(data.count.astype(float), data.words[r])
+    pats = data.patterns
 
     votes = []
-    for s in lexicon:  # each lexicon voter's cut is the share that parts the labels best
-        at = f_ == index[s]
-        val = np.zeros(len(rows))
-        val[r_[at]] = x[at]
+    for k in range(voters):  # each lexicon voter's cut is the share that parts the labels best
+        at = f == k
+        val = np.zeros(rows)
+        val[r[at]] = x[at]
+        if not (val > 0).any():
+            continue
         cuts = np.unique(np.quantile(val[val > 0], (0, 0.25, 0.5, 0.75)))
         best = max(cuts, key=lambda c: labels[val >= c].sum() / (1 + (val >= c).sum()) * np.sqrt((val >= c).sum()))
         votes.append(np.where(val >= best, 1, 0))
-    seed = np.zeros(len(rows))
-    seed[[i for i, r in enumerate(rows) if any(s in SEEDS for s, _ in r[2])]] = 1
-    votes.append(seed)
+    seeds = np.array([s in SEEDS for s in chosen])
+    votes.append(np.where(np.bincount(r, weights=seeds[f], minlength=rows) > 0, 1, 0))
     for j, cut in enumerate((0.3, 0.2, 0.1, 0.02)):
         votes.append(np.where(pats[:, j] >= cut, 1, 0))
     votes.append(np.where(labels > 0, 1, -1))
-    post, _ = label_model(np.stack(votes, axis=1).astype(int))
+    post, _ = label_model(np.stack(votes, axis=1).astype(np.int8))
 
     # toxic rows are few: each counts so much more that both classes matter
     cost = 1 + post * (1 - share) / share
     # full-batch Adam on the logistic loss against the posterior, with a small ridge
-    size = len(chosen)
     w = np.zeros(2 * size + 4 + 1)
     w[-1] = np.log(share / (1 - share))
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, 301):
-        z = w[-1] + pats @ w[2 * size : -1] + np.bincount(r_, weights=w[f_] * x + w[size + f_], minlength=len(rows))
+    ridge = np.where(np.arange(len(w) - 1) < 2 * size, 2e-5, 2e-2)
+    for t in range(1, 251):
+        z = w[-1] + pats @ w[2 * size : -1] + np.bincount(r, weights=w[f] * x + w[size + f], minlength=rows)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post) * cost
-        e = err[r_]
-        g = np.concatenate([np.bincount(f_, weights=e * x, minlength=size), np.bincount(f_, weights=e, minlength=size), pats.T @ err, [err.sum()]]) / len(rows)
-        g[:-1] += np.where(np.arange(len(w) - 1) < 2 * size, 2e-5, 2e-2) * w[:-1]
+        e = err[r]
+        g = np.concatenate([np.bincount(f, weights=e * x, minlength=size), np.bincount(f, weights=e, minlength=size), pats.T @ err, [err.sum()]]) / rows
+        g[:-1] += ridge * w[:-1]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-    return Model(index, w[:size].copy(), w[size : 2 * size].copy(), w[2 * size : -1].copy(), float(w[-1]))
+    return Model({s: i for i, s in enumerate(chosen)}, w[:size].copy(), w[size : 2 * size].copy(), w[2 * size : -1].copy(), float(w[-1]))
 
 
-def cut_score(rows: list, folds: int = 2) -> float:
-    """The score that parts the labels best when each fold is scored by a model of the others (F, precision counting twice)."""
-    got = []
-    for k in range(folds):
-        model = fit([r for i, r in enumerate(rows) if i % folds != k])
-        got += [(model.logit(r), r[0]) for i, r in enumerate(rows) if i % folds == k]
-    z, y = np.array([g[0] for g in got]), np.array([g[1] for g in got])
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    best = int((1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * max(1, y.sum()))).argmax())
-    return float(z[order][best : best + 2].mean())
+def logits(model: Model, data: Sample) -> np.ndarray:
+    x = scaled(data.count.astype(float), data.words[data.row])
+    add = model.share[data.stem] * x + model.present[data.stem]
+    return model.bias + data.patterns @ model.patterns + np.bincount(data.row, weights=add, minlength=len(data.labels))
 
 
-def fit_calibrated(rows: list) -> Model:
-    """fit, with scores shifted so that the best cut is at one half."""
-    model = fit(rows)
-    if len({r[0] for r in rows}) == 2 and len(rows) >= 200:
-        model.bias -= cut_score(rows)
+def fit_calibrated(data: Sample, chosen: list[str], voters: int, folds: int = 2) -> Model:
+    """fit, with scores shifted so that one half is the cut that parts the labels best when each fold is scored by a model
+    of the others (F, precision counting twice)."""
+    model = fit(data, chosen, voters)
+    y = data.labels
+    if not 0 < y.mean() < 1 or len(y) < 200:
+        return model
+    z, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        part = data.part(fold != k)
+        if not 0 < part.labels.mean() < 1:
+            return model
+        z[fold == k] = logits(fit(part, chosen, voters), data.part(fold == k))
+    order = np.argsort(-z, kind="stable")
+    best = int((1.25 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + 0.25 * max(1, y.sum()))).argmax())
+    model.bias -= float(z[order][best : best + 2].mean())
     return model
 
 
@@ -239,31 +238,65 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .orderBy(F.xxhash64("id_"), "id_")
         .limit(max_labelled)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id_"), "text").join(F.broadcast(some), "id_").select("id_", "y", "text")
-    schema = "id_ long, y int, n int, stems array<struct<s:string,c:int>>, p array<double>"
-    arrow = pa.schema([("id_", pa.int64()), ("y", pa.int32()), ("n", pa.int32()), ("stems", pa.list_(pa.struct([("s", pa.string()), ("c", pa.int32())]))), ("p", pa.list_(pa.float64()))])
+    slim = docs.select(F.col("doc_id").cast("long").alias("id_"), "text")
+    texts = cut(slim.join(F.broadcast(some), "id_").select("id_", "y", "text"), "labelled")
+
+    def stem_counts(words: Counter[str]) -> Counter[str]:
+        got: Counter[str] = Counter()
+        for w, c in words.items():
+            for x in stems(w):
+                got[x] += c
+        return got
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_, toxic = Counter(), Counter()
+        for b in batches:
+            for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                own = stem_counts(count_words(t or "")).keys()
+                docs_.update(own)
+                if y:
+                    toxic.update(own)
+        names = list(docs_)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(docs_.values()), pa.int64()), pa.array([toxic[s] for s in names], pa.int64())], names=["s", "n", "k"])
+
+    size = dict(texts.groupBy("y").count().collect())
+    pos, neg = size.get(1, 0), size.get(0, 0)
+    if not pos or not neg:
+        return Model(bias=30.0 if pos else -30.0)
+    a, b = F.col("k") + 0.5, F.col("n") - F.col("k") + 0.5
+    z = (F.log(a / (F.lit(pos + 1.5) - a)) - F.log(b / (F.lit(neg + 1.5) - b))) / F.sqrt(1 / a + 1 / b)
+    ranked = texts.mapInArrow(count, "s string, n long, k long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n >= 5").withColumn("z", z)
+    ranked = cut(ranked, "stems")
+    top = ranked.where("z > 0.5").orderBy(F.desc("z"), "s").limit(MAX_STEMS).select("s", "z").collect()
+    low = ranked.orderBy("z", "s").limit(MAX_STEMS // 4).select("s").collect()
+    chosen = list(dict.fromkeys([x.s for x in top] + [x.s for x in low]))
+    voters = min(MAX_VOTERS, sum(x.z > 2 for x in top))
+    index = {s: i for i, s in enumerate(chosen)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            cols: list[list] = [[], [], [], [], [], []]
             for i, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                t = t or ""
-                words = count_words(t)
-                got: Counter[str] = Counter()
-                for w, c in words.items():
-                    for x in stems(w):
-                        got[x] += c
+                words = count_words(t or "")
                 n = sum(words.values())
-                p = pattern_values(t, n, sum(words[w] for w in ADDRESS))
-                out.append({"id_": i, "y": y, "n": n, "stems": [{"s": x, "c": c} for x, c in got.items()], "p": p})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    table = texts.mapInArrow(run, schema).toArrow().sort_by("id_")
-    rows = []
-    for part in table.to_batches(max_chunksize=500):
-        for r in part.to_pylist():
-            rows.append((r["y"], r["n"], [(x["s"], x["c"]) for x in r["stems"]], r["p"]))
-    return fit_calibrated(rows)
+                got = [(index[s], c) for s, c in stem_counts(words).items() if s in index]
+                p = pattern_values(t or "", n, sum(words[w] for w in ADDRESS))
+                for c, v in zip(cols, (i, y, n, [g[0] for g in got], [g[1] for g in got], p), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id_", "y", "n", "f", "c", "p"])
+
+    table = texts.mapInArrow(take, "id_ long, y int, n int, f array<int>, c array<int>, p array<double>").toArrow().sort_by("id_").combine_chunks()
+
+    def flat(name: str, kind: type) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+    lengths = np.diff(table["f"].combine_chunks().offsets.to_numpy())
+    sample = Sample(
+        table["y"].to_numpy().astype(float), np.maximum(1, table["n"].to_numpy().astype(float)), flat("p", float).reshape(-1, 4),
+        np.repeat(np.arange(len(lengths)), lengths), flat("f", np.int64), flat("c", np.int64),
+    )
+    return fit_calibrated(sample, chosen, voters)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
