@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lmscore, mixing, secrets, simhash, substrings, topk, toxicity
+from . import decontaminate, langid, lmscore, mixing, secrets, simhash, substrings, topk, toxicity
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_substrings": substrings.query,
     "op3_topk": topk.query,
     "op5_secrets": secrets.query,
+    "op6_langid": langid.query,
     "op7_lmscore": lmscore.query,
     "op8_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
