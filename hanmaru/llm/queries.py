@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lmscore, mixing, secrets, simhash, substrings, topk, toxicity
+from . import decontaminate, htmltext, langid, lmscore, mixing, secrets, simhash, substrings, topk, toxicity
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_mixing": mixing.query,
     "op2_substrings": substrings.query,
     "op3_topk": topk.query,
+    "op4_htmltext": htmltext.query,
     "op5_secrets": secrets.query,
     "op6_langid": langid.query,
     "op7_lmscore": lmscore.query,
