@@ -58,7 +58,7 @@ def matches(text: Column, kind: str, pattern: str, whole: str, value_group: int,
 
 
 def scan(docs: DataFrame, owner: str, repo: str) -> DataFrame:
-    """(doc_id, row, owner, repo, base, wide): spans of the base patterns and of the wide one. row numbers the documents."""
+    """(doc_id, text_hash, owner, repo, a, k, h, w): spans of the base patterns and of the wide one."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int,kind:string,value:string>>")
 
@@ -67,9 +67,9 @@ def scan(docs: DataFrame, owner: str, repo: str) -> DataFrame:
 
     t = F.col("t")
     return docs.select(
-        "doc_id", F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), text.alias("t")
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), text.alias("t")
     ).select(
-        "doc_id", "owner", "repo",
+        "doc_id", "text_hash", "owner", "repo",
         some(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{12}", matches(t, "assign", ASSIGN, ASSIGN, 2, 12)).alias("a"),
         some(r"AKIA[A-Z0-9]{14}", matches(t, "access", r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]{14,}", 0, 18)).alias("k"),
         some(r"[0-9a-f]{16}", matches(t, "hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16,}", 0, 16)).alias("h"),
@@ -84,7 +84,7 @@ def looks_live(value: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """(doc_id, base, spans): one row per document; base and spans are array<struct<s, o, e, kind>>, sorted by s and o.
+    """(doc_id, text_hash, base, spans): a row for each document; base and spans are array<struct<s, o, e, kind>>, sorted by s and o.
 
     owner and repo name the columns that tell whose a document is and what collection of theirs it is from.
     """
@@ -114,9 +114,9 @@ def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source", m
         return F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(order[kind]).alias("o"), x["e"].alias("e"), x["kind"].alias("kind")))
 
     base = F.array_sort(F.concat(plain("a", "assign"), plain("k", "access"), plain("h", "hex")))
-    slim = rows.select("row", "doc_id", base.alias("base"))
+    slim = rows.select("row", "doc_id", "text_hash", base.alias("base"))
     return slim.join(live, "row", "left").select(
-        "doc_id", "base", F.when(F.col("live").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "live"))).alias("spans")
+        "doc_id", "text_hash", "base", F.when(F.col("live").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "live"))).alias("spans")
     )
 
 
@@ -125,9 +125,31 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))))
 
 
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """text with each stretch that spans cover replaced by the mark; spans come sorted by start."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["s"] >= acc["at"]
+        gap = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), gap.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """docs with every span replaced by the mark, overlapping spans by one; n_chars follows the text. No row is lost."""
-    raise NotImplementedError
+    """docs with every span replaced by the mark, overlapping spans by one; n_chars follows the text. No row is lost.
+
+    Equal rows have equal spans, so spans are looked up by doc_id and the text's hash.
+    """
+    found = find_secrets(docs, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"), F.col("spans").alias("spans__"))
+    spans = found.dropDuplicates(["id__", "hash__"])
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["id__"]) & (F.xxhash64(docs["text"]) == spans["hash__"]), "left")
+    text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("spans__"), mark))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -139,4 +161,36 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-ORACLE_SQL = None
+def _sql_spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """SQL of (doc_id, source, s, o, e, kind, value) of one pattern's matches: gaps and matches add up to places."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, source, s, {order} AS o, e, '{kind}' AS kind, v AS value FROM (
+    SELECT doc_id, source, v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+      CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS e
+    FROM (SELECT doc_id, source, m, g, unnest(vs) AS v, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, source, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS g
+      FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)) WHERE len(m) > 0)) WHERE length(v) >= {least}"""
+
+
+ORACLE_SQL = (
+    "WITH b AS ("
+    + " UNION ALL ".join(
+        _sql_spans(*x)
+        for x in (("assign", 0, ASSIGN, 2, 12), ("access", 1, ACCESS, 0, 18), ("hex", 2, HEX, 0, 16), ("wide", 9, WIDE, 0, 24))
+    )
+    + f"""),
+c AS (SELECT *, coalesce(source, chr(1)) AS owner FROM b
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{PLACEHOLDER}')
+    AND len(list_distinct(string_split(value, ''))) >= {LEAST_DISTINCT}),
+n AS (SELECT value FROM c GROUP BY value HAVING count(DISTINCT owner) <= {MAX_OWNERS}),
+l AS (SELECT DISTINCT doc_id, s, 3 AS o, e, 'live' AS kind FROM c SEMI JOIN n ON c.value = n.value),
+a AS (SELECT doc_id, s, o, e, kind FROM b WHERE o < 9 UNION ALL SELECT * FROM l),
+j AS (SELECT doc_id,
+    string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, o, e) FILTER (WHERE o < 3) AS base,
+    string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, o, e) AS spans,
+    count(*) FILTER (WHERE o = 0) AS n0, count(*) FILTER (WHERE o = 1) AS n1, count(*) FILTER (WHERE o = 2) AS n2 FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id
+"""
+)

@@ -312,6 +312,17 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return kept.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: Model, cut_off: float = 0.5) -> DataFrame:
+    """docs without those that score cut_off or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text"))
+            yield b.filter(pa.array([model.score(t.as_py()) < cut_off for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
