@@ -210,7 +210,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     found = cut(docs.select("id", "text").mapInArrow(scan, "shard long, seg long, id long, at long, digest string"), "segments")
     whole = found.where("digest is not null").select("id", F.col("at").alias("n_words"), "digest")
     every = found.where("digest is null").drop("digest")
-    shared = every.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    # written apart, so that the join deals both sides itself and can split a shard that very many documents share
+    shared = cut(every.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard"), "shared_shards")
     held = cut(every.join(shared, "shard"), "repeated_segments")
 
     # distinct segments with the place of their first occurrence, and their words from there
