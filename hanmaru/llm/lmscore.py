@@ -1,14 +1,15 @@
 """Language-model scoring by online logistic context mixing.
 
 A text's bytes are predicted bit by bit. Five predictors look up how often either bit followed a hashed context (the last
-1, 2, 3, 4 and 6 bytes and the bits so far of this byte). Their stretched probabilities are combined by weights that a gate
+1, 2, 3, 4 and 5 bytes and the bits so far of this byte). Their stretched probabilities are combined by weights that a gate
 selects: the bit's place and the longest context seen before. The weights learn online, and an adaptive table refines the
 mixed probability by the bits so far. A text's score is the log10 probability of all its bits.
 
-Everything is gathered from all training texts. One pass counts bits by context into tables of fixed size, a second runs
-the online mixing over every training text, each occurrence left out of its own counts, and averages the tasks' weights.
-Tables are summed up in trees of bounded fan-in. Equal stretches of seven bytes predict alike, so each batch computes its
-distinct ones once. Scoring itself doesn't learn, so scores depend neither on order nor on partitioning.
+Everything is gathered from all training texts, in one pass over them that keeps the words' counts and the distinct
+stretches with theirs. Bits are counted by context into tables of fixed size; then the online mixing runs over every
+stretch, each occurrence left out of its own counts, and the tasks' weights are averaged.
+Tables are summed up in trees of bounded fan-in. Equal stretches of six bytes predict alike, so distinct
+ones are counted, learned and scored once. Scoring itself doesn't learn, so scores depend neither on order nor on partitioning.
 
 Beside it stands the base: add-one word probabilities from the word counts of all training texts. Only the most frequent
 words (at most FREQUENT_WORDS) are sent out; the rest are joined.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 4, 5)
 #: log2 of each predictor's table size.
 TABLE_BITS = (16, 18, 20, 21, 22)
 #: Slots in one row of a table that is being summed up.
@@ -59,7 +60,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def grams(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each byte with the six before it, place where each line starts); lines start from six zero bytes."""
+    """(key of each byte with the five before it, place where each line starts); lines start from zero bytes."""
     width = max(ORDERS)
     raw = np.frombuffer(b"".join(b"\0" * width + x for x in lines), np.uint8).astype(np.uint64)
     key = np.zeros(len(raw) - width, np.uint64)
@@ -136,8 +137,11 @@ class Mixer:
                 self.refine[:, 0] += np.bincount(b, weights=n * bit, minlength=len(self.refine))
                 self.refine[:, 1] += np.bincount(b, weights=n, minlength=len(self.refine))
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
+    def log10(self, keys: np.ndarray, batch: int = 1 << 16) -> np.ndarray:
         """log10 probability of each key's last byte after those before it."""
+        return np.concatenate([self._log10(keys[a : a + batch]) for a in range(0, len(keys), batch)] or [np.zeros(0)])
+
+    def _log10(self, keys: np.ndarray) -> np.ndarray:
         total = np.zeros(len(keys))
         grid = 1 / (1 + np.exp(-(np.arange(256 * BUCKETS) % BUCKETS - 16) / 2.0))
         table = (self.refine[:, 0] + 40 * grid) / (self.refine[:, 1] + 40)
@@ -151,6 +155,29 @@ class Mixer:
         return total
 
 
+class Known:
+    """log10 probabilities of keys that a task has met, as most recur."""
+
+    def __init__(self, model: Mixer, most: int = 2_500_000) -> None:
+        self.model, self.most = model, most
+        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros(0)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        hit[inside] = self.keys[at[inside]] == keys[inside]
+        out = np.empty(len(keys))
+        out[hit] = self.logs[at[hit]]
+        fresh = keys[~hit]
+        out[~hit] = new = self.model.log10(fresh)
+        if len(self.keys) + len(fresh) <= self.most:
+            merged = np.concatenate((self.keys, fresh))
+            order = np.argsort(merged, kind="stable")
+            self.keys, self.logs = merged[order], np.concatenate((self.logs, new))[order]
+        return out
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[int], pa.RecordBatch, bool]]:
     """(lines, their rows, the batch, whether it ends here): lines of about CHUNK bytes."""
     for b in batches:
@@ -176,7 +203,7 @@ class Distinct:
         codes, found = pd.factorize(keys)
         self.parts.append((found, np.bincount(codes, minlength=len(found))))
         self.held += len(found)
-        if self.held > 3_000_000:
+        if self.held > 2_000_000:
             self.parts = [self.take()]
             self.held = len(self.parts[0][0])
 
@@ -225,29 +252,75 @@ def task_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def bit_counts(texts: DataFrame) -> list[np.ndarray]:
-    """The tables, counted over all texts."""
+def gathered(texts: DataFrame) -> DataFrame:
+    """One pass over texts: rows (word, c) of words counted task by task, the end as the empty word, and rows with a payload
+    of distinct keys and how often each occurred."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[bytes] = Counter()
         seen = Distinct()
+
+        def word_rows() -> pa.RecordBatch:
+            names = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(words.values(), pa.int64()), pa.nulls(len(names), pa.binary())], names=["word", "c", "payload"])
+
+        def key_rows() -> pa.RecordBatch:
+            keys, count = seen.take()
+            order = np.argsort(keys)
+            keys, count = keys[order], count[order]
+            parts = [packed_keys(keys[i : i + 250_000], count[i : i + 250_000]) for i in range(0, len(keys), 250_000)]
+            n = len(parts)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary())], names=["word", "c", "payload"])
+
         for lines, _, _, _ in chunks(batches, 0):
+            for line in lines:
+                words.update(line.split())
+            words[END.encode()] += len(lines)
             if lines:
                 seen.add(grams(lines)[0])
-        keys, count = seen.take()
-        if not len(keys):
-            return
-        tables = [np.zeros((1 << b) * 2) for b in TABLE_BITS]
-        for _, bit, at in slots(keys):
-            for t, s in zip(tables, at, strict=True):
-                t += np.bincount(s * 2 + bit, weights=count, minlength=len(t))
+            if len(words) > 400_000:
+                yield word_rows()
+                words = Counter()
+            if seen.held > 1_500_000 and len(seen.parts) == 1:
+                yield key_rows()
+                seen = Distinct()
+        if words:
+            yield word_rows()
+        if seen.parts:
+            yield key_rows()
+
+    return cut(texts.select("text").mapInArrow(run, "word string, c long, payload binary"), "gathered")
+
+
+def packed_keys(keys: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + count.astype(np.uint32).tobytes(), 1)
+
+
+def unpacked_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw[: 8 * n], np.uint64)), np.frombuffer(raw[8 * n :], np.uint32).astype(np.int64)
+
+
+def bit_counts(rows: DataFrame) -> list[np.ndarray]:
+    """The tables, counted over all keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros((1 << b) * 2, np.uint32) for b in TABLE_BITS]
+        for b in batches:
+            for data in b.column(0):
+                keys, count = unpacked_keys(data.as_py())
+                for _, bit, at in slots(keys):
+                    for t, s in zip(tables, at, strict=True):
+                        np.add.at(t, s * 2 + bit, count.astype(np.uint32))
         for p, t in enumerate(tables):
-            dense = t.reshape(-1, ROW_SLOTS * 2)
-            rows = [packed(p, r, x) for r, x in enumerate(dense) if x.any()]
-            if rows:
-                yield emit(rows, task_id())
+            found = [packed(p, r, x) for r, x in enumerate(t.reshape(-1, ROW_SLOTS * 2)) if x.any()]
+            if found:
+                yield emit(found, task_id())
 
     tables = [np.zeros((1 << b, 2), np.float32) for b in TABLE_BITS]
-    for r in summed(texts.select("text").mapInArrow(run, ROWS)).toLocalIterator():
+    for r in summed(cut(rows.mapInArrow(run, ROWS), "bit_counts")).toLocalIterator():
         tables[r.part][r.row * ROW_SLOTS : (r.row + 1) * ROW_SLOTS] = np.frombuffer(zlib.decompress(r.payload), np.uint32).reshape(-1, 2)
     return tables
 
@@ -267,33 +340,30 @@ def unship(data: bytes) -> list[np.ndarray]:
     return [flat[e - (2 << b) : e].reshape(-1, 2) for e, b in zip(ends, TABLE_BITS, strict=True)]
 
 
-def train(texts: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(tables, weights, refinement) from all texts."""
-    spark = texts.sparkSession
-    data = ship(bit_counts(texts))
-    sent = spark.sparkContext.broadcast(data)
+def train(rows: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(tables, weights, refinement) from rows of keys."""
+    data = ship(bit_counts(rows))
+    sent = rows.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Mixer(unship(sent.value))
+        model = None
         mass = 0
-        seen = Distinct()
-        for lines, _, _, _ in chunks(batches, 0):
-            if lines:
-                keys = grams(lines)[0]
-                seen.add(keys)
-                mass += len(keys)
-        keys, count = seen.take()
-        if not len(keys):
+        for b in batches:
+            for payload in b.column(0):
+                model = model or Mixer(unship(sent.value))
+                keys, count = unpacked_keys(payload.as_py())
+                mass += int(count.sum())
+                order = np.argsort(scrambled(keys), kind="stable")
+                model.learn(keys[order], count[order])
+        if model is None:
             return
-        order = np.argsort(scrambled(keys), kind="stable")
-        model.learn(keys[order], count[order])
         weights = np.concatenate((model.weights * mass, np.full((GATES, 1), mass)), axis=1)
-        rows = [packed(-1, g, w) for g, w in enumerate(weights)]
-        rows += [packed(-2, g, w) for g, w in enumerate(model.refine.reshape(256, -1))]
-        yield emit(rows, task_id())
+        found = [packed(-1, g, w) for g, w in enumerate(weights)]
+        found += [packed(-2, g, w) for g, w in enumerate(model.refine.reshape(256, -1))]
+        yield emit(found, task_id())
 
     mixer = Mixer([])
-    for r in summed(texts.select("text").mapInArrow(run, ROWS)).toLocalIterator():
+    for r in summed(cut(rows.mapInArrow(run, ROWS), "weights")).toLocalIterator():
         x = np.frombuffer(zlib.decompress(r.payload), np.float64)
         if r.part == -1:
             mixer.weights[r.row] = x[:-1] / x[-1]
@@ -302,28 +372,6 @@ def train(texts: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, mixer.weights, mixer.refine
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts, the end as the empty word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
-
-        for b in batches:
-            for t in b.column(0):
-                seen.update(words_of(t.as_py()))
-            seen[END.encode()] += b.num_rows
-            if len(seen) > 500_000:
-                yield out()
-                seen = Counter()
-        if seen:
-            yield out()
-
-    return cut(texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "word_counts")
-
-
 def frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes, int]:
     """The most frequent words, at most `most`: all words at least as frequent as some power of 2^(1/8)."""
     size = F.floor(F.log2(F.col("c").cast("double")) * 8)
@@ -343,24 +391,26 @@ def score(docs: DataFrame, training: Callable[[Column], Column] = lambda d: ~hel
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = slim.where(training(F.col("doc_id"))).select("text")
-    counts = word_counts(texts)
+    gathered_rows = gathered(texts)
+    counts = cut(gathered_rows.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "word_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     z = total + 1 * (distinct + 1)
     known = spark.sparkContext.broadcast(frequent(counts))
-    data, weights, refine = train(texts)
+    data, weights, refine = train(gathered_rows.where("payload is not null").select("payload"))
     model_data = spark.sparkContext.broadcast(data)
     logs = {"z": float(np.log10(z))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Mixer(unship(model_data.value))
         model.weights, model.refine = weights, refine
+        known_logs = Known(model)
         table, lz, row = known.value, logs["z"], task_id() << 40
         for lines, at, b, _ in chunks(batches, 1):
             if not lines:
                 continue
             keys, starts = grams(lines)
             codes, found = pd.factorize(keys)
-            scores = np.add.reduceat(model.log10(found)[codes], starts)
+            scores = np.add.reduceat(known_logs(found)[codes], starts)
             ids = b.column(0).take(pa.array(at)).to_pylist()
             cols: list[list] = [[] for _ in range(8)]
             for i, line, s in zip(ids, lines, scores.tolist(), strict=True):
