@@ -10,7 +10,7 @@ candidates and refuses tables beyond its bound, for which the joins of the batch
 
 from __future__ import annotations
 
-import pickle
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,6 +55,18 @@ class Session:
     armed_at: float | None = None
     suppressed_at: float | None = None
 
+    def dump(self) -> str:
+        """The state as JSON, which the state store keeps."""
+        keyed = lambda d: [[*k, v] for k, v in d.items()]
+        c = self.composer
+        return json.dumps([self.mode, [c.lead, c.vowel, c.tail], self.clause, keyed(self.locks), keyed(self.pending), self.selected, self.armed_at, self.suppressed_at])
+
+    @classmethod
+    def load(cls, text: str) -> "Session":
+        mode, jamo, clause, locks, pending, selected, armed, suppressed = json.loads(text)
+        keyed = lambda rows: {(at, surface): v for at, surface, v in rows}
+        return cls(mode, Composer(*jamo), clause, keyed(locks), keyed(pending), selected, armed, suppressed)
+
     def source(self) -> str:
         return self.clause + self.composer.shown()
 
@@ -204,14 +216,14 @@ def run_stream(events: DataFrame, lookup: Lookup, idle: str = "NoTimeout") -> Da
     """Rows of a stream of events, sessions kept between micro-batches. Arrival order is the only order."""
 
     def one(key, batches, state):
-        session = pickle.loads(state.get[0]) if state.exists else Session()
+        session = Session.load(state.get[0]) if state.exists else Session()
         frames = list(batches)
         events = pd.concat(frames) if frames else pd.DataFrame(columns=["client_id", "seq", "ts", "action", "text"])
         out = replay(session, events, lookup)
-        state.update((pickle.dumps(session),))
+        state.update((session.dump(),))
         yield out
 
-    return events.groupBy("client_id").applyInPandasWithState(one, OUTPUT, "session binary", "append", idle)
+    return events.groupBy("client_id").applyInPandasWithState(one, OUTPUT, "session string", "append", idle)
 
 
 def usage_events(rows: DataFrame) -> DataFrame:
