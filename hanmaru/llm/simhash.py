@@ -236,20 +236,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Documents without their near-duplicates: of each component the document of the smallest doc_id stays.
 
-    Repeated rows of that document count as copies of it. A component in which no document has an id keeps one of them.
+    Repeated rows of that document count as copies of it. Where no document of a component has an id, one of each fingerprint stays.
     """
     found = near_duplicates(docs, radius)
     ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")
     if nameless.limit(1).count():
-        marked = found.where("component_id is null").select("fp").distinct()
-        own = fingerprints_with_text(nameless).join(marked, "fp", "left_semi").dropDuplicates(["fp"]).drop("fp")
+        marked = found.where("component_id is null").select(F.col("fp").alias("fp__")).distinct()
+        own = fingerprints_with_text(nameless).join(marked, "fp__", "left_semi").dropDuplicates(["fp__"])
         kept = kept.unionByName(own.select(*docs.columns))
     return kept.select(*docs.columns)
 
 
 def fingerprints_with_text(docs: DataFrame) -> DataFrame:
-    """docs with the column fp added, for the few rows that have no id to join on."""
+    """docs with the column fp__ added, for the few rows that have no id to join on."""
     fp = F.udf(lambda t: int(np.array([fingerprint(t)], np.uint64).view(np.int64)[0]), "long")
-    return docs.withColumn("fp", fp("text"))
+    return docs.withColumn("fp__", fp("text"))

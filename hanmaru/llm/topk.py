@@ -33,7 +33,12 @@ EXACT_SUM = 2.0**52
 def quantised(x: Column, scale: int = SCALE) -> Column:
     """floor(scale * component), for vectors whose components are all finite; null for others."""
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    return F.when(x.isNotNull() & fine, F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("double")))
+
+    def whole(c: Column) -> Column:  # floor gives a long, which numbers that are whole anyway may not fit
+        y = F.lit(scale) * c.cast("double")
+        return F.when(F.abs(y) < EXACT_SUM, F.floor(y).cast("double")).otherwise(y)
+
+    return F.when(x.isNotNull() & fine, F.transform(x, whole))
 
 
 class VectorBlock:
@@ -65,6 +70,7 @@ class VectorBlock:
         pos, neg = np.maximum(queries, 0), np.minimum(queries, 0)
         slack = 1e-9 * (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-6
         upper, lower = pos @ high.T + neg @ low.T + slack, pos @ low.T + neg @ high.T - slack
+        upper, lower = np.clip(upper, -(2.0**63), 2.0**63), np.clip(lower, -(2.0**63), 2.0**63)  # as scores are
         mine = own[:, None] == self.ids[None, :]
         upper[mine] = lower[mine] = -np.inf
         n = len(self.ids)
@@ -78,7 +84,7 @@ class VectorBlock:
                     break  # no vector further on can reach the k-th
                 some = at[s : s + 32]
                 kept, got = np.concatenate((kept, some)), np.concatenate((got, self.scores(q, some)))
-                best = np.lexsort((self.ids[kept], -got))[:k]
+                best = np.lexsort((self.ids[kept], ~got))[:k]  # ~ turns the order round and can't overflow
                 kept, got = kept[best], got[best]
             yield i, self.ids[kept], got
 
