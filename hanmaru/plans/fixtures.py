@@ -19,6 +19,7 @@ from ..operators import targets as A
 from ..operators import usage as U
 from ..operators import userdict as D
 from ..sources import stores as R
+from ..streaming import ranges as H
 from ..streaming import session as X
 from .queries import ORACLE, QUERIES
 
@@ -359,3 +360,27 @@ def session_events(spark: SparkSession) -> DataFrame:
 )
 def session_state_machine(spark: SparkSession) -> DataFrame:
     return X.run_batch(session_events(spark), SESSION_LOOKUP).where("kind not in ('mark', 'mode', 'selected')").select("client_id", "kind", "text", "value")
+
+
+@expects(
+    "client_id string, mode string, loc long, len long",
+    [("begin", "initial-selection", 4, 2), ("begin twice", "initial-selection", 4, 2), ("marked", "client-marked", 3, 1), ("lost", "implicit", -1, -1), ("inserted", "initial-selection", 7, 0), ("cleared", "initial-selection", 8, 0), ("finished", "none", -1, -1), ("unknown place", "implicit", -1, -1)],
+)
+def range_states(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("begin", 0, "begin", 4, 2, 0), ("begin twice", 0, "begin", 4, 2, 0), ("begin twice", 1, "begin", 9, 9, 0), ("marked", 0, "sync", 3, 1, 0), ("lost", 0, "sync", 3, 1, 0), ("lost", 1, "sync", None, 0, 0),
+        ("inserted", 0, "insert", 5, 1, 2), ("cleared", 0, "sync", 8, 2, 0), ("cleared", 1, "clear", None, None, 0), ("finished", 0, "begin", 1, 0, 0), ("finished", 1, "finish", None, None, 0), ("unknown place", 0, "insert", None, 0, 2),
+    ]
+    got = H.range_states(spark.createDataFrame(rows, "client_id string, seq long, kind string, loc long, len long, text_len long"))
+    none = F.lit(-1).cast("long")
+    return got.select("client_id", "mode", F.coalesce("loc", none).alias("loc"), F.coalesce("len", none).alias("len"))
+
+
+@expects("case string, ranges string, moved boolean", [("all", "9+0,3+2,1+4", True), ("repeats", "9+0", False), ("nothing marked", "9+0,1+4", False)])
+def anchor_range_order(spark: SparkSession) -> DataFrame:
+    kind = "struct<loc:bigint,len:bigint>"
+    rows = [("all", (9, 0), (3, 2), (1, 4), (9, 0), (5, 2)), ("repeats", (9, 0), (9, 0), (9, 0), (9, 0), (9, 0)), ("nothing marked", (9, 0), (3, 0), (1, 4), (None, 0), (3, 0))]
+    df = spark.createDataFrame(rows, f"case string, a {kind}, m {kind}, r {kind}, s {kind}, h {kind}")
+    shown = F.array_join(F.transform(H.anchor_ranges(*[F.col(c) for c in "amrs"]), lambda r: F.concat_ws("+", r["loc"].cast("string"), r["len"].cast("string"))), ",")
+    moved = H.host_moved(F.lit(True), F.lit("x"), F.col("m.loc"), F.col("m.len"), F.col("h.loc"), F.col("h.len"))
+    return df.select("case", shown.alias("ranges"), moved.alias("moved"))

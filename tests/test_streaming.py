@@ -48,3 +48,16 @@ def test_commit_marks_and_cancel():
     assert s.preview(SESSION_LOOKUP) == "漢國"
     assert list(s.commit(SESSION_LOOKUP)) == [("insert", "漢國", None), ("usage", "한국", "漢國")]
     assert list(s.commit(SESSION_LOOKUP)) == []
+
+
+def test_usage_writer_is_idempotent(spark, tmp_path):
+    from datetime import datetime
+
+    from hanmaru.streaming import usage as W
+
+    t = datetime(2024, 1, 1)
+    batch = spark.createDataFrame([(1, "한자", "漢字", t), (2, "한자", "漢字", t)], "seq long, lookup_key string, value string, ts timestamp")
+    write = W.writer(str(tmp_path / "usage"))
+    for k in (0, 1, 1):  # the last batch is run again
+        write(batch, k)
+    assert [(r.value, r["count"]) for r in W.latest(spark, str(tmp_path / "usage")).collect()] == [("漢字", 4)]
