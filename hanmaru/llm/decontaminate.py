@@ -2,7 +2,8 @@
 
 A test item within k edits of some stretch of a document, cut into k + 1 pieces, has a piece that occurs there exactly.
 All pieces of a block of items go into one Aho-Corasick automaton; every hit names a stretch of the document, which is
-verified with Myers' bit-parallel edit distance over the whole item. Items and texts are compared in lower case with runs
+verified with Myers' bit-parallel edit distance over the whole item, unless too few of the item's grams occur in it for any
+distance within k. Items and texts are compared in lower case with runs
 of white space as one space.
 
 Items are a query set in blocks: a block has at most BLOCK_CHARS characters, which bounds what executors receive; a larger
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of an item's characters that may differ.
-ERROR_RATE = 0.06
+ERROR_RATE = 0.08
 #: Shorter items are matched exactly.
 MIN_CHARS = 40
+#: Length of the grams by which a stretch is ruled out before its distance is taken.
+GRAM = 5
 #: Most characters of items in one block.
 BLOCK_CHARS = 4_000_000
 
@@ -54,6 +57,13 @@ class Pattern:
         self.masks: dict[str, int] = {}
         for i, c in enumerate(item):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
+        self.grams = [item[i : i + GRAM] for i in range(self.size - GRAM + 1)]
+
+    def possible(self, text: str, k: int) -> bool:
+        """Whether k edits can turn a stretch of text into the item: an edit spoils at most GRAM of the item's grams, so all
+        others must occur in text."""
+        need = len(self.grams) - GRAM * k
+        return need <= 0 or sum(map({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}.__contains__, self.grams)) >= need
 
     def best(self, text: str, k: int) -> tuple[int, int] | None:
         """(distance, end) of the stretch of text nearest to the item, the earliest among equals; None beyond k edits."""
@@ -117,7 +127,8 @@ class Matcher:
                 if pattern is None:
                     pattern = self.patterns[at] = Pattern(self.items[at][1])
                 lo = max(0, begin - 2 * k)
-                hit = pattern.best(line[lo : begin + pattern.size + 2 * k], k)
+                stretch = line[lo : begin + pattern.size + 2 * k]
+                hit = pattern.best(stretch, k) if pattern.possible(stretch, k) else None
                 if hit and (got is None or hit[0] < got[0]):
                     end = lo + hit[1]
                     found[at] = (hit[0], max(0, end - pattern.size), end)
