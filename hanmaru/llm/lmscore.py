@@ -43,7 +43,7 @@ ROW_SLOTS = 1 << 14
 #: Rows that one step of the summing tree adds.
 FAN_IN = 64
 #: Bytes of text that are worked on at once.
-CHUNK = 5_000_000
+CHUNK = 1_500_000
 FREQUENT_WORDS = 150_000
 GATES = 8 * (len(ORDERS) + 1)
 INPUTS = len(ORDERS) + 1
@@ -62,14 +62,15 @@ def words_of(text: str | None) -> list[bytes]:
 def grams(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(key of each byte with the five before it, place where each line starts); lines start from zero bytes."""
     width = max(ORDERS)
-    raw = np.frombuffer(b"".join(b"\0" * width + x for x in lines), np.uint8).astype(np.uint64)
-    key = np.zeros(len(raw) - width, np.uint64)
-    for k in range(width + 1):
-        key |= raw[k : len(raw) - width + k] << np.uint64(8 * (width - k))
+    x = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(lines)) * width, sizes)
-    return key[at], starts
+    key = x.copy()
+    for k in range(1, width + 1):
+        key[k:] |= x[:-k] << np.uint64(8 * k)
+    for j in range(width):  # what stands before a line's start doesn't count
+        key[starts[sizes > j] + j] &= np.uint64((1 << 8 * (j + 1)) - 1)
+    return key, starts
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -137,28 +138,46 @@ class Mixer:
                 self.refine[:, 0] += np.bincount(b, weights=n * bit, minlength=len(self.refine))
                 self.refine[:, 1] += np.bincount(b, weights=n, minlength=len(self.refine))
 
-    def log10(self, keys: np.ndarray, batch: int = 1 << 16) -> np.ndarray:
+    def freeze(self) -> None:
+        """Turns counts into stretched predictions for scoring, which take a quarter of the room; 0 stands for unseen."""
+        self.stretched = []
+        for t in self.tables:
+            n0, n1 = t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)
+            x = np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12)
+            x[(x == 0) & (n0 + n1 > 0)] = 1e-4
+            self.stretched.append(x.astype(np.float16))
+        self.tables = []
+        grid = 1 / (1 + np.exp(-(np.arange(256 * BUCKETS) % BUCKETS - 16) / 2.0))
+        self.refined = ((self.refine[:, 0] + 40 * grid) / (self.refine[:, 1] + 40)).astype(np.float32)
+
+    def log10(self, keys: np.ndarray, batch: int = 1 << 15) -> np.ndarray:
         """log10 probability of each key's last byte after those before it."""
         return np.concatenate([self._log10(keys[a : a + batch]) for a in range(0, len(keys), batch)] or [np.zeros(0)])
 
     def _log10(self, keys: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(keys))
-        grid = 1 / (1 + np.exp(-(np.arange(256 * BUCKETS) % BUCKETS - 16) / 2.0))
-        table = (self.refine[:, 0] + 40 * grid) / (self.refine[:, 1] + 40)
+        weights = self.weights.astype(np.float32)
+        total = np.ones(len(keys))
         for place, bit, at in slots(keys):
-            x, gate = self.inputs(place, bit, at, False)
-            z = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -16, 16)
-            p = 1 / (1 + np.exp(-z))
+            x = [t[s].astype(np.float32) for t, s in zip(self.stretched, at, strict=True)]
+            gate = np.zeros(len(keys), np.int64)
+            for i, v in enumerate(x):
+                gate[v != 0] = i + 1
+            gate = gate * 8 + place
+            z = weights[:, -1][gate] * np.float32(0.3)
+            for i, v in enumerate(x):
+                z += weights[:, i][gate] * v
+            np.clip(z, -16, 16, out=z)
             prefix = (1 << place) | ((keys & np.uint64(255)) >> np.uint64(8 - place)).astype(np.int64)
-            p = np.clip((p + table[self.bucket(z, prefix)]) / 2, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
+            p = (1 / (1 + np.exp(-z)) + self.refined[self.bucket(z, prefix)]) / 2
+            p = np.clip(p, 1e-6, 1 - 1e-6)
+            total *= np.where(bit == 1, p, 1 - p)
+        return np.log10(total)
 
 
 class Known:
     """log10 probabilities of keys that a task has met, as most recur."""
 
-    def __init__(self, model: Mixer, most: int = 2_500_000) -> None:
+    def __init__(self, model: Mixer, most: int = 2_000_000) -> None:
         self.model, self.most = model, most
         self.keys, self.logs = np.zeros(0, np.uint64), np.zeros(0)
 
@@ -172,9 +191,9 @@ class Known:
         fresh = keys[~hit]
         out[~hit] = new = self.model.log10(fresh)
         if len(self.keys) + len(fresh) <= self.most:
-            merged = np.concatenate((self.keys, fresh))
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.logs = merged[order], np.concatenate((self.logs, new))[order]
+            order = np.argsort(fresh)
+            place = at[~hit][order]
+            self.keys, self.logs = np.insert(self.keys, place, fresh[order]), np.insert(self.logs, place, new[order])
         return out
 
 
@@ -403,8 +422,10 @@ def score(docs: DataFrame, training: Callable[[Column], Column] = lambda d: ~hel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Mixer(unship(model_data.value))
         model.weights, model.refine = weights, refine
+        model.freeze()
         known_logs = Known(model)
-        table, lz, row = known.value, logs["z"], task_id() << 40
+        lz, row = logs["z"], task_id() << 40
+        table = {w: float(np.log10(c + 1)) - lz for w, c in known.value.items()}
         for lines, at, b, _ in chunks(batches, 1):
             if not lines:
                 continue
@@ -412,28 +433,33 @@ def score(docs: DataFrame, training: Callable[[Column], Column] = lambda d: ~hel
             codes, found = pd.factorize(keys)
             scores = np.add.reduceat(known_logs(found)[codes], starts)
             ids = b.column(0).take(pa.array(at)).to_pylist()
-            cols: list[list] = [[] for _ in range(8)]
+            docs_: list[list] = [[] for _ in range(7)]
+            rare: list[list] = [[], [], []]
             for i, line, s in zip(ids, lines, scores.tolist(), strict=True):
                 words = Counter(line.split())
                 words[END.encode()] = 1
-                n = sum(words.values())
-                base, hits, rare = 0.0, 0, []
+                base, hits = 0.0, 0
                 for w, k in words.items():
-                    c = table.get(w)
-                    if c is None:
-                        rare.append((w, k))
+                    x = table.get(w)
+                    if x is None:
+                        rare[0].append(row)
+                        rare[1].append(w)
+                        rare[2].append(k)
                     else:
                         hits += k
-                        base += k * (np.log10(c + 1) - lz)
-                for c, x in zip(cols, (row, i, None, n, hits, base, s, len(line)), strict=True):
+                        base += k * x
+                for c, x in zip(docs_, (row, i, words.total(), hits, base, s, len(line)), strict=True):
                     c.append(x)
-                for w, k in rare:
-                    for c, x in zip(cols, (row, None, w.decode("utf-8", "replace"), k, None, None, None, None), strict=True):
-                        c.append(x)
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            whole = [pa.array(c, k) for c, k in zip(docs_, kinds, strict=True)]
+            whole.insert(2, pa.nulls(len(ids), pa.string()))
             names = ["row", "doc_id", "word", "n", "hits", "base", "score", "n_bytes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays(whole, names=names)
+            n = len(rare[0])
+            spare = [pa.nulls(n, k) for k in (pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+            text = pa.array([w.decode("utf-8", "replace") for w in rare[1]], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), pa.nulls(n, pa.int64()), text, pa.array(rare[2], pa.int64()), *spare], names=names)
 
     found = cut(slim.mapInArrow(run, "row long, doc_id long, word string, n long, hits long, base double, score double, n_bytes long"), "scores")
     rare = found.where("word is not null").select("row", "word", "n").join(counts, "word", "left")
