@@ -42,6 +42,16 @@ def lookup_table(candidates: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> Lookup:
     return out
 
 
+_LAST: list[tuple[Lookup, int, int]] = []
+
+
+def longest(lookup: Lookup) -> int:
+    """Length of the longest reading; kept for the lookup that was asked last."""
+    if not _LAST or _LAST[0][0] is not lookup or _LAST[0][1] != len(lookup):
+        _LAST[:] = [(lookup, len(lookup), max(map(len, lookup), default=0))]
+    return _LAST[0][2]
+
+
 @dataclass
 class Session:
     """State of one client: mode, syllable, clause, segments, locks, pending choices, and time limits."""
@@ -72,10 +82,10 @@ class Session:
 
     def segments(self, lookup: Lookup) -> list[tuple[int, str]]:
         """(start, surface) of the longest known readings from the left, and of runs of digits."""
-        text, at, out = self.source(), 0, []
+        text, at, out, most = self.source(), 0, [], longest(lookup)
         while at < len(text):
             digits = re.match(r"[0-9,]*[0-9][0-9,]*", text[at:])
-            size = len(digits[0]) if digits else next((n for n in range(min(12, len(text) - at), 0, -1) if text[at : at + n] in lookup), 0)
+            size = len(digits[0]) if digits else next((n for n in range(min(most, len(text) - at), 0, -1) if text[at : at + n] in lookup), 0)
             if size:
                 out.append((at, text[at : at + size]))
             at += max(1, size)
