@@ -12,7 +12,8 @@ class names and faults such as unclosed elements vary at random from a fixed see
 
 Fixed cases: null and empty html give empty text; text outside of any element counts as the body's; html without an
 article-like node gives what decoding finds, maybe nothing; unclosed and wrongly nested elements are closed the way
-browsers do for paragraphs, list items and table cells; repeated pages give equal rows; a null page_id or url is kept;
+browsers do for paragraphs, list items and table cells; object, canvas, audio and video lose their content at their end tag,
+none if it never comes; svg and math end at theirs, at their own slash, or before an element of HTML; repeated pages give equal rows; a null page_id or url is kept;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -32,7 +33,12 @@ from pyspark.sql import functions as F
 
 # --- fixed values of the HTML standard -------------------------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg object math canvas audio video".split())
+#: Elements whose content is read up to their end tag and is no text of the page.
+RAW = frozenset("script style textarea title noscript template iframe".split())
+#: Foreign elements, skipped whole, nested ones included; they may close themselves.
+FOREIGN = frozenset("svg math".split())
+#: Parsed as any other element, but emptied when their end tag comes; those left open cost no text.
+MUTE = frozenset("object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -111,18 +117,45 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else size
+        elif tag in FOREIGN:
+            if not m[3].rstrip().endswith("/"):
+                at = foreign_end(html, at, tag)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
     return root
 
 
+FOREIGN_EDGE = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)(svg|math|foreignobject|desc|title|annotation-xml|{"|".join(sorted(BLOCK))}|b|br|em|i|img|span|strong)((?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+
+
+def foreign_end(html: str, at: int, tag: str) -> int:
+    """Where svg or math ends: after its end tag, or before an element of HTML, which ends it too; else nothing is skipped."""
+    depth, hosts = 1, 0
+    for m in FOREIGN_EDGE.finditer(html, at):
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        step = -1 if m[1] else 0 if m[3].rstrip().endswith("/") else 1
+        if name == tag:
+            depth += step
+            if not depth:
+                return m.end()
+        elif name in ("foreignobject", "desc", "title", "annotation-xml"):  # these hold HTML
+            hosts += step
+        elif name not in FOREIGN and not m[1] and hosts <= 0:
+            return m.start()
+    return at
+
+
 def close(stack: list[Node], tag: str) -> None:
     """Closes the innermost open element of that tag, but an inline end never closes a block."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
+            if tag in MUTE:
+                stack[i].items.clear()
             del stack[i:]
             return
-        if tag not in BLOCK and stack[i].tag in BLOCK:
+        if tag not in BLOCK and tag not in MUTE and stack[i].tag in BLOCK:
             return
 
 
