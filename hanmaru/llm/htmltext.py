@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -200,6 +201,8 @@ def flatten(root: Node) -> tuple[list[Node], list[int], np.ndarray, np.ndarray]:
     n = len(order)
     text, link, punct, count, paras = own[:], [0] * n, marks[:], [1] * n, [0] * n
     kids: list[list[int]] = [[] for _ in range(n)]
+    tags: list[Counter[str]] = [Counter() for _ in range(n)]
+    places = [0] * n
     for i in range(n - 1, 0, -1):
         p = parents[i]
         tag = order[i].tag
@@ -210,6 +213,8 @@ def flatten(root: Node) -> tuple[list[Node], list[int], np.ndarray, np.ndarray]:
         count[p] += count[i]
         paras[p] += paras[i] + (tag == "p")
         kids[p].append(i)
+        tags[p][tag] += 1
+        places[i] = len(kids[p])
     x = np.zeros((n, len(KINDS) + NUMBERS), np.float32)
     bad, good, gone, poor, fine = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     page = max(1, text[0])
@@ -224,8 +229,8 @@ def flatten(root: Node) -> tuple[list[Node], list[int], np.ndarray, np.ndarray]:
             fine[i] = fine[p] + (kind in ("article", "main"))
         same = kids[p] if p >= 0 else [i]
         around = text[p] / len(same) if p >= 0 else text[i]
-        place = len(same) - 1 - same.index(i) if len(same) < 400 else 0
-        alike = sum(order[k].tag == node.tag for k in same) / len(same) if len(same) < 400 else 1.0
+        place = len(same) - places[i] if p >= 0 else 0
+        alike = tags[p][node.tag] / len(same) if p >= 0 else 1.0
         x[i, len(KINDS) :] = (
             b, g, bad[i] - b, good[i] - g, gone[i], poor[i], fine[i], depths[i], np.log1p(text[i]), np.log1p(own[i]), link[i] / max(1, text[i]),
             np.log1p(text[i] / count[i]), 100 * punct[i] / max(1, text[i]), paras[i], np.log1p(count[i]), text[i] / page, at[i] / page,

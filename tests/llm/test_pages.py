@@ -21,3 +21,16 @@ def test_icon_first_page_keeps_its_article(icon, later):
 def test_content_of_closed_elements_stays_out():
     html = "<body>a<svg><svg><text>no</text></svg><title><p>no</p></title><text>no</text></svg>b<video><p>no</video>c<object><div>no</div></object>d<canvas>no</canvas>e</body>"
     assert text_of(htmltext.parse(html)).replace(" ", "") == "abcde"
+
+
+@pytest.mark.parametrize("n", [399, 400, 1500])
+def test_sibling_features_are_exact_on_flat_pages(n):
+    html = "<body><header>top</header>" + "<p>one</p>" * (n - 2) + "<footer>end</footer></body>"
+    order, parents, x, _ = htmltext.flatten(htmltext.parse(html))
+    at = len(htmltext.KINDS)
+    place, alike = at + 17, at + 19
+    body = next(i for i, node in enumerate(order) if node.tag == "body")
+    same = [i for i, p in enumerate(parents) if p == body]
+    assert len(same) == n
+    for k, i in enumerate(same):
+        assert x[i, place] == pytest.approx(k / n) and x[i, alike] == pytest.approx(sum(order[j].tag == order[i].tag for j in same[:2] + same[-1:]) / n if order[i].tag != "p" else (n - 2) / n)
