@@ -8,7 +8,7 @@ whose best entropy lies far above that of training texts is rejected (`accepted`
 
 Characters are letters in lower case; a run of anything else is one space. Models are fitted on a bounded sample of
 training texts: at most DOCS_PER_LANG whole texts a language in order of a hash of doc_id, or MAX_CHARS of their characters
-(a text that goes beyond is still used whole). Only languages with a share of the training texts count, at most MAX_LANGS.
+(a text that goes beyond is still used whole). Every language among the training texts gets a model.
 
 Fixed cases: null texts and texts without a letter are `und` with score 0; a null lang teaches nothing; a null doc_id
 counts as the empty string for the split; repeated rows are predicted alike; without training texts all is `und`; of equal
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 ORDER = 5
 #: Bounds of the labelled sample that the models are fitted on, a language.
 DOCS_PER_LANG, MAX_CHARS = 400, 1_500_000
-MAX_LANGS = 64
 #: Characters that are worked on at once.
 CHUNK = 2_000_000
 DISCOUNT = 0.75
@@ -206,16 +205,14 @@ class Identifier:
 def train(docs: DataFrame) -> Identifier:
     """Models of the languages of the documents that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    n = rows.groupBy("lang").count()
+    langs = sorted(r.lang for r in n.select("lang").collect())
     texts: dict[str, list[np.ndarray]] = {k: [] for k in langs}
     size = dict.fromkeys(langs, 0)
     key = rows.select("lang", F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", F.lit("langid")).alias("h"), "text")
     # each language's first texts in hash order: a bound on the hash, from the share wanted, comes before any sort
-    n = dict(rows.groupBy("lang").count().collect())
-    limit = F.lit(None).cast("double")
-    for k in langs:
-        limit = F.when(F.col("lang") == k, F.lit(min(1.0, (DOCS_PER_LANG + 4 * DOCS_PER_LANG**0.5 + 50) / n[k]))).otherwise(limit)
-    some = key.where(F.col("lang").isin(langs)).where(F.pmod(F.col("h"), F.lit(1 << 30)) <= limit * (1 << 30))
+    share = n.select("lang", F.least(F.lit(1.0), F.lit(DOCS_PER_LANG + 4 * DOCS_PER_LANG**0.5 + 50) / F.col("count")).alias("share"))
+    some = key.join(F.broadcast(share), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).drop("share")
     order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h", "id")
     taken = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG)
     for r in taken.orderBy("lang", "nth").toLocalIterator():
