@@ -12,8 +12,9 @@ is WINDOW words long or more, the state tells where that window first started. T
 which of its windows start earlier elsewhere; every document that holds the segment looks it up, and the windows marked
 unite to maximal spans that are removed.
 
-A shard goes whole to one task, where its automaton lives; it isn't sent to all executors. A shard of more than HOT_SEGMENTS
-distinct segments (a short phrase in very many contexts) is dealt on by the hash of whole windows instead.
+A shard goes to one task, where its automaton lives; it isn't sent to all executors. Its segments are dealt to one piece for
+every PIECE of them or so; where that is more than one (a short phrase in very many contexts), each of their windows is a
+sequence of its own, dealt by its hash, so that equal windows still meet in one automaton.
 
 Fixed cases: null and empty texts have no words and nothing to remove; documents of fewer than WINDOW words stay whole;
 null ids come last; rows that repeat an id count as documents one after another, in order of text; extra columns are
@@ -33,11 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, likely_in
 
-WINDOW, GRAM = 20, 5
-#: More distinct segments than this in one shard are dealt on by window.
-HOT_SEGMENTS = 400
-#: Distinct segments that one task's group of shards has on average.
-SHARD_SEGMENTS = 20_000
+WINDOW, GRAM = 20, 8
+#: Distinct segments that one automaton is built over, about: a shard of more is cut into so many pieces.
+PIECE = 400
+#: Segments that one task's group of shards has on average.
+SHARD_SEGMENTS = 10_000
+#: Bytes of text that are worked on at once.
+SLICE = 4_000_000
+#: Bits of a place within a slice; a text of more words than that goes beyond SLICE and is not met in practice (10 GB).
+PLACES = (1 << 32) - 1
+SCANNED = ["shard", "seg", "id", "at", "doc_id", "digest"]
 _M = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 
@@ -49,42 +55,77 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words that recur."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word, 1)
-        return h
-
-
-def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, segment hash, first window, number of windows) of each segment of a document given its words' hashes."""
+def segments(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document's place, shard, segment hash, first window, number of windows) of each segment of documents that lie one
+    after the other: h hashes all their words, starts and sizes tell where each document lies."""
     n = len(h)
     if n < window:
-        e = np.zeros(0, np.uint64)
-        return e, e, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        e = np.zeros(0, np.int64)
+        return e, e.astype(np.uint64), e.astype(np.uint64), e, e
     g = h[: n - gram + 1].copy()
     for j in range(1, gram):
         g = g * np.uint64(_P) + h[j : n - gram + 1 + j]
     g = mixed(g)
-    span = window - gram + 1
-    least = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(n - window + 1)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    count = np.diff(np.concatenate((first, [len(least)])))
+    # high bits of the gram's hash, then its place: the least one is the leftmost of the least hashes
+    low = (g & np.uint64(_M ^ PLACES)) | np.arange(len(g), dtype=np.uint64)
+    done, span = 1, window - gram + 1
+    while done < span:
+        step = min(done, span - done)
+        low = np.minimum(low[:-step], low[step:])
+        done += step
+    n_windows = np.maximum(sizes - window + 1, 0)
+    inside = np.repeat(starts - np.concatenate(([0], np.cumsum(n_windows)[:-1])), n_windows) + np.arange(n_windows.sum())
+    doc = np.repeat(np.arange(len(sizes)), n_windows)
+    least = (low[inside] & np.uint64(PLACES)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1]))) if len(least) else np.zeros(0, np.int64)
+    count = np.diff(np.concatenate((at, [len(least)])))
+    first, own, least = inside[at], doc[at], least[at]
     power = np.full(n + 1, _P, np.uint64)
     power[0] = 1
     power = np.multiply.accumulate(power)
-    total = np.concatenate(([0], np.add.accumulate(h * power[:n]))).astype(np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(h * power[:n])))  # a plain 0 would turn all into floats
     back = np.full(n + 1, pow(_P, -1, 1 << 64), np.uint64)
     back[0] = 1
     back = np.multiply.accumulate(back)
     end = first + count + window - 1
     seg = mixed((total[end] - total[first]) * back[first] + end.astype(np.uint64) - first.astype(np.uint64))
-    return g[least[first]], seg, first, count
+    return own, g[least], seg, first - starts[own], count
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts one after the other, number of words of each text)."""
+    import pyarrow.compute as pc
+
+    trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(trimmed)
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    blank = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False).astype(bool)
+    words = lists.flatten()
+    if blank.any():  # a text without words is one empty word until here
+        words = words.filter(pa.array(~np.repeat(blank, sizes)))
+        sizes[blank] = 0
+    return words, sizes
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    from xxhash import xxh64_intdigest
+
+    d = words.dictionary_encode()
+    of = np.fromiter((xxh64_intdigest(w, 1) for w in d.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(d.dictionary))
+    return of[d.indices.to_numpy()] if len(d) else np.zeros(0, np.uint64)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `size` bytes of the column, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 class SuffixAutomaton:
@@ -184,142 +225,135 @@ def digests(words: list[bytes]) -> str:
     return sha256(b" ".join(words)).hexdigest()
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """From (id, text): documents (id, n_words, sha256 of the words) and, for those that lose words, (id, spans).
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """From (doc_id, text, id): documents (doc_id, id, n_words, digest) and, for those that lose words, (id, spans).
 
     spans are array<struct<start, n, mask>>: bit i of mask says that the window at start + i goes.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                shard, seg, first, count = segments(h, window, gram)
-                for c, x in zip(cols, (shard.view(np.int64), seg.view(np.int64), np.full(len(seg), i), first * 64 + count), strict=False):
-                    c.append(x)
-                cols[4].append([None] * len(seg) + [digests(words)])
-                for c, x in zip(cols, (0, 0, i, len(words)), strict=False):
-                    c.append(np.array([x], np.int64))
-            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols[:4]]
-            digest = pa.array([x for c in cols[4] for x in c], pa.string())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat), digest], names=["shard", "seg", "id", "at", "digest"])
-
-    found = cut(docs.select("id", "text").mapInArrow(scan, "shard long, seg long, id long, at long, digest string"), "segments")
-    whole = found.where("digest is not null").select("id", F.col("at").alias("n_words"), "digest")
-    every = found.where("digest is null").drop("digest")
+        import pyarrow.compute as pc
+
+        for whole in batches:
+            for b in slices(whole, 2):
+                words, sizes = split_words(b.column(2))
+                h = word_hashes(words)
+                starts = np.cumsum(sizes) - sizes
+                ids = b.column(1).to_numpy(zero_copy_only=False)
+                own, shard, seg, first, count = segments(h, starts, sizes, window, gram)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[own]), pa.array(first * 64 + count), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=SCANNED
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate((starts, [len(h)])), pa.int32()), words.cast(pa.binary()))
+                lines = pc.binary_join(lists, b" ")
+                digest = pa.array([sha256(x.as_buffer()).hexdigest() for x in lines], pa.string())
+                empty = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([empty, empty, b.column(1), pa.array(sizes), b.column(0), digest], names=SCANNED)
+
+    found = cut(docs.select("doc_id", "id", "text").mapInArrow(scan, "shard long, seg long, id long, at long, doc_id long, digest string"), "segments")
+    whole = found.where("digest is not null").select("doc_id", "id", F.col("at").alias("n_words"), "digest")
+    every = found.where("digest is null").select("shard", "seg", "id", "at")
     # written apart, so that the join deals both sides itself and can split a shard that very many documents share
     shared = cut(every.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard"), "shared_shards")
     held = cut(every.join(shared, "shard"), "repeated_segments")
 
-    # distinct segments with the place of their first occurrence, and their words from there
-    distinct = held.groupBy("shard", "seg").agg(F.min(F.struct("id", "at")).alias("own")).select("shard", "seg", "own.id", "own.at")
-    wanted = cut(distinct.groupBy("id").agg(F.collect_list(F.struct("shard", "seg", "at")).alias("parts")), "segment_places")
+    # distinct segments with the place of their first occurrence; a shard of one alone needs no words: all but the first go
+    distinct = cut(held.groupBy("shard", "seg").agg(F.min(F.struct("id", "at")).alias("own")).select("shard", "seg", "own.id", "own.at"), "distinct_segments")
+    sizes = cut(distinct.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard_sizes")
+    mixed_up = distinct.join(sizes, "shard").select("shard", "seg", "id", "at", F.ceil(F.col("n") / piece).cast("long").alias("pieces"))
+    wanted = cut(mixed_up.groupBy("id").agg(F.collect_list(F.struct("shard", "seg", "at", "pieces")).alias("parts")), "segment_places")
     source = likely_in(docs.select("id", "text"), wanted.select("id"), "id").join(wanted, "id")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, t, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                words = t.as_py().encode("utf-8", "surrogatepass").split()
-                for p in parts.as_py():
-                    s, n = divmod(p["at"], 64)
-                    rows.append((p["shard"], p["seg"], i, p["at"], b" ".join(words[s : s + n + window - 1])))
-                    if len(rows) >= 20_000:
-                        yield batch(rows)
-                        rows = []
-            if rows:
-                yield batch(rows)
+        """The words of each segment; of a shard of several pieces, the words of each window, dealt by their hash."""
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for b in slices(whole, 1):
+                rows: list[tuple] = []
+                for i, t, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    words = t.as_py().encode("utf-8", "surrogatepass").split()
+                    for p in parts.as_py():
+                        s, n = divmod(p["at"], 64)
+                        if p["pieces"] == 1:
+                            rows.append((p["shard"], 0, p["seg"], i, p["at"], 0, b" ".join(words[s : s + n + window - 1])))
+                        else:
+                            for k in range(n):
+                                line = b" ".join(words[s + k : s + k + window])
+                                rows.append((p["shard"], xxh64_intdigest(line, 3) % p["pieces"], p["seg"], i, (s + k) * 64 + 1, k, line))
+                        if len(rows) >= 10_000:
+                            yield batch(rows)
+                            rows = []
+                if rows:
+                    yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c[:4]] + [pa.array(c[4], pa.binary())], names=["shard", "seg", "id", "at", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c[:6]] + [pa.array(c[6], pa.binary())], names=["shard", "piece", "seg", "id", "at", "k", "words"])
 
-    texts = cut(source.select("id", "text", "parts").mapInArrow(words_of, "shard long, seg long, id long, at long, words binary"), "segment_words")
-    sizes = texts.groupBy("shard").agg(F.count("*").alias("n"))
+    texts = cut(source.select("id", "text", "parts").mapInArrow(words_of, "shard long, piece long, seg long, id long, at long, k long, words binary"), "segment_words")
     n_groups = max(1, -(-texts.count() // SHARD_SEGMENTS))
-    hot = cut(sizes.where(F.col("n") > HOT_SEGMENTS).select("shard"), "hot_shards")
 
     def by_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard", ignore_index=True)
+        pdf = pdf.sort_values(["shard", "piece"], ignore_index=True)
         out = np.zeros(len(pdf), np.int64)
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(pdf["shard"].to_numpy()) != 0, [True])))
+        new = (np.diff(pdf["shard"].to_numpy()) != 0) | (np.diff(pdf["piece"].to_numpy()) != 0)
+        cuts = np.flatnonzero(np.concatenate(([True], new, [True])))
         ids, at, words = pdf["id"].tolist(), pdf["at"].tolist(), pdf["words"].tolist()
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             out[a:z] = shard_masks([(ids[i], at[i], words[i].split()) for i in range(a, z)], window)
-        return pd.DataFrame({"shard": pdf["shard"], "seg": pdf["seg"], "own_id": pdf["id"], "own_at": pdf["at"], "mask": out})
-
-    result = "shard long, seg long, own_id long, own_at long, mask long"
-    cool = texts.join(hot, "shard", "left_anti").withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(n_groups)))
-    masks = cool.groupBy("group").applyInPandas(lambda pdf: by_shard(pdf), result)
-
-    # shards too large for one task: whole windows, grouped by hash, tell where they first start
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for shard, seg, i, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = text.split()
-                for k in range(at % 64):
-                    line = b" ".join(words[k : k + window])
-                    for c, x in zip(cols, (shard, seg, i, at, k, hashes.__missing__(line) - (1 << 63), sha256(line).digest()[:8]), strict=True):
-                        c.append(x)
-            arrays = [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "seg", "id", "at", "k", "h", "h2"])
-
-    own = texts.join(hot, "shard", "left_semi").mapInArrow(windows, "shard long, seg long, id long, at long, k long, h long, h2 binary")
-    place = F.struct("id", (F.floor(F.col("at") / 64) + F.col("k")).alias("p"))
-    lead = own.groupBy("h", "h2").agg(F.min(place).alias("lead"))
-    late = own.join(lead, ["h", "h2"]).withColumn("late", F.when(place != F.col("lead"), F.expr("shiftleft(1L, cast(k as int))")).otherwise(F.lit(0).cast("long")))
-    dealt = late.groupBy("shard", "seg", "id", "at").agg(F.sum("late").alias("mask")).select("shard", "seg", F.col("id").alias("own_id"), F.col("at").alias("own_at"), "mask")
-
-    masks = cut(masks.unionByName(dealt), "segment_masks")
+        return pd.DataFrame({"shard": pdf["shard"], "seg": pdf["seg"], "mask": np.left_shift(out, pdf["k"].to_numpy())})
+
+    grouped = texts.withColumn("group", F.pmod(F.xxhash64("shard", "piece"), F.lit(n_groups))).groupBy("group")
+    bits = grouped.applyInPandas(lambda pdf: by_shard(pdf), "shard long, seg long, mask long").groupBy("shard", "seg").agg(F.expr("bit_or(mask)").alias("mask"))
+    masks = cut(
+        distinct.join(bits, ["shard", "seg"], "left").select("shard", "seg", F.col("id").alias("own_id"), F.col("at").alias("own_at"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "segment_masks"
+    )
     full = F.expr("shiftleft(1L, cast(at % 64 as int)) - 1")
     mask = F.when((F.col("id") == F.col("own_id")) & (F.col("at") == F.col("own_at")), F.col("mask")).otherwise(full)
     gone = held.join(masks, ["shard", "seg"]).select("id", F.floor(F.col("at") / 64).cast("int").alias("start"), (F.col("at") % 64).cast("int").alias("n"), mask.alias("mask"))
     return whole, cut(gone.where("mask <> 0").groupBy("id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans")), "removed_windows")
 
 
-def gone_words(n_words: int, spans: list[dict], window: int = WINDOW) -> np.ndarray:
-    """Which words the windows of spans cover."""
+def gone_words(n_words: int, start: np.ndarray, n: np.ndarray, mask: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which words the windows of spans cover: bit i of mask says that the window at start + i goes."""
     edge = np.zeros(n_words + 1, np.int64)
-    for s in spans:
-        for k in range(s["n"]):
-            if s["mask"] >> k & 1:
-                edge[s["start"] + k] += 1
-                edge[s["start"] + k + window] -= 1
+    for k in range(int(n.max(initial=0))):
+        at = start[(mask >> k) & 1 == 1] + k
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]): what is left of each document; kept is its text, words joined by a space.
 
     Without `texts`, documents that lose nothing aren't read again.
     """
     rows = numbered(docs)
-    whole, gone = repeated_spans(rows, window, gram)
+    whole, gone = repeated_spans(rows, window, gram, piece)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for i, t, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                drop = gone_words(len(words), spans.as_py() or [], window)
-                kept = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
-                out.append((i, len(words), len(words) - len(kept), digests(kept), *([b" ".join(kept).decode("utf-8", "surrogatepass")] * texts)))
-            cols = list(zip(*out, strict=True)) or [[]] * (4 + texts)
-            arrays = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in cols[3:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
+        for held in batches:
+            for b in slices(held, 1):
+                out: list[tuple] = []
+                for i, t, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
+                    s = spans.values
+                    cols = [s.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)] if s is not None else [np.zeros(0, np.int64)] * 3
+                    drop = gone_words(len(words), *cols, window)
+                    kept = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
+                    out.append((i, len(words), len(words) - len(kept), digests(kept), *([b" ".join(kept).decode("utf-8", "surrogatepass")] * texts)))
+                cols = list(zip(*out, strict=True)) or [[]] * (4 + texts)
+                arrays = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in cols[3:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
 
     if texts:
         return rows.join(gone, "id", "left").select("doc_id", "text", "spans").mapInArrow(keep, schema)
     changed = likely_in(rows, gone.select("id"), "id").join(gone, "id").select("doc_id", "text", "spans").mapInArrow(keep, schema)
-    ids = whole.join(gone.select("id"), "id", "left_anti")
-    named = ids.join(rows.select("id", "doc_id"), "id")
-    same = named.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
+    same = whole.join(gone.select("id"), "id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
     return changed.unionByName(same)
 
 

@@ -86,12 +86,11 @@ def test_substrings(spark, docs, none):
     assert (long.n_words, long.n_removed, long.kept) == (30_000, plain_substrings([(6, LONG)])[0][2], long.kept)
 
 
-def test_hot_shards_agree(spark, monkeypatch):
+def test_hot_shards_agree(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(12)) + " one two three four five " + " ".join(rng.choice("ab") for _ in range(30))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(substrings, "HOT_SEGMENTS", 3)
-    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.deduplicate(df).collect()) == plain_substrings(rows)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.deduplicate(df, piece=3).collect()) == plain_substrings(rows)
 
 
 def test_suffix_automaton_finds_first_places():
