@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: \x20 and \x09 to \x0D.
 WS = r"[\x20\x09-\x0D]+"
+#: Bytes of text that are worked on at once.
+SLICE = 4_000_000
+#: Multiplier of the rolling hashes.
+PRIME = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,3 +90,59 @@ def likely_in(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> Data
     test = "(cast(conv(hex(substring(bitmap__, cast(pmod(s__, 32768) as int) div 8 + 1, 1)), 16, 10) as int) >> cast(pmod(s__, 8) as int)) & 1 = 1"
     some = rows.withColumn("s__", slot).join(F.broadcast(maps.select(F.col("page").alias("page__"), F.col("bitmap").alias("bitmap__"))), F.shiftright("s__", 15) == F.col("page__"))
     return some.where(test).select(*rows.columns)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that leaves no order."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts one after the other, number of words of each text)."""
+    import pyarrow.compute as pc
+
+    trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(trimmed)
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    blank = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False).astype(bool)
+    words = lists.flatten()
+    if blank.any():  # a text without words is one empty word until here
+        words = words.filter(pa.array(~np.repeat(blank, sizes)))
+        sizes[blank] = 0
+    return words, sizes
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    from xxhash import xxh64_intdigest
+
+    d = words.dictionary_encode()
+    of = np.fromiter((xxh64_intdigest(w, 1) for w in d.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(d.dictionary))
+    return of[d.indices.to_numpy()] if len(d) else np.zeros(0, np.uint64)
+
+
+def span_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span first..end (end exclusive) of the elements that h hashes; equal spans hash alike wherever they stand."""
+    n = len(h)
+    power = np.full(n + 1, PRIME, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(h * power[:n])))  # a plain 0 would turn all into floats
+    back = np.full(n + 1, pow(PRIME, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    return mixed((total[end] - total[first]) * back[first] + end.astype(np.uint64) - first.astype(np.uint64))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `size` bytes of the column, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

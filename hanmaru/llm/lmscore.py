@@ -1,41 +1,49 @@
 """Language-model scoring by online logistic context mixing.
 
 A text's bytes are predicted bit by bit. Five predictors look up how often either bit followed a hashed context (the last
-1, 2, 3, 4 and 5 bytes and the bits so far of this byte). Their stretched probabilities are combined by weights that a gate
+1, 2, 3, 4 and 6 bytes and the bits so far of this byte). Their stretched probabilities are combined by weights that a gate
 selects: the bit's place and the longest context seen before. The weights learn online, and an adaptive table refines the
-mixed probability by the bits so far. A text's score is the log10 probability of all its bits.
+mixed probability by the bits so far.
 
-Everything is gathered from all training texts, in one pass over them that keeps the words' counts and the distinct
+A second mixer works above: text is cut into chunks by content (a chunk ends after a word whose hash says so, CHUNK_WORDS
+on average, CHUNK_MOST at most, with the white space or end behind it), and a context of the whole chunk before predicts the
+next. Where the chunk before occurred in training C times, c times with this one behind it, the chunk's probability is
+(1 - g) * (its bytes' probability) + g * c / C, with the weight g gated by the size of C. These counts are exact, lie in
+tables that grow with the corpus, and are joined, never sent out. A training text's own counts are left out of its c and C,
+so training texts and held-out ones compare: a text that occurs elsewhere stands out in both. A text's score is the log10
+probability of all its bits.
+
+Everything else is gathered in one pass over all training texts that keeps the words' counts and the distinct
 stretches with theirs. Bits are counted by context into tables of fixed size; then the online mixing runs over every
 stretch, each occurrence left out of its own counts, and the tasks' weights are averaged.
-Tables are summed up in trees of bounded fan-in. Equal stretches of six bytes predict alike, so distinct
+Tables are summed up in trees of bounded fan-in. Equal stretches of seven bytes predict alike, so distinct
 ones are counted, learned and scored once. Scoring itself doesn't learn, so scores depend neither on order nor on partitioning.
 
 Beside it stands the base: add-one word probabilities from the word counts of all training texts. Only the most frequent
-words (at most FREQUENT_WORDS) are sent out; the rest are joined.
+words (at most FREQUENT_WORDS) are sent out; the rest are joined. Words are counted by 64-bit hashes.
 
 Texts are words of lower-cased A-Z joined by one space, with one end.
 
 Fixed cases: null and empty texts consist of the end alone; a null doc_id counts as the empty string for the split;
-repeated rows count and score each; without training texts counts are 0 and every bit has probability one half; extra
-columns are ignored; an empty table gives no rows.
+repeated rows count and score each; a text's first chunk, and texts of one chunk, are predicted by bytes alone; without
+training texts counts are 0 and every bit has probability one half; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import PRIME, cut, mixed, slices, span_hashes, split_words
 
-ORDERS = (1, 2, 3, 4, 5)
+ORDERS = (1, 2, 3, 4, 6)
 #: log2 of each predictor's table size.
 TABLE_BITS = (16, 18, 20, 21, 22)
 #: Slots in one row of a table that is being summed up.
@@ -44,33 +52,76 @@ ROW_SLOTS = 1 << 14
 FAN_IN = 64
 #: Bytes of text that are worked on at once.
 CHUNK = 1_500_000
-FREQUENT_WORDS = 150_000
+#: Words of a chunk on average, a power of 2, and at most.
+CHUNK_WORDS, CHUNK_MOST = 32, 128
+#: Sizes of C, by powers of 2, that have a weight of their own.
+CHUNK_GATES = 8
+#: Distinct stretches are dealt to 2**BUCKET_BITS buckets by hash.
+BUCKET_BITS = 7
+FREQUENT_WORDS = 500_000
 GATES = 8 * (len(ORDERS) + 1)
 INPUTS = len(ORDERS) + 1
 BUCKETS = 33
-END = ""
+#: A random 64-bit number for each byte, from a fixed seed; words are counted by a 64-bit hash over these.
+BYTE_CODES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+#: Stands for the end among the words' hashes.
+END = 1
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def grams(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each byte with the five before it, place where each line starts); lines start from zero bytes."""
-    width = max(ORDERS)
-    x = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    key = x.copy()
-    for k in range(1, width + 1):
-        key[k:] |= x[:-k] << np.uint64(8 * k)
-    for j in range(width):  # what stands before a line's start doesn't count
-        key[starts[sizes > j] + j] &= np.uint64((1 << 8 * (j + 1)) - 1)
-    return key, starts
+class Lines:
+    """Texts of a slice as lines: words in lower case joined by one space, each line ended by a line feed."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.words, self.sizes = split_words(pc.ascii_lower(texts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        ends = pa.array(np.concatenate((self.starts, [len(self.words)])), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(ends, self.words), " ")
+        lines = pc.binary_join_element_wise(joined, "", "\n")
+        at = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+        self.bytes = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        self.line_starts, self.line_sizes = at[:-1] - at[0], np.diff(at)
+        length = pc.binary_length(self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        # as if empty lines took nothing; their line feeds come on top
+        empty = np.cumsum(self.sizes == 0) - (self.sizes == 0)
+        self.word_starts = np.cumsum(length + 1) - length - 1 + np.repeat(empty, self.sizes)
+        self.hashes = span_hashes(BYTE_CODES[self.bytes], self.word_starts, self.word_starts + length)
+
+    def keys(self) -> np.ndarray:
+        """Key of each byte with those before it that the longest context has; lines start from zero bytes."""
+        width = max(ORDERS)
+        x = self.bytes.astype(np.uint64)
+        key = x.copy()
+        for k in range(1, width + 1):
+            key[k:] |= x[:-k] << np.uint64(8 * k)
+        for j in range(width):  # what stands before a line's start doesn't count
+            key[self.line_starts[self.line_sizes > j] + j] &= np.uint64((1 << 8 * (j + 1)) - 1)
+        return key
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, hash, first byte, whether it is its line's first) of each chunk."""
+        h, n = self.hashes, len(self.words)
+        last = np.zeros(n, bool)
+        last[(self.starts + self.sizes - 1)[self.sizes > 0]] = True
+        ends = np.flatnonzero(last | (mixed(h ^ np.uint64(PRIME)) & np.uint64(CHUNK_WORDS - 1) == 0)) + 1
+        size = np.diff(ends, prepend=0)
+        parts = -(-size // CHUNK_MOST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(ends - size, parts) + nth * CHUNK_MOST
+        end = np.minimum(first + CHUNK_MOST, np.repeat(ends, parts))
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)[first]
+        kind = span_hashes(h, first, end)
+        kind = np.where(last[end - 1], mixed(kind), kind) if len(end) else kind
+        return row, kind, self.word_starts[first], first == self.starts[row]
+
+
+def lines_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    for whole in batches:
+        for b in slices(whole, column, CHUNK):
+            yield b, Lines(b.column(column))
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -138,17 +189,25 @@ class Mixer:
                 self.refine[:, 0] += np.bincount(b, weights=n * bit, minlength=len(self.refine))
                 self.refine[:, 1] += np.bincount(b, weights=n, minlength=len(self.refine))
 
-    def freeze(self) -> None:
-        """Turns counts into stretched predictions for scoring, which take a quarter of the room; 0 stands for unseen."""
-        self.stretched = []
+    def frozen(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """What scoring needs: counts as stretched predictions, which take a quarter of the room (0 stands for unseen), weights, refinement."""
+        out = []
         for t in self.tables:
             n0, n1 = t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)
             x = np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12)
             x[(x == 0) & (n0 + n1 > 0)] = 1e-4
-            self.stretched.append(x.astype(np.float16))
-        self.tables = []
+            out.append(x.astype(np.float16).tobytes())
         grid = 1 / (1 + np.exp(-(np.arange(256 * BUCKETS) % BUCKETS - 16) / 2.0))
-        self.refined = ((self.refine[:, 0] + 40 * grid) / (self.refine[:, 1] + 40)).astype(np.float32)
+        refined = ((self.refine[:, 0] + 40 * grid) / (self.refine[:, 1] + 40)).astype(np.float32)
+        return zlib.compress(b"".join(out), 1), self.weights, refined
+
+    @staticmethod
+    def thawed(data: bytes, weights: np.ndarray, refined: np.ndarray) -> Mixer:
+        model, flat = Mixer([]), np.frombuffer(zlib.decompress(data), np.float16)
+        ends = np.cumsum([1 << b for b in TABLE_BITS])
+        model.stretched = [flat[e - (1 << b) : e] for e, b in zip(ends, TABLE_BITS, strict=True)]
+        model.weights, model.refined = weights, refined
+        return model
 
     def log10(self, keys: np.ndarray, batch: int = 1 << 15) -> np.ndarray:
         """log10 probability of each key's last byte after those before it."""
@@ -175,40 +234,40 @@ class Mixer:
 
 
 class Known:
-    """log10 probabilities of keys that a task has met, as most recur."""
+    """log10 probabilities of keys that a task has met lately, as many recur."""
 
     def __init__(self, model: Mixer, most: int = 2_000_000) -> None:
         self.model, self.most = model, most
-        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros(0)
+        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)  # sorted keys find their places without jumps
+        keys = keys[order]
         at = np.searchsorted(self.keys, keys)
-        hit = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        hit[inside] = self.keys[at[inside]] == keys[inside]
-        out = np.empty(len(keys))
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        out = np.empty(len(keys), np.float32)
         out[hit] = self.logs[at[hit]]
         fresh = keys[~hit]
         out[~hit] = new = self.model.log10(fresh)
-        if len(self.keys) + len(fresh) <= self.most:
-            order = np.argsort(fresh)
-            place = at[~hit][order]
-            self.keys, self.logs = np.insert(self.keys, place, fresh[order]), np.insert(self.logs, place, new[order])
-        return out
-
-
-def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[int], pa.RecordBatch, bool]]:
-    """(lines, their rows, the batch, whether it ends here): lines of about CHUNK bytes."""
-    for b in batches:
-        lines, rows, size = [], [], 0
-        for i in range(b.num_rows):
-            lines.append(b" ".join(words_of(b.column(column)[i].as_py())) + b"\n")
-            rows.append(i)
-            size += len(lines[-1])
-            if size >= CHUNK and i + 1 < b.num_rows:
-                yield lines, rows, b, False
-                lines, rows, size = [], [], 0
-        yield lines, rows, b, True
+        if len(self.keys) + len(fresh) > self.most:
+            self.keys, self.logs = keys, out
+        else:
+            self.keys, self.logs = np.insert(self.keys, at[~hit], fresh), np.insert(self.logs, at[~hit], new)
+        back = np.empty(len(keys))
+        back[order] = out
+        return back
+
+
+def counted(keys: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurred."""
+    if count is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, count = keys[order], count[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.concatenate((at, [len(keys)]))) if count is None else np.add.reduceat(count, at) if len(at) else count
 
 
 class Distinct:
@@ -219,9 +278,8 @@ class Distinct:
         self.held = 0
 
     def add(self, keys: np.ndarray) -> None:
-        codes, found = pd.factorize(keys)
-        self.parts.append((found, np.bincount(codes, minlength=len(found))))
-        self.held += len(found)
+        self.parts.append(counted(keys))
+        self.held += len(self.parts[-1][0])
         if self.held > 2_000_000:
             self.parts = [self.take()]
             self.held = len(self.parts[0][0])
@@ -229,29 +287,25 @@ class Distinct:
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        codes, found = pd.factorize(np.concatenate([p[0] for p in self.parts]))
-        return found, np.bincount(codes, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(found)).astype(np.int64)
+        return counted(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
 ROWS = "part int, row int, source long, payload binary"
 
 
 def packed(part: int, row: int, x: np.ndarray) -> tuple[int, int, bytes]:
-    return part, row, zlib.compress(np.ascontiguousarray(x, np.float64 if part < 0 else np.uint32).tobytes(), 1)
+    return part, row, zlib.compress(np.ascontiguousarray(x, np.float64 if part < 0 else np.uint64).tobytes(), 1)
 
 
 def summed(rows: DataFrame) -> DataFrame:
     """Adds up payloads by (part, row) in a tree whose steps take FAN_IN rows or so each."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float64 if pdf["part"].iloc[0] < 0 else np.uint32
-        total = np.zeros(0)
+        kind = np.float64 if pdf["part"].iloc[0] < 0 else np.uint64
+        total = np.zeros(1, kind)
         for x in pdf["payload"]:
-            got = np.frombuffer(zlib.decompress(x), kind)
-            total = got.astype(np.float64) if not len(total) else total + got
-        if kind is np.uint32:
-            total = np.minimum(total, 2.0**32 - 1)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "row": pdf["row"].iloc[:1], "source": pdf["source"].iloc[:1], "payload": [zlib.compress(total.astype(kind).tobytes(), 1)]})
+            total = total + np.frombuffer(zlib.decompress(x), kind)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "row": pdf["row"].iloc[:1], "source": pdf["source"].iloc[:1], "payload": [zlib.compress(total.tobytes(), 1)]})
 
     n = rows.select("source").distinct().count()
     while n > FAN_IN:
@@ -272,75 +326,88 @@ def task_id() -> int:
 
 
 def gathered(texts: DataFrame) -> DataFrame:
-    """One pass over texts: rows (word, c) of words counted task by task, the end as the empty word, and rows with a payload
-    of distinct keys and how often each occurred."""
+    """One pass over texts: rows (word, c) of words' hashes counted task by task, the end among them, and rows with a bucket
+    and a payload of distinct keys and how often each occurred."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        seen = Distinct()
+        words, seen, ends = Distinct(), Distinct(), 0
 
-        def word_rows() -> pa.RecordBatch:
-            names = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-            return pa.RecordBatch.from_arrays([names, pa.array(words.values(), pa.int64()), pa.nulls(len(names), pa.binary())], names=["word", "c", "payload"])
+        def word_rows(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            n = len(h)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["word", "c", "bucket", "payload"])
 
         def key_rows() -> pa.RecordBatch:
             keys, count = seen.take()
-            order = np.argsort(keys)
-            keys, count = keys[order], count[order]
-            parts = [packed_keys(keys[i : i + 250_000], count[i : i + 250_000]) for i in range(0, len(keys), 250_000)]
-            n = len(parts)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary())], names=["word", "c", "payload"])
-
-        for lines, _, _, _ in chunks(batches, 0):
-            for line in lines:
-                words.update(line.split())
-            words[END.encode()] += len(lines)
-            if lines:
-                seen.add(grams(lines)[0])
-            if len(words) > 400_000:
-                yield word_rows()
-                words = Counter()
+            bucket = (scrambled(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")  # keys stay in order within their bucket
+            cuts = np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
+            found = [(i, packed_keys(keys[order[a:z]], count[order[a:z]])) for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+            n = len(found)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["word", "c", "bucket", "payload"]
+            )
+
+        for _, lines in lines_of(batches, 0):
+            words.add(lines.hashes)
+            ends += len(lines.sizes)
+            seen.add(lines.keys())
+            if words.held > 1_500_000 and len(words.parts) == 1:
+                yield word_rows(*words.take())
+                words = Distinct()
             if seen.held > 1_500_000 and len(seen.parts) == 1:
                 yield key_rows()
                 seen = Distinct()
-        if words:
-            yield word_rows()
+        yield word_rows(*words.take())
+        if ends:
+            yield word_rows(np.array([END], np.uint64), np.array([ends]))
         if seen.parts:
             yield key_rows()
 
-    return cut(texts.select("text").mapInArrow(run, "word string, c long, payload binary"), "gathered")
+    return cut(texts.select("text").mapInArrow(run, "word long, c long, bucket int, payload binary"), "gathered")
+
+
+def merged(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """Payloads of fewer keys that say the same as those of rows: about fan_in payloads of one bucket become one."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpacked_keys(x) for x in pdf["payload"]]
+        keys, count = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        return pd.DataFrame({"payload": [packed_keys(keys, count)]})
+
+    most = rows.groupBy("bucket").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    group = F.pmod(F.xxhash64("payload"), F.lit(-(-most // fan_in)))
+    return cut(rows.groupBy("bucket", group.alias("g")).applyInPandas(lambda pdf: add(pdf), "payload binary"), "stretches")
 
 
 def packed_keys(keys: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted keys as differences, and counts."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + count.astype(np.uint32).tobytes(), 1)
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + count.astype(np.uint64).tobytes(), 1)
 
 
 def unpacked_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(data)
-    n = len(raw) // 12
-    return np.cumsum(np.frombuffer(raw[: 8 * n], np.uint64)), np.frombuffer(raw[8 * n :], np.uint32).astype(np.int64)
+    n = len(raw) // 16
+    return np.cumsum(np.frombuffer(raw[: 8 * n], np.uint64)), np.frombuffer(raw[8 * n :], np.uint64).astype(np.int64)
 
 
 def bit_counts(rows: DataFrame) -> list[np.ndarray]:
     """The tables, counted over all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros((1 << b) * 2, np.uint32) for b in TABLE_BITS]
+        tables = [np.zeros((1 << b) * 2, np.uint64) for b in TABLE_BITS]
         for b in batches:
             for data in b.column(0):
                 keys, count = unpacked_keys(data.as_py())
                 for _, bit, at in slots(keys):
                     for t, s in zip(tables, at, strict=True):
-                        np.add.at(t, s * 2 + bit, count.astype(np.uint32))
-        for p, t in enumerate(tables):
-            found = [packed(p, r, x) for r, x in enumerate(t.reshape(-1, ROW_SLOTS * 2)) if x.any()]
-            if found:
-                yield emit(found, task_id())
+                        np.add.at(t, s * 2 + bit, count.astype(np.uint64))
+        found = [packed(p, r, x) for p, t in enumerate(tables) for r, x in enumerate(t.reshape(-1, ROW_SLOTS * 2)) if x.any()]
+        if found:
+            yield emit(found, task_id())
 
     tables = [np.zeros((1 << b, 2), np.float32) for b in TABLE_BITS]
     for r in summed(cut(rows.mapInArrow(run, ROWS), "bit_counts")).toLocalIterator():
-        tables[r.part][r.row * ROW_SLOTS : (r.row + 1) * ROW_SLOTS] = np.frombuffer(zlib.decompress(r.payload), np.uint32).reshape(-1, 2)
+        tables[r.part][r.row * ROW_SLOTS : (r.row + 1) * ROW_SLOTS] = np.frombuffer(zlib.decompress(r.payload), np.uint64).reshape(-1, 2)
     return tables
 
 
@@ -359,10 +426,10 @@ def unship(data: bytes) -> list[np.ndarray]:
     return [flat[e - (2 << b) : e].reshape(-1, 2) for e, b in zip(ends, TABLE_BITS, strict=True)]
 
 
-def train(rows: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(tables, weights, refinement) from rows of keys."""
-    data = ship(bit_counts(rows))
-    sent = rows.sparkSession.sparkContext.broadcast(data)
+def train(rows: DataFrame) -> Mixer:
+    """The model from rows of keys."""
+    mixer = Mixer(bit_counts(rows))
+    sent = rows.sparkSession.sparkContext.broadcast(ship(mixer.tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
@@ -381,18 +448,17 @@ def train(rows: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
         found += [packed(-2, g, w) for g, w in enumerate(model.refine.reshape(256, -1))]
         yield emit(found, task_id())
 
-    mixer = Mixer([])
     for r in summed(cut(rows.mapInArrow(run, ROWS), "weights")).toLocalIterator():
         x = np.frombuffer(zlib.decompress(r.payload), np.float64)
         if r.part == -1:
             mixer.weights[r.row] = x[:-1] / x[-1]
         else:
             mixer.refine[r.row * BUCKETS : (r.row + 1) * BUCKETS] = x.reshape(-1, 2)
-    return data, mixer.weights, mixer.refine
+    return mixer
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes, int]:
-    """The most frequent words, at most `most`: all words at least as frequent as some power of 2^(1/8)."""
+def frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the most frequent words, at most `most`: all at least as frequent as some power of 2^(1/8)."""
     size = F.floor(F.log2(F.col("c").cast("double")) * 8)
     held, low = 0, None
     for r in counts.groupBy(size.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
@@ -401,8 +467,11 @@ def frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes, int]:
             break
         low = r.s
     if low is None:
-        return {}
-    return {r.word.encode("utf-8", "surrogatepass"): r.c for r in counts.where(size >= low).collect()}
+        return np.zeros(0, np.uint64), np.zeros(0)
+    got = counts.where(size >= low).select("word", "c").toArrow()
+    h, c = got["word"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order].astype(float)
 
 
 def score(docs: DataFrame, training: Callable[[Column], Column] = lambda d: ~held_out(d)) -> DataFrame:
@@ -415,69 +484,100 @@ def score(docs: DataFrame, training: Callable[[Column], Column] = lambda d: ~hel
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     z = total + 1 * (distinct + 1)
     known = spark.sparkContext.broadcast(frequent(counts))
-    data, weights, refine = train(gathered_rows.where("payload is not null").select("payload"))
-    model_data = spark.sparkContext.broadcast(data)
+    end = counts.where(F.col("word") == END).first()
+    end_log, end_known = float(np.log10((end.c if end else 0) + 1) - np.log10(z)), int(end is not None)
+    model_data = spark.sparkContext.broadcast(train(merged(gathered_rows.where("payload is not null").select("bucket", "payload"))).frozen())
     logs = {"z": float(np.log10(z))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Mixer(unship(model_data.value))
-        model.weights, model.refine = weights, refine
-        model.freeze()
-        known_logs = Known(model)
-        lz, row = logs["z"], task_id() << 40
-        table = {w: float(np.log10(c + 1)) - lz for w, c in known.value.items()}
-        for lines, at, b, _ in chunks(batches, 1):
-            if not lines:
+        known_logs = Known(Mixer.thawed(*model_data.value))
+        next_row = task_id() << 40
+        words, word_logs = known.value[0], np.append(np.log10(known.value[1] + 1) - logs["z"], np.nan)
+        kinds = dict(zip(SCORED, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))
+
+        def batch(size_: int, **cols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(size_, k) for c, k in kinds.items()], names=SCORED)
+
+        for b, lines in lines_of(batches, 2):
+            n = len(lines.sizes)
+            codes, found = pd.factorize(lines.keys())
+            values = known_logs(found)[codes]
+            row = np.arange(n) + next_row
+            next_row += n
+            doc = np.repeat(np.arange(n), lines.sizes)
+            ids, names = pd.factorize(lines.hashes)
+            at = np.searchsorted(words, names)
+            at[at == len(words)] = 0
+            own = word_logs[np.where(words[at] == names, at, -1) if len(words) else np.full(len(names), -1)][ids]
+            hit = ~np.isnan(own)
+            hits = np.bincount(doc, weights=hit, minlength=n).astype(np.int64) + end_known
+            base = np.bincount(doc, weights=np.where(hit, own, 0), minlength=n) + end_log
+            yield batch(n, row=row, doc_id=b.column(0), n=lines.sizes + 1, hits=hits, base=base, score=np.add.reduceat(values, lines.line_starts), n_bytes=lines.line_sizes)
+            rare, k = np.unique(doc[~hit] * max(1, len(names)) + ids[~hit], return_counts=True)
+            yield batch(len(rare), row=row[rare // max(1, len(names))], word=names[rare % max(1, len(names))].view(np.int64), n=k)
+            at, chunk, place, first = lines.chunks()
+            if not len(at):
                 continue
-            keys, starts = grams(lines)
-            codes, found = pd.factorize(keys)
-            scores = np.add.reduceat(known_logs(found)[codes], starts)
-            ids = b.column(0).take(pa.array(at)).to_pylist()
-            docs_: list[list] = [[] for _ in range(7)]
-            rare: list[list] = [[], [], []]
-            for i, line, s in zip(ids, lines, scores.tolist(), strict=True):
-                words = Counter(line.split())
-                words[END.encode()] = 1
-                base, hits = 0.0, 0
-                for w, k in words.items():
-                    x = table.get(w)
-                    if x is None:
-                        rare[0].append(row)
-                        rare[1].append(w)
-                        rare[2].append(k)
-                    else:
-                        hits += k
-                        base += k * x
-                for c, x in zip(docs_, (row, i, words.total(), hits, base, s, len(line)), strict=True):
-                    c.append(x)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            whole = [pa.array(c, k) for c, k in zip(docs_, kinds, strict=True)]
-            whole.insert(2, pa.nulls(len(ids), pa.string()))
-            names = ["row", "doc_id", "word", "n", "hits", "base", "score", "n_bytes"]
-            yield pa.RecordBatch.from_arrays(whole, names=names)
-            n = len(rare[0])
-            spare = [pa.nulls(n, k) for k in (pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-            text = pa.array([w.decode("utf-8", "replace") for w in rare[1]], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), pa.nulls(n, pa.int64()), text, pa.array(rare[2], pa.int64()), *spare], names=names)
-
-    found = cut(slim.mapInArrow(run, "row long, doc_id long, word string, n long, hits long, base double, score double, n_bytes long"), "scores")
+            values[lines.line_starts[lines.line_sizes == 1]] = 0.0  # empty lines belong to no chunk
+            log = np.add.reduceat(values, place)
+            take = np.flatnonzero(~first)
+            at, prior, chunk, log = at[take], chunk[take - 1], chunk[take], log[take]
+            seed = at.astype(np.uint64) * np.uint64(PRIME)
+            _, inv, same = np.unique(mixed(seed ^ prior), return_inverse=True, return_counts=True)
+            _, inv2, pair = np.unique(mixed(mixed(seed ^ prior) + chunk), return_inverse=True, return_counts=True)
+            train = b.column(1).to_numpy(zero_copy_only=False)[at]
+            yield batch(len(at), row=row[at], train=train, score=log, p=prior.view(np.int64), s=chunk.view(np.int64), k=pair[inv2].astype(np.int32), kp=same[inv].astype(np.int32))
+
+    schema = "row long, doc_id long, train boolean, word long, n long, hits long, base double, score double, n_bytes long, p long, s long, k int, kp int"
+    found = cut(slim.select("doc_id", training(F.col("doc_id")).alias("train"), "text").mapInArrow(run, schema), "scores")
     rare = found.where("word is not null").select("row", "word", "n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0).cast("long"))
     rest = rare.groupBy("row").agg(F.sum(F.col("n") * (F.log10(c + F.lit(1.0)) - F.lit(logs["z"]))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(F.lit(0))).alias("more_hits"))
+    gains = chunk_gains(found.where("p is not null").select("row", "train", "p", "s", "k", "kp", F.col("score").alias("log")))
     zero = F.lit(0)
-    return found.where("word is null").join(rest, "row", "left").select(
+    whole = found.where("word is null and p is null").drop("train", "word", "p", "s", "k", "kp")
+    mixed_score = F.col("score") + F.coalesce("gain", F.lit(0.0))
+    return whole.join(rest, "row", "left").join(gains, "row", "left").select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("hits") + F.coalesce("more_hits", zero)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        mixed_score.alias("score"),
         "n_bytes",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-mixed_score / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
+SCORED = ["row", "doc_id", "train", "word", "n", "hits", "base", "score", "n_bytes", "p", "s", "k", "kp"]
+
+
+def chunk_gains(rows: DataFrame) -> DataFrame:
+    """(row, gain): what mixing in the chunk counts adds to each text's log10 probability; texts without gain may be missing.
+
+    rows holds a row for each chunk: its text's row and whether that trains, hashes p of the chunk before and s of its own, how
+    often the text has that pair (k) and that chunk before (kp), and log, the log10 probability of its bytes.
+    """
+    one = F.when(F.col("train"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    # contexts that stand in one place only, or in no training text, predict nothing; both joins may split skewed contexts
+    contexts = rows.groupBy("p").agg(F.sum(one).alias("all"), F.count("*").alias("places")).where("places > 1 and all > 0").select("p", "all")
+    held = cut(rows.join(contexts, "p"), "chunks")
+    pairs = held.groupBy("p", "s").agg(F.sum(one).alias("c"))
+    own = lambda x, k: F.when(F.col("train"), F.col(x) - F.col(k)).otherwise(F.col(x))
+    met = held.join(pairs, ["p", "s"]).select("row", "train", "log", own("c", "k").alias("c"), own("all", "kp").alias("of")).where("of > 0")
+    met = cut(met.withColumn("gate", F.least(F.floor(F.log2(F.col("of").cast("double"))), F.lit(CHUNK_GATES - 1)).cast("int")), "chunk_counts")
+    # a chunk's bytes have next to no probability beside its count's, so the best weight of a gate is the share of its hits
+    share = (F.sum(F.when(F.col("c") > 0, F.lit(1.0)).otherwise(F.lit(0.0))) + 0.5) / (F.count("*") + 1.0)
+    weight = {r.gate: float(r.w) for r in met.where("train").groupBy("gate").agg(share.alias("w")).collect()}
+    if not weight:
+        return met.select("row", F.lit(0.0).alias("gain")).limit(0)
+    g = F.element_at(F.array(*[F.lit(min(0.999, weight.get(i, 0.5))) for i in range(CHUNK_GATES)]), F.col("gate") + 1)
+    low = F.log10(1 - g) + F.col("log")
+    high = F.log10(g * F.col("c") / F.col("of"))
+    mix = F.when(F.col("c") == 0, low).otherwise(F.greatest(low, high) + F.log10(1 + F.pow(F.lit(10.0), F.least(low, high) - F.greatest(low, high))))
+    return met.groupBy("row").agg(F.sum(mix - F.col("log")).alias("gain"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

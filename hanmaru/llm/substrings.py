@@ -32,27 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, likely_in
+from .common import PRIME, cut, likely_in, mixed, slices, span_hashes, split_words, word_hashes
 
 WINDOW, GRAM = 20, 8
 #: Distinct segments that one automaton is built over, about: a shard of more is cut into so many pieces.
 PIECE = 400
 #: Segments that one task's group of shards has on average.
 SHARD_SEGMENTS = 10_000
-#: Bytes of text that are worked on at once.
-SLICE = 4_000_000
-#: Bits of a place within a slice; a text of more words than that goes beyond SLICE and is not met in practice (10 GB).
+#: Bits of a place within a slice; more words than that don't fit a text.
 PLACES = (1 << 32) - 1
 SCANNED = ["shard", "seg", "id", "at", "doc_id", "digest"]
-_M = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that leaves no order."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def segments(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -64,10 +53,10 @@ def segments(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int =
         return e, e.astype(np.uint64), e.astype(np.uint64), e, e
     g = h[: n - gram + 1].copy()
     for j in range(1, gram):
-        g = g * np.uint64(_P) + h[j : n - gram + 1 + j]
+        g = g * np.uint64(PRIME) + h[j : n - gram + 1 + j]
     g = mixed(g)
     # high bits of the gram's hash, then its place: the least one is the leftmost of the least hashes
-    low = (g & np.uint64(_M ^ PLACES)) | np.arange(len(g), dtype=np.uint64)
+    low = (g & ~np.uint64(PLACES)) | np.arange(len(g), dtype=np.uint64)
     done, span = 1, window - gram + 1
     while done < span:
         step = min(done, span - done)
@@ -80,54 +69,10 @@ def segments(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int =
     at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1]))) if len(least) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate((at, [len(least)])))
     first, own, least = inside[at], doc[at], least[at]
-    power = np.full(n + 1, _P, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(h * power[:n])))  # a plain 0 would turn all into floats
-    back = np.full(n + 1, pow(_P, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    end = first + count + window - 1
-    seg = mixed((total[end] - total[first]) * back[first] + end.astype(np.uint64) - first.astype(np.uint64))
+    seg = span_hashes(h, first, first + count + window - 1)
     return own, g[least], seg, first - starts[own], count
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(words of all texts one after the other, number of words of each text)."""
-    import pyarrow.compute as pc
-
-    trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
-    lists = pc.ascii_split_whitespace(trimmed)
-    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    blank = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False).astype(bool)
-    words = lists.flatten()
-    if blank.any():  # a text without words is one empty word until here
-        words = words.filter(pa.array(~np.repeat(blank, sizes)))
-        sizes[blank] = 0
-    return words, sizes
-
-
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    from xxhash import xxh64_intdigest
-
-    d = words.dictionary_encode()
-    of = np.fromiter((xxh64_intdigest(w, 1) for w in d.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(d.dictionary))
-    return of[d.indices.to_numpy()] if len(d) else np.zeros(0, np.uint64)
-
-
-def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about `size` bytes of the column, one row at least."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 class SuffixAutomaton:
     """Suffix automaton over several sequences; each state knows where the first of its occurrences ends."""
 
