@@ -19,12 +19,14 @@ PRIME = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir; a folder in /tmp only where it is unset."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests)
+    gets a folder in /tmp; a cluster's executors wouldn't share that, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file:///tmp/checkpoints/hanmaru"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints/hanmaru"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -45,10 +47,10 @@ def fold_ascii(text: bytes) -> bytes:
     return text.lower()  # bytes.lower() touches ASCII letters only
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: (a long, b long) links to (node long, root long), root the smallest node.
 
-    Alternates large-star and small-star steps until the links no longer change. Every step is a grouped minimum (summed
+    Alternates large-star and small-star steps until the links no longer change, which takes some log2(nodes)**2 rounds at most. Every step is a grouped minimum (summed
     up before its shuffle) and an equi-join whose skewed keys AQE splits, and each round's links go to the shared folder.
     Nodes without links don't appear. Self links and nulls are ignored.
     """
@@ -56,7 +58,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links"
     )
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -75,21 +77,48 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")).unionByName(
         pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )
 
 
-def likely_in(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> DataFrame:
-    """rows without most of those whose long `key` isn't among ids: a bitmap of 2**bits hash slots is sent out, so its size
-    is fixed. None that belongs is lost; a join has the last word."""
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
-    maps = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("page")).agg(F.bitmap_construct_agg(F.pmod(F.col("s"), F.lit(1 << 15))).alias("bitmap"))
-    test = "(cast(conv(hex(substring(bitmap__, cast(pmod(s__, 32768) as int) div 8 + 1, 1)), 16, 10) as int) >> cast(pmod(s__, 8) as int)) & 1 = 1"
-    some = rows.withColumn("s__", slot).join(F.broadcast(maps.select(F.col("page").alias("page__"), F.col("bitmap").alias("bitmap__"))), F.shiftright("s__", 15) == F.col("page__"))
-    return some.where(test).select(*rows.columns)
+def marked(rows: DataFrame, ids: DataFrame, key: Column, most_bits: int = 27) -> DataFrame:
+    """rows with a column maybe__: false where the key is not among the ids' column `id` for certain.
+
+    A bitmap of hash slots is sent out, some 16 for each id but at most 2**most_bits (16 MB), so its size is bounded; where ids
+    are more than it can tell apart, more rows say maybe. A join has the last word.
+    """
+    bits = min(most_bits, max(16, (16 * max(1, ids.count()) - 1).bit_length()))
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    maps = ids.select(slot(F.col("id")).alias("s")).groupBy(F.shiftright("s", 15).alias("page__")).agg(F.bitmap_construct_agg(F.pmod(F.col("s"), F.lit(1 << 15))).alias("bitmap__"))
+    test = "coalesce((cast(conv(hex(substring(bitmap__, cast(pmod(s__, 32768) as int) div 8 + 1, 1)), 16, 10) as int) >> cast(pmod(s__, 8) as int)) & 1 = 1, false)"
+    some = rows.withColumn("s__", slot(key)).join(F.broadcast(maps), F.shiftright("s__", 15) == F.col("page__"), "left")
+    return some.select(*rows.columns, F.expr(test).alias("maybe__"))
+
+
+def likely_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose long `key` isn't among ids; none that belongs is lost, and a join has the last word."""
+    return marked(rows, ids.select(F.col(key).alias("id")), F.col(key)).where("maybe__").drop("maybe__")
+
+
+def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each group: of the least doc_id (null last), then of the least hash of the text.
+
+    found has a row for each row of docs: doc_id, h (xxhash64 of the text) and grp, which equal rows share. Only rows that go
+    or repeat, and a few more, are shuffled with their texts.
+    """
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    first = found.groupBy("grp").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    keys = found.join(first, "grp").groupBy("doc_id", "h").agg(F.max((rank == F.col("first")).cast("int")).alias("keep__"), F.count("*").alias("n"))
+    touched = cut(keys.where("keep__ = 0 or n > 1").select(F.col("doc_id").alias("id__"), F.col("h").alias("h__"), "keep__"), "repeats")
+    both = lambda i, h: F.xxhash64(F.coalesce(i, F.lit(-1).cast("long")), h)
+    hash_ = F.xxhash64(docs["text"])
+    split = marked(docs, touched.select(both(F.col("id__"), F.col("h__")).alias("id")), both(docs["doc_id"].cast("long"), hash_))
+    some = split.where("maybe__").withColumn("own_id__", F.col("doc_id").cast("long")).withColumn("own_h__", F.xxhash64("text"))
+    met = some.join(touched, some["own_id__"].eqNullSafe(touched["id__"]) & (some["own_h__"] == touched["h__"]), "left")
+    lone = met.where("keep__ is null").select(*docs.columns)
+    one = met.where("keep__ = 1").dropDuplicates(["own_id__", "own_h__"]).select(*docs.columns)
+    return split.where("not maybe__").select(*docs.columns).unionByName(lone).unionByName(one)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -91,13 +91,16 @@ def in_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents taken, each once for every copy, with the column copy (from 0; a column of that name gives way)."""
     names = {"doc_id": "mix_id__", "text_hash": "mix_hash__", "source": "mix_source__"}
-    taken = mix(docs, **options).where("copies > 0").select(*[F.col(k).alias(v) for k, v in names.items()], "copies")
+    taken = mix(docs, **options).select(*[F.col(k).alias(v) for k, v in names.items()], "copies")
     # repeated rows are alike in id, hash and source: the copies of such a group are dealt to one row
-    taken = taken.groupBy(*names.values()).agg(F.sum("copies").alias("mix_copies__"))
-    rows = docs.withColumn("row_hash__", F.xxhash64("text")).dropDuplicates(["doc_id", "row_hash__", "source"])
+    taken = cut(taken.groupBy(*names.values()).agg(F.sum("copies").alias("mix_copies__"), F.count("*").alias("mix_rows__")).where("mix_copies__ > 0"), "taken")
+    rows = docs.withColumn("row_hash__", F.xxhash64("text"))
     on = rows["doc_id"].eqNullSafe(taken["mix_id__"]) & (rows["row_hash__"] == taken["mix_hash__"]) & rows["source"].eqNullSafe(taken["mix_source__"])
+    met = rows.join(taken, on)
+    if taken.where("mix_rows__ > 1").limit(1).count():
+        met = met.where("mix_rows__ = 1").unionByName(met.where("mix_rows__ > 1").dropDuplicates(list(names.values())))
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies__") - 1))
-    return rows.join(taken, on).select(*[rows[c] for c in docs.columns if c != "copy"], copy.alias("copy"))
+    return met.select(*[c for c in docs.columns if c != "copy"], copy.alias("copy"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ mixes letters and digits) that look live and whose hash occurs with few distinct
 corpus. Values that many owners share are examples, fixtures or published identifiers and get no `live` span.
 
 Positions are code points, end exclusive. Patterns have no positions in SQL, so each is run twice, once for the matches
-and once for the gaps between them; running sums of both lengths give the positions.
+and once for the gaps between them; running sums of both lengths over the matches give the positions.
 
 Fixed cases: null and empty texts have no spans; a null owner or repository counts as one owner or repository of its own;
 repeated rows and repeated values within a document don't add owners; of spans that start alike the listed order of kinds
@@ -15,7 +15,7 @@ decides; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -34,47 +34,32 @@ LEAST_DISTINCT = 8
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|test|xxxx|0123456789|abcdef012"
 
 
-def matches(text: Column, kind: str, pattern: str, whole: str, value_group: int, least: int) -> Column:
-    """array<struct<s, e, kind, value>> of a pattern's matches whose counted group has the least length, in text order.
-
-    `whole` is the pattern that splits the text: it matches exactly what `pattern` matches.
-    """
+def matches(text: Column, order: int, pattern: str, value_group: int = 0) -> Column:
+    """array<struct<o, i, gap, n, value>> of a pattern's matches in text order: number, characters since the match before,
+    characters of the match, and the value that counts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gaps = F.transform(F.split(text, whole, -1), F.length)
-    rows = F.arrays_zip(found.alias("m"), value.alias("v"), gaps.alias("g"))
-    empty = F.lit(None).cast("array<struct<s:int,e:int,kind:string,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<s:int,e:int,kind:string,value:string>>")).alias("got"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        got = F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(e.alias("at"), F.concat(acc["got"], F.array(got)).alias("got"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    rows = F.filter(F.arrays_zip(found.alias("m"), value.alias("v"), gaps.alias("g")), lambda x: x["m"].isNotNull())
+    return F.transform(rows, lambda x, i: F.struct(F.lit(order).alias("o"), i.alias("i"), x["g"].alias("gap"), F.length(x["m"]).alias("n"), x["v"].alias("value")))
 
-    real = F.filter(rows, lambda x: x["m"].isNotNull())
-    got = F.aggregate(real, start, step, lambda acc: acc["got"])
-    return F.filter(got, lambda x: F.length(x["value"]) >= least)
 
+def scan(docs: DataFrame, owner: str, repo: str, *keep: Column) -> DataFrame:
+    """`keep` and (owner, repo, found): matches of the base patterns and of the wide one."""
+    none = F.array().cast("array<struct<o:int,i:int,gap:int,n:int,value:string>>")
 
-def scan(docs: DataFrame, owner: str, repo: str) -> DataFrame:
-    """(doc_id, text_hash, owner, repo, a, k, h, w): spans of the base patterns and of the wide one."""
-    text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<struct<s:int,e:int,kind:string,value:string>>")
-
-    def some(test: str, spans: Column) -> Column:  # most texts have no match at all: one look settles those
-        return F.when(F.col("t").rlike(test), spans).otherwise(none)
+    def some(test: str, found: Column) -> Column:  # most texts have no match at all: one look settles those
+        return F.when(F.col("t").rlike(test), found).otherwise(none)
 
     t = F.col("t")
-    return docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), text.alias("t")
-    ).select(
-        "doc_id", "text_hash", "owner", "repo",
-        some(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{12}", matches(t, "assign", ASSIGN, ASSIGN, 2, 12)).alias("a"),
-        some(r"AKIA[A-Z0-9]{14}", matches(t, "access", r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]{14,}", 0, 18)).alias("k"),
-        some(r"[0-9a-f]{16}", matches(t, "hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16,}", 0, 16)).alias("h"),
-        some(WIDE, matches(t, "wide", WIDE, WIDE, 0, 24)).alias("w"),
+    rows = docs.select(*keep, F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), F.coalesce("text", F.lit("")).alias("t"))
+    found = F.concat(
+        some(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{12}", matches(t, 0, ASSIGN, 2)),
+        some(r"AKIA[A-Z0-9]{14}", matches(t, 1, r"AKIA[A-Z0-9]{14,}")),
+        some(r"[0-9a-f]{16}", matches(t, 2, r"[0-9a-f]{16,}")),
+        some(WIDE, matches(t, 3, WIDE)),
     )
+    return rows.withColumn("found", found).drop("t")
 
 
 def looks_live(value: Column) -> Column:
@@ -83,17 +68,14 @@ def looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= LEAST_DISTINCT) & ~value.rlike(PLACEHOLDER)
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """(doc_id, text_hash, base, spans): a row for each document; base and spans are array<struct<s, o, e, kind>>, sorted by s and o.
-
-    owner and repo name the columns that tell whose a document is and what collection of theirs it is from.
-    """
-    rows = cut(scan(docs, owner, repo).withColumn("row", F.monotonically_increasing_id()), "secret_spans")
-    every = F.concat("a", "k", "h", "w")
-    each = rows.where(F.size(every) > 0).select("row", "owner", "repo", F.explode(every).alias("x"))
-    each = each.select("row", "owner", "repo", "x.kind", "x.value", F.col("x.e").alias("e"), F.col("x.s").alias("s"))
-    key = F.sha2(F.col("value"), 256)
-    cand = each.where(looks_live(F.col("value"))).select("row", "owner", "repo", "s", "e", key.alias("h"))
+def spans_of(rows: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(row, spans): spans of the rows that have any, array<struct<s, o, e, kind>> sorted by s and o; rows come from a table, as
+    scan gives them, with a number `row` each."""
+    each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", "x.*")
+    so_far = Window.partitionBy("row", "o").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("n")).over(so_far).cast("int")
+    each = cut(each.withColumn("e", end).withColumn("s", F.col("e") - F.col("n")).where((F.col("o") > 0) | (F.length("value") >= 12)), "secret_spans")
+    cand = each.where(looks_live(F.col("value"))).select("row", "owner", "repo", "s", "e", F.sha2("value", 256).alias("h"))
     null = F.lit("\x00null")
     owned = (
         cand.select("h", F.coalesce("owner", null).alias("owner"), F.coalesce("repo", null).alias("repo"))
@@ -102,22 +84,22 @@ def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source", m
         .agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repos"))
         .where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     )
-    live = (
-        cand.select("row", "s", "e", "h")
-        .join(owned.select("h"), "h", "left_semi")
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("s", F.lit(3).alias("o"), "e", F.lit("live").alias("kind"))).alias("live"))
-    )
-    order = {k: i for i, k in enumerate(KINDS)}
+    live = cand.join(owned.select("h"), "h", "left_semi").select("row", "s", F.lit(3).alias("o"), "e")
+    both = each.where("o < 3").select("row", "s", "o", "e").unionByName(live)
+    kind = F.element_at(F.array(*map(F.lit, (*KINDS, "live"))), F.col("o") + 1)
+    return both.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "o", "e", kind.alias("kind")))).alias("spans"))
 
-    def plain(c: str, kind: str) -> Column:
-        return F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(order[kind]).alias("o"), x["e"].alias("e"), x["kind"].alias("kind")))
 
-    base = F.array_sort(F.concat(plain("a", "assign"), plain("k", "access"), plain("h", "hex")))
-    slim = rows.select("row", "doc_id", "text_hash", base.alias("base"))
-    return slim.join(live, "row", "left").select(
-        "doc_id", "text_hash", "base", F.when(F.col("live").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "live"))).alias("spans")
-    )
+def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """(doc_id, base, spans): a row for each document; base and spans are array<struct<s, o, e, kind>>, sorted by s and o.
+
+    owner and repo name the columns that tell whose a document is and what collection of theirs it is from.
+    """
+    rows = cut(scan(docs, owner, repo, F.col("doc_id")).withColumn("row", F.monotonically_increasing_id()), "secret_matches")
+    none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
+    spans = F.coalesce("spans", none)
+    found = rows.select("row", "doc_id").join(spans_of(rows, max_owners, max_repos), "row", "left")
+    return found.select("doc_id", F.filter(spans, lambda x: x["o"] < 3).alias("base"), spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -137,19 +119,20 @@ def masked(text: Column, spans: Column, mark: str) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repo: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """docs with every span replaced by the mark, overlapping spans by one; n_chars follows the text. No row is lost.
 
-    Equal rows have equal spans, so spans are looked up by doc_id and the text's hash.
+    Only rows with a match meet their spans in a shuffle; all others stay where they are.
     """
-    found = find_secrets(docs, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"), F.col("spans").alias("spans__"))
-    spans = found.dropDuplicates(["id__", "hash__"])
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["id__"]) & (F.xxhash64(docs["text"]) == spans["hash__"]), "left")
-    text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("spans__"), mark))
-    out = rows.withColumn("text", text)
+    rows = cut(scan(docs, owner, repo, F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "secret_matches")
+    plain = rows.where(F.size("found") == 0).select("doc.*")
+    met = rows.where(F.size("found") > 0).select("row", "doc").join(spans_of(rows, max_owners, max_repos), "row", "left")
+    text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(masked(F.col("doc.text"), F.col("spans"), mark))
+    out = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        length = F.when(F.col("spans").isNull(), F.col("doc.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = length.alias("n_chars")
+    return plain.unionByName(met.select(*[out.get(c, F.col(f"doc.`{c}`")) for c in docs.columns]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

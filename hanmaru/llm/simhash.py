@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, without_repeats
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints whose bit correlations and partition sizes steer the plan; the plan never changes the result.
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long): fp holds the fingerprint's 64 bits as a signed number."""
+    """(doc_id, h, fp long): fp holds the fingerprint's 64 bits as a signed number, h is the text's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -217,39 +217,27 @@ def verified_links(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links of at most radius bits."""
+    """(doc_id, h, fp long, root, component_id): component_id is the smallest doc_id reachable over links of at most radius bits,
+    root names the component where no document of it has an id."""
     rows = cut(fingerprints(docs, shingle, seed), "fingerprints")
     reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints")
     total = reps.count()
     if total:
         sample = np.array([r.fp for r in reps.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-        links = verified_links(probe_rows(reps, plan(sample, total, radius)), radius)
+        links = verified_links(cut(probe_rows(reps, plan(sample, total, radius)), "probes"), radius)
     else:
         links = reps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     roots = connected_components(links)
     known = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = known.join(first, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = known.join(first, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Documents without their near-duplicates: of each component the document of the smallest doc_id stays.
+    """Documents without their near-duplicates: of each component the document of the smallest doc_id stays, null ids last.
 
-    Repeated rows of that document count as copies of it. Where no document of a component has an id, one of each fingerprint stays.
+    Rows that repeat that document count as copies of it; of texts that share its id the one of the least hash stays.
     """
-    found = near_duplicates(docs, radius)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if nameless.limit(1).count():
-        marked = found.where("component_id is null").select(F.col("fp").alias("fp__")).distinct()
-        own = fingerprints_with_text(nameless).join(marked, "fp__", "left_semi").dropDuplicates(["fp__"])
-        kept = kept.unionByName(own.select(*docs.columns))
-    return kept.select(*docs.columns)
-
-
-def fingerprints_with_text(docs: DataFrame) -> DataFrame:
-    """docs with the column fp__ added, for the few rows that have no id to join on."""
-    fp = F.udf(lambda t: int(np.array([fingerprint(t)], np.uint64).view(np.int64)[0]), "long")
-    return docs.withColumn("fp__", fp("text"))
+    found = near_duplicates(docs.select("doc_id", "text"), radius)
+    return without_repeats(docs, found.select("doc_id", "h", F.col("root").alias("grp")))
