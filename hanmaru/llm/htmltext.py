@@ -60,7 +60,9 @@ BAD = frozenset(
 )
 GOOD = frozenset("article articlebody content post entry story text body main maincontent page prose hentry blog news paragraph".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: A start or end tag by the standard's states; possessive, so it never goes back. A slash that ends an unquoted value is part of it.
+ATTRS = r"""(?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+"""
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})(/?)>")
 ATTR = re.compile(r"""(?:class|id|role|itemprop|name)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
 KINDS = ("article", "main", "nav", "header", "footer", "aside", "section", "div", "p", "h", "li", "list", "a", "table", "form", "quote", "inline", "root")
@@ -81,52 +83,109 @@ class Node:
         self.tag, self.attrs, self.items, self.label = tag, attrs, [], 0
 
 
+class Open:
+    """The open elements, with counts that tell without a look at all of them whether one of a kind is open."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.counts, self.ps = [root], Counter(), [0]
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.counts[node.tag] += 1
+        if node.tag in EDGES_P:
+            self.ps.append(0)
+        elif node.tag == "p":
+            self.ps[-1] += 1
+
+    def pop_to(self, i: int) -> None:
+        """Closes the element at place i and all within it."""
+        while len(self.stack) > i:
+            tag = self.stack.pop().tag
+            self.counts[tag] -= 1
+            if tag in EDGES_P:
+                self.ps.pop()
+            elif tag == "p":
+                self.ps[-1] -= 1
+
+    def last(self, kinds: frozenset[str] | set[str], edge: frozenset[str] | set[str] = frozenset()) -> int:
+        """Place of the innermost open element of the kinds; 0 if an edge comes before it or there is none."""
+        if any(self.counts[k] for k in kinds):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in kinds:
+                    return i
+                if self.stack[i].tag in edge:
+                    return 0
+        return 0
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost open element of that tag, but an inline end never closes a block."""
+        i = self.last({tag}, BLOCK if tag not in BLOCK and tag not in MUTE else frozenset())
+        if i:
+            if tag in MUTE:
+                self.stack[i].items.clear()
+            self.pop_to(i)
+
+
+#: What an opening block looks no further than for a paragraph to close.
+EDGES_P = frozenset(("td", "th", "button", "table"))
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+
 def parse(html: str) -> Node:
-    """The page's tree. Elements whose content isn't text for readers keep none."""
+    """The page's tree, in time that grows with the page. Elements whose content isn't text for readers keep none."""
     root = Node("#root")
-    stack, at, size = [root], 0, len(html)
+    held = Open(root)
+    stack, at, size = held.stack, 0, len(html)
     while at < size:
-        m = TOKEN.search(html, at)
-        begin = m.start() if m else size
+        begin = html.find("<", at)
+        if begin < 0:
+            begin = size
         if begin > at:
             stack[-1].items.append(html[at:begin])
-        if not m:
+        if begin == size:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        at = begin
+        nxt = html[at + 1 : at + 2]
+        if nxt in ("!", "?") or (nxt == "/" and not (html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha())):
+            comment = html.startswith("<!--", at)
+            end = html.find("-->" if comment else ">", at + 2)  # <!--> is an empty comment
+            at = size if end < 0 else end + (3 if comment else 1)
             continue
-        tag = tag.lower()
+        m = TAG.match(html, at)
+        if not m:
+            letter = html[at + 2 : at + 3] if nxt == "/" else nxt
+            if letter.isascii() and letter.isalpha():  # a tag that the page's end cuts off
+                break
+            stack[-1].items.append("<")
+            at += 1
+            continue
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
-            close(stack, tag)
+            held.close(tag)
             continue
-        if tag in ENDS_P:
-            closed = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "button", "table")), 0)
-            if closed and stack[closed].tag == "p":
-                del stack[closed:]
+        if tag in ENDS_P and held.ps[-1]:
+            held.pop_to(held.last({"p"}))
         if tag in CLOSES:
             kinds, edge = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in edge:
+            while i := held.last(kinds, edge):
+                held.pop_to(i)
+                if tag != "tr":
                     break
-                if stack[i].tag in kinds:
-                    del stack[i:]
-                    if tag != "tr":
-                        break
         node = Node(tag, m[3])
         stack[-1].items.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = RAW_ENDS[tag].search(html, at)
             at = end.end() if end else size
         elif tag in FOREIGN:
-            if not m[3].rstrip().endswith("/"):
+            if not m[4]:
                 at = foreign_end(html, at, tag)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        elif tag not in VOID:
+            held.push(node)
     return root
 
 
-FOREIGN_EDGE = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)(svg|math|foreignobject|desc|title|annotation-xml|{"|".join(sorted(BLOCK))}|b|br|em|i|img|span|strong)((?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+FOREIGN_EDGE = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)(svg|math|foreignobject|desc|title|annotation-xml|{"|".join(sorted(BLOCK))}|b|br|em|i|img|span|strong)(?=[\s/>])({ATTRS})(/?)>""", re.S | re.I)
 
 
 def foreign_end(html: str, at: int, tag: str) -> int:
@@ -136,7 +195,7 @@ def foreign_end(html: str, at: int, tag: str) -> int:
         if m[2] is None:
             continue
         name = m[2].lower()
-        step = -1 if m[1] else 0 if m[3].rstrip().endswith("/") else 1
+        step = -1 if m[1] else 0 if m[4] else 1
         if name == tag:
             depth += step
             if not depth:
@@ -148,18 +207,6 @@ def foreign_end(html: str, at: int, tag: str) -> int:
     return at
 
 
-def close(stack: list[Node], tag: str) -> None:
-    """Closes the innermost open element of that tag, but an inline end never closes a block."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            if tag in MUTE:
-                stack[i].items.clear()
-            del stack[i:]
-            return
-        if tag not in BLOCK and tag not in MUTE and stack[i].tag in BLOCK:
-            return
-
-
 _SEEN: dict[str, tuple[int, int, int]] = {}
 
 

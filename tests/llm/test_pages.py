@@ -34,3 +34,33 @@ def test_sibling_features_are_exact_on_flat_pages(n):
     assert len(same) == n
     for k, i in enumerate(same):
         assert x[i, place] == pytest.approx(k / n) and x[i, alike] == pytest.approx(sum(order[j].tag == order[i].tag for j in same[:2] + same[-1:]) / n if order[i].tag != "p" else (n - 2) / n)
+
+
+@pytest.mark.parametrize("tag", ["<a title=don't>", "<a title='\"' x=\">\">", '<a href=x/>', "<p/>", "<!-->", "<!x \" y>", "</ >", "<?php '?>", "<a b='c'd=e>", "< b", "<3"])
+def test_odd_tags_lose_no_text(tag):
+    found = htmltext.extract([f"<html><body><div>{tag}</div>{ARTICLE}</body></html>"], htmltext.trained())[0]
+    assert all(f"Paragraph {i} of the story" in found for i in range(6))
+
+
+def test_slashes_close_void_and_foreign_elements_only():
+    root = htmltext.parse("<div/>a<a href=x/>b</a><br/>c<svg/>d")
+    assert [x.tag for x in root.items] == ["div"] and text_of(root) == "a b c d"
+
+
+@pytest.mark.parametrize("piece", ["<a title='", '<a title="', "<div>", "<b>", "<p><b>", "<li>", "<div><p>", "</b>", "<!--", "<td>", "<", "<a href=x ", "<option><div>"])
+def test_time_grows_with_the_page(piece):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        htmltext.parse(piece * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 60 * max(took(5000), 0.002)  # sixteen times the page; a square would be 256
+
+
+def test_long_pages_are_read_whole():
+    html = "<body><article>" + "".join(f"<p>Sentence number {i} of a very long page, which goes on and on.</p>" for i in range(20_000)) + "</article></body>"
+    found = htmltext.extract([html], htmltext.trained())[0]
+    assert found.count("Sentence number") == 20_000
