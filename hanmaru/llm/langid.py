@@ -209,16 +209,29 @@ def train(docs: DataFrame) -> Identifier:
     langs = sorted(r.lang for r in n.select("lang").collect())
     texts: dict[str, list[np.ndarray]] = {k: [] for k in langs}
     size = dict.fromkeys(langs, 0)
-    key = rows.select("lang", F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", F.lit("langid")).alias("h"), "text")
-    # each language's first texts in hash order: a bound on the hash, from the share wanted, comes before any sort
+    # of equal texts one is enough to rank; hashes of id and text tell rows of one id apart
+    key = rows.select("lang", F.xxhash64("doc_id", "text", F.lit("langid")).alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h", "text")
+
+    def take(some: DataFrame) -> dict[str, int]:
+        """Adds each language's first texts in hash order; returns how many were there."""
+        found = dict.fromkeys(langs, 0)
+        for r in some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG).orderBy("lang", "nth").toLocalIterator():
+            found[r.lang] += 1
+            if size[r.lang] < MAX_CHARS and any(map(str.isalpha, r.text)):
+                texts[r.lang].append(Letters.of(r.text))
+                size[r.lang] += len(texts[r.lang][-1])
+        return found
+
+    # a bound on the hash, from the share wanted, comes before any sort; where rows repeat it may leave too few: then without
+    wanted = {r.lang: r["count"] for r in n.collect()}
     share = n.select("lang", F.least(F.lit(1.0), F.lit(DOCS_PER_LANG + 4 * DOCS_PER_LANG**0.5 + 50) / F.col("count")).alias("share"))
-    some = key.join(F.broadcast(share), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).drop("share")
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h", "id")
-    taken = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG)
-    for r in taken.orderBy("lang", "nth").toLocalIterator():
-        if size[r.lang] < MAX_CHARS and any(map(str.isalpha, r.text)):
-            texts[r.lang].append(Letters.of(r.text))
-            size[r.lang] += len(texts[r.lang][-1])
+    got = take(key.join(F.broadcast(share), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).drop("share"))
+    few = [k for k in langs if got[k] < min(DOCS_PER_LANG, wanted[k])]
+    if few:
+        for k in few:
+            texts[k], size[k] = [], 0
+        take(key.where(F.col("lang").isin(few)))
     langs = [k for k in langs if texts[k]]
     # a fifth of the texts is kept from the models for calibration, where there are enough
     spare = {k: texts[k][::5] if len(texts[k]) >= 10 else [] for k in langs}

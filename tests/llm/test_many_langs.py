@@ -16,3 +16,11 @@ def test_every_language_gets_a_model(spark):
     assert model.langs == [f"l{k:02}" for k in range(70)]
     found = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
     assert all(found[i] == lang for i, _, lang in rows)
+
+
+def test_repeated_ids_leave_no_language_out(spark):
+    rng = random.Random(4)
+    line = lambda letters: "".join(rng.choice(letters) for _ in range(80))
+    rows = [(1, "der hund lief über die straße und bellte laut", "de")] * 3000 + [(1, line("äöüßdern "), "de") for _ in range(50)] + [(i, line("thequickfox "), "en") for i in range(2, 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"]
