@@ -57,7 +57,10 @@ def offset(source: Column, seed: str = SEED) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, text_hash, size, source, source_size, target, copies."""
-    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
+    deal = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.md5("text"), F.lit(""))))
+    rows = cut(
+        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.conv(F.substring(deal, 1, 8), 16, 10).cast("long").alias("deal")), "sizes"
+    )
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     goal = targets(sizes, weights, share, max_repeat)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).cast(EXACT)
@@ -81,10 +84,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
 
 
 def in_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
-    """rows with the column slot, by the hash of doc_id."""
+    """rows with the column slot, by the hash of doc_id and text, so that rows of one id (or none) don't meet in one slot."""
     s = slots.select(F.col("source").alias("s_"), F.col("c").alias("c_"), "slots")
     joined = rows.join(s, rows["source"].eqNullSafe(s["s_"]) & (rows["c"] == s["c_"]))
-    slot = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long"), F.col("slots"))
+    slot = F.pmod("deal", F.col("slots"))
     return joined.withColumn("slot", slot.cast("int")).drop("s_", "c_", "slots")
 
 
@@ -96,7 +99,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     taken = cut(taken.groupBy(*names.values()).agg(F.sum("copies").alias("mix_copies__"), F.count("*").alias("mix_rows__")).where("mix_copies__ > 0"), "taken")
     rows = docs.withColumn("row_hash__", F.xxhash64("text"))
     on = rows["doc_id"].eqNullSafe(taken["mix_id__"]) & (rows["row_hash__"] == taken["mix_hash__"]) & rows["source"].eqNullSafe(taken["mix_source__"])
-    met = rows.join(taken, on)
+    met = rows.join(taken.hint("merge"), on)  # texts are shuffled once at every size
     if taken.where("mix_rows__ > 1").limit(1).count():
         met = met.where("mix_rows__ = 1").unionByName(met.where("mix_rows__ > 1").dropDuplicates(list(names.values())))
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies__") - 1))
@@ -127,7 +130,7 @@ g AS (SELECT source, source_size,
 r AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS DECIMAL(38, 12)) AS rate FROM g),
 c AS (SELECT t.*, CAST(floor(log2(size + 1.0) * 8) AS INT) AS c FROM t),
 k AS (SELECT c.*, CAST(ceil(count(*) OVER (PARTITION BY source, c) / CAST(block_rows AS DOUBLE)) AS BIGINT) AS slots FROM c, n),
-m AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % slots AS slot FROM k),
+m AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(md5(text), '')), 1, 8) AS BIGINT) % slots AS slot FROM k),
 o AS (SELECT m.doc_id, m.size, r.source_size, r.target, r.rate,
     CAST(CAST('0x' || substr(md5('mix|' || coalesce('s' || m.source, 'n')), 1, 8) AS BIGINT) / 4294967296.0 AS DECIMAL(38, 12)) AS u,
     row_number() OVER (PARTITION BY m.source ORDER BY c, slot, size, doc_id) AS i
