@@ -18,7 +18,7 @@ LARGE_DIGITS = 9
 
 def normal_digits(c: Column) -> Column:
     """The digits of a string of ASCII digits and commas; null for any other string."""
-    return F.when(c.rlike("^[0-9,]*[0-9][0-9,]*$"), F.replace(c, F.lit(",")))
+    return F.when(c.rlike(r"^[0-9,]*[0-9][0-9,]*\z"), F.replace(c, F.lit(",")))
 
 
 def spelled(d: Column, zero: str = "零") -> Column:
@@ -26,11 +26,13 @@ def spelled(d: Column, zero: str = "零") -> Column:
     return F.translate(d, DIGITS, zero + HANJA_DIGITS[1:])
 
 
-def groups(d: Column) -> Column:
-    """The digits in groups of four from the right, each padded to four, the highest first."""
-    n = F.ceil(F.length(d) / 4).cast("int")
-    padded = F.lpad(d, n * 4, "0")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(padded, i * 4 + 1, F.lit(4)))
+def groups(d: Column) -> list[Column]:
+    """MAX_GROUPS groups of four digits, the highest first, padded with zeros; d has no more digits than that.
+
+    Each is a plain expression, so readings stay in generated code.
+    """
+    padded = F.lpad(d, 4 * MAX_GROUPS, "0")
+    return [F.substring(padded, 4 * i + 1, 4) for i in range(MAX_GROUPS)]
 
 
 def small_group(g: Column, digits: str, units: tuple[str, ...]) -> Column:
@@ -45,20 +47,14 @@ def small_group(g: Column, digits: str, units: tuple[str, ...]) -> Column:
 
 def quantity(d: Column, digits: str, units: tuple[str, ...], names: tuple[str, ...]) -> Column:
     """The number as a quantity; groups of zero are skipped, zero itself is its digit."""
-    table = F.array(*map(F.lit, names))
-    g = groups(d)
-    n = F.size(g)
-    read = F.transform(g, lambda x, i: F.when(x == "0000", "").otherwise(F.concat(small_group(x, digits, units), F.element_at(table, n - i))))
-    return F.when(d.rlike("^0+$"), F.lit(digits[0])).otherwise(F.array_join(read, ""))
+    read = [F.when(x == "0000", "").otherwise(F.concat(small_group(x, digits, units), F.lit(name))) for x, name in zip(groups(d), reversed(names), strict=True)]
+    return F.when(d.rlike(r"^0+\z"), F.lit(digits[0])).otherwise(F.concat(*read))
 
 
 def grouped(d: Column) -> Column:
     """Digits with the names of their groups, for two to five groups; null otherwise."""
-    table = F.array(*map(F.lit, HANGUL_GROUPS))
-    g = groups(d)
-    n = F.size(g)
-    read = F.transform(g, lambda x, i: F.when(x == "0000", "").otherwise(F.concat(x.cast("int").cast("string"), F.element_at(table, n - i))))
-    return F.when(n.between(2, MAX_GROUPS) & ~d.rlike("^0+$"), F.array_join(read, ""))
+    read = [F.when(x == "0000", "").otherwise(F.concat(x.cast("int").cast("string"), F.lit(name))) for x, name in zip(groups(d), reversed(HANGUL_GROUPS), strict=True)]
+    return F.when(F.length(d).between(5, 4 * MAX_GROUPS) & ~d.rlike(r"^0+\z"), F.concat(*read))
 
 
 def readings(c: Column) -> Column:

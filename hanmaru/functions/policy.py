@@ -35,7 +35,7 @@ def modifiers(c: Column) -> Column:
 
 
 def is_printable_ascii(c: Column) -> Column:
-    return c.rlike(r"^[ -~]$")
+    return c.rlike(r"^[ -~]\z")
 
 
 def commits_clause(c: Column) -> Column:
@@ -81,8 +81,8 @@ def typed_character(chars: Column, key_code: Column, mods: Column) -> Column:
     marks = F.create_map(*[F.lit(x) for kv in SHIFTED.items() for x in kv])
     own = F.coalesce(is_printable_ascii(chars), F.lit(False))
     base = F.when(own, F.lower(chars)).otherwise(table[key_code.cast("int")])
-    shift = F.coalesce(mods.bitwiseAND(SHIFT) != 0, own & chars.rlike("^[A-Z]$"))
-    moved = F.when(base.isin(*SHIFT_LETTERS), F.upper(base)).when(base.rlike("^[a-z]$"), base).otherwise(F.coalesce(marks[base], base))
+    shift = F.coalesce(mods.bitwiseAND(SHIFT) != 0, own & chars.rlike(r"^[A-Z]\z"))
+    moved = F.when(base.isin(*SHIFT_LETTERS), F.upper(base)).when(base.rlike(r"^[a-z]\z"), base).otherwise(F.coalesce(marks[base], base))
     return F.when(shift, moved).otherwise(base)
 
 

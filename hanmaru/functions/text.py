@@ -1,33 +1,28 @@
 """Text identity and measures.
 
-Strings are compared in NFC; offsets count UTF-16 units. Nearly all strings are in NFC already, which a pattern can tell, so
-only others travel to Python.
+Strings are compared in NFC; offsets count UTF-16 units. Nearly all strings are in NFC already, which a pattern can tell; only
+others are normalised.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Strings of ASCII, precomposed Hangul, compatibility jamo and unified ideographs are in NFC as they stand.
-SURELY_NFC = r"^[\x00-\x7F가-힣ㄱ-ㆎ一-鿿]*$"
+SURELY_NFC = r"^[\x00-\x7F가-힣ㄱ-ㆎ一-鿿]*\z"
 #: Hangul: syllables, compatibility jamo, jamo, and both extended jamo blocks.
 HANGUL = "가-힣ㄱ-ㆎᄀ-ᇿꥠ-ꥼힰ-ퟻ"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
 def nfc_key(c: Column) -> Column:
-    """The NFC form of a string: the form in which keys are joined, grouped and ordered."""
-    plain = c.rlike(SURELY_NFC)
-    return F.when(plain, c).otherwise(_nfc(F.when(~plain, c)))
+    """The NFC form of a string: the form in which keys are joined, grouped and ordered.
+
+    The normaliser is the one of the Unicode library that Spark's collations come with, so no row leaves the JVM.
+    """
+    return F.when(c.rlike(SURELY_NFC), c).when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
 
 
 def utf16_length(c: Column) -> Column:
@@ -48,7 +43,7 @@ def utf16_slice(text: Column, loc: Column, size: Column) -> Column:
 
 def hangul_tail(c: Column) -> Column:
     """The run of Hangul at the end of a string, empty if there is none."""
-    return F.regexp_extract(c, f"[{HANGUL}]+$", 0)
+    return F.regexp_extract(c, f"[{HANGUL}]+\\z", 0)
 
 
 def graphemes(c: Column) -> Column:

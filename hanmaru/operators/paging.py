@@ -38,15 +38,23 @@ def initial(highlight: Column, page: Column, n: Column, size: Column) -> Column:
     return F.struct(s.cast("long").alias("size"), F.when(on_page, h).otherwise(p * s).cast("long").alias("highlight"), p.cast("long").alias("page"))
 
 
-def ring_move(highlight: Column, hangul: Column, delta: Column, n: Column, page: Column, size: int = PAGE_SIZE) -> Column:
-    """struct<highlight, hangul, page> after moving in the ring of n candidates and the row of the key itself.
+def ring_move(highlight: Column, hangul: Column, delta: Column, n: Column, page: Column, size: int = PAGE_SIZE, key_row: Column | None = None) -> Column:
+    """struct<highlight, hangul, page> after moving in the ring of n candidates and, where key_row holds, the row of the key itself.
 
-    The page follows only a candidate; on the key's row the former highlight and page stay.
+    The page follows only a candidate. On the key's row the page stays, and the highlight is the candidate passed last. Without
+    candidates the key's row loses the highlight; a move by 0 changes nothing.
     """
-    at = F.pmod(F.when(hangul, n).otherwise(highlight) + delta, n + 1)
-    lands = at == n
+    ring = n + (F.lit(1) if key_row is None else key_row.cast("int"))
+    # from the key's row, which stands behind the last candidate, a step up leads to the first and a step down to the last
+    before = F.when(hangul & (delta > 0), -1).when(hangul, n).otherwise(highlight)
+    at = F.pmod(before + delta, F.greatest(ring, F.lit(1)))
+    lands = (at == n) & (n < ring)
+    passed = F.when(delta > 0, n - 1).otherwise(F.lit(0))
+    still = (delta == 0) | (n == 0)
     return F.struct(
-        F.when(lands, highlight).otherwise(at).cast("long").alias("highlight"), lands.alias("hangul"), F.when(lands, page).otherwise(F.floor(at / size)).cast("long").alias("page")
+        F.when(still, highlight).when(lands, passed).otherwise(at).cast("long").alias("highlight"),
+        F.when(n == 0, F.lit(False)).when(still, hangul).otherwise(lands).alias("hangul"),
+        F.when(still | lands, page).otherwise(F.floor(at / size)).cast("long").alias("page"),
     )
 
 

@@ -300,12 +300,23 @@ def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(size, "reading_k").select("reading", "rn", "n", F.explode(F.array(*map(F.lit, (-10, -1, 1, 7)))).alias("delta"))
 
 
-@query(SIZES + """, a AS (SELECT *, ((rn - 1 + delta) % (n + 1) + n + 1) % (n + 1) AS pos FROM mv)
-SELECT reading, rn, delta, CAST(CASE WHEN pos = n THEN rn - 1 ELSE pos END AS BIGINT) AS highlight, pos = n AS hangul, CAST(CASE WHEN pos = n THEN (rn - 1) // 9 ELSE pos // 9 END AS BIGINT) AS page FROM a""")
+@query(SIZES + """, starts AS (SELECT mv.*, on_key, key_row FROM mv, (VALUES (false, true), (true, true), (false, false), (true, false)) t(on_key, key_row)),
+ended AS (
+  WITH RECURSIVE w AS (
+    SELECT reading, rn, delta, n, on_key, key_row, CAST(rn - 1 AS BIGINT) AS h, on_key AS k, abs(delta) AS left_ FROM starts
+    UNION ALL
+    SELECT reading, rn, delta, n, on_key, key_row,
+      CASE WHEN k THEN CASE WHEN delta > 0 THEN 0 ELSE n - 1 END
+        WHEN h + sign(delta) BETWEEN 0 AND n - 1 THEN CAST(h + sign(delta) AS BIGINT) WHEN key_row THEN h WHEN delta > 0 THEN 0 ELSE n - 1 END,
+      NOT k AND key_row AND h + sign(delta) NOT BETWEEN 0 AND n - 1, left_ - 1 FROM w WHERE left_ > 0)
+  SELECT * FROM w WHERE left_ = 0)
+SELECT reading, rn, delta, on_key, key_row, CAST(h AS BIGINT) AS highlight, k AS hangul, CAST(CASE WHEN k THEN (rn - 1) // 9 ELSE h // 9 END AS BIGINT) AS page FROM ended""")
 def ring_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves from every candidate and from the key's row, in rings with that row and without; the SQL goes step by step."""
     at = F.col("rn") - 1
-    moved = P.ring_move(at, F.lit(False), F.col("delta"), F.col("n"), P.page_of(F.col("rn")))
-    return _moves(spark, sf_dir).withColumn("m", moved).select("reading", "rn", "delta", "m.highlight", "m.hangul", "m.page")
+    start = F.explode(F.array(*[F.struct(F.lit(a).alias("on_key"), F.lit(b).alias("key_row")) for a in (False, True) for b in (True, False)]))
+    moved = P.ring_move(at, F.col("on_key"), F.col("delta"), F.col("n"), P.page_of(F.col("rn")), key_row=F.col("key_row"))
+    return _moves(spark, sf_dir).withColumn("s", start).select("*", "s.*").withColumn("m", moved).select("reading", "rn", "delta", "on_key", "key_row", "m.highlight", "m.hangul", "m.page")
 
 
 @query(SIZES + """, a AS (SELECT *, (n + 8) // 9 AS pages FROM mv), b AS (SELECT *, (((rn - 1) // 9 + delta) % pages + pages) % pages AS page_ FROM a)

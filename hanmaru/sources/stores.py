@@ -7,6 +7,8 @@ malformed one is empty, its version isn't checked, and of entries with one key t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -41,8 +43,11 @@ def load_frequency(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """dictionary(pos, reading, value, comment); pos follows the order of files and lines."""
-    rows = spark.read.option("sep", "\t").option("lineSep", "\n").schema("reading string, value string, comment string").csv(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id()).select("pos", "reading", "value", F.coalesce("comment", F.lit("")).alias("comment"))
+    rows = lines(spark, path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    part = F.split("value", "\t", -1)
+    # lines of one block are numbered in their order, blocks in any: sorted, numbers rise with files and lines
+    ordered = rows.where(F.size(part) >= 2).select("file", "block", "line", part[0].alias("reading"), part[1].alias("value"), F.coalesce(F.get(part, 2), F.lit("")).alias("comment"))
+    return ordered.orderBy("file", "block", "line").select(F.monotonically_increasing_id().alias("pos"), "reading", "value", "comment")
 
 
 def _entries(spark: SparkSession, path: str, entry: str) -> DataFrame:
@@ -87,5 +92,16 @@ def user_document(entries: DataFrame) -> DataFrame:
 
 
 def save(document: DataFrame, path: str) -> None:
-    """Writes the document, replacing the one there as a whole."""
-    document.coalesce(1).write.mode("overwrite").text(path)
+    """Writes the document into the folder `path`, replacing the one there in one step: readers see the old one or the new one."""
+    spark = document.sparkSession
+    fresh = f"{path}/_new-{uuid.uuid4().hex}"  # readers skip names that start so
+    document.coalesce(1).write.text(fresh)
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = fs_path(path).getFileSystem(conf)
+    part = next(s.getPath() for s in files.listStatus(fs_path(fresh)) if s.getPath().getName().startswith("part-"))
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(part, files.makeQualified(fs_path(f"{path}/document.json")), overwrite)
+    files.delete(fs_path(fresh), True)
