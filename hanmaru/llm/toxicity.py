@@ -3,15 +3,17 @@
 Many weak voters look at a text: lexicon voters, each a word stem that labelled rows associate with toxicity, a seed lexicon,
 and pattern voters (shouting, exclamation, symbol noise, address in the second person). A generative label model estimates
 by expectation maximisation how often each voter is right in either class and how strongly voters correlate given the
-class; correlated voters share their say. The label that a row carries is one more voter. A linear classifier is then
-trained on the posterior labels, and it alone scores texts.
+class; correlated voters share their say. It sees labelled and unlabelled texts alike: the label that a row carries is one
+more voter, which abstains on unlabelled texts and whose accuracy is estimated as any other's. A linear classifier is then
+trained on the posterior labels of all these texts, and it alone scores texts.
 
-Only the classifier is fitted on a sample, of at most MAX_LABELLED labelled rows in order of a hash of doc_id; scoring
-reads every whole text. Model and lexicon are of fixed size, so what is sent to executors doesn't grow.
+Only lexicon, label model and classifier are fitted on a sample: at most MAX_LABELLED labelled rows and MAX_UNLABELLED
+unlabelled ones, in order of a hash of doc_id; scoring reads every whole text. Model and lexicon are of fixed size, so what
+is sent to executors doesn't grow.
 
 Fixed cases: null and empty texts score the classifier's value for no words; labels that are null, or whose documents are
-missing, teach nothing; a document labelled more than once counts as toxic if any label says so; repeated documents
-score alike; without labelled rows of both classes every score is the share of toxic rows (0 if there is none); extra
+missing, teach nothing; a document labelled more than once counts as toxic if any label says so; of rows that repeat a
+sampled doc_id the one of the least text hash teaches; repeated documents score alike; without labelled rows of both classes every score is the share of toxic rows (0 if there is none); extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bound of the labelled sample that the classifier is fitted on.
-MAX_LABELLED = 6000
+#: Bounds of the samples that the model is fitted on.
+MAX_LABELLED, MAX_UNLABELLED = 6000, 3000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 MAX_VOTERS, MAX_STEMS = 96, 3000
-GOLD_ACCURACY = 0.95
+#: Where the estimate of the labels' accuracy starts, and a prior of so many rows that holds it there.
+GOLD_ACCURACY, GOLD_ROWS = 0.95, 50
+#: What an unlabelled row counts beside a labelled one: in the label model's rates, and in the classifier's loss.
+UNLABELLED_SAY, UNLABELLED_COST = 0.1, 0.02
 #: Seed lexicon: general insults of a few languages.
 SEEDS = frozenset(
     "asshole bastard bitch clown cretin disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless "
@@ -106,40 +111,50 @@ def scaled(count, n):
     return np.minimum(1.0, 10.0 * count / np.maximum(1, n))
 
 
-def label_model(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, and each voter's weight, from votes (rows x voters: -1, 0 for none, 1).
+def label_model(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row, each voter's weight and accuracy (where it votes), from votes (rows x voters: -1, 0 for none, 1).
 
-    The last voter is the row's label, whose accuracy is taken as known. Expectation maximisation over class-conditional
-    vote rates; voters that correlate given the class share one say: each counts 1 / (1 + sum of its correlations).
+    The last voter is the row's label; labelled rows give the first rates, then all rows do. Expectation maximisation over class-conditional vote rates, the labels' among them; voters that correlate given
+    the class share one say: each counts 1 / (1 + sum of its correlations).
     """
     rows, m = votes.shape
     gold = votes[:, -1]
-    post = np.where(gold == 1, GOLD_ACCURACY, np.where(gold == -1, 1 - GOLD_ACCURACY, 0.5))
+    labelled = gold != 0
+    yes = (votes[:, :-1] > 0).sum(axis=1)
+    guess = np.where(yes > np.quantile(yes, 0.8), 0.7, 0.1)  # only where there are no labels at all
+    post = np.where(gold == 1, GOLD_ACCURACY, np.where(gold == -1, 1 - GOLD_ACCURACY, guess))
+    # the first rates come from labelled rows; from then on every row counts
+    counts = labelled.astype(float) if labelled.any() else np.ones(rows)
     seen = [(votes == v).astype(float) for v in (-1, 0, 1)]
     weight = np.ones(m)
     for _ in range(rounds):
-        prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
+        prior = float(np.clip((post * counts).sum() / counts.sum(), 1e-3, 1 - 1e-3))
         ll = np.zeros((rows, 2))
         resid = np.zeros((rows, m))
-        for y, p in ((0, 1 - post), (1, post)):
+        right_share = np.zeros(m)
+        for y, p in ((0, (1 - post) * counts), (1, post * counts)):
             rates = np.stack([(s * p[:, None]).sum(axis=0) + 1.0 for s in seen])
             rates /= rates.sum(axis=0)
-            rates[:, -1] = (1 - GOLD_ACCURACY, 1e-3, GOLD_ACCURACY) if y else (GOLD_ACCURACY, 1e-3, 1 - GOLD_ACCURACY)
+            said = (gold == (1 if y else -1)).astype(float) * p
+            right = (said.sum() + GOLD_ROWS * GOLD_ACCURACY) / ((labelled * p).sum() + GOLD_ROWS)
+            rates[:, -1] = (1 - right, 1.0, right) if y else (right, 1.0, 1 - right)  # whether a row is labelled says nothing
             ll[:, y] = (seen[0] * np.log(rates[0]) + seen[2] * np.log(rates[2])) @ weight  # who abstains says nothing
             resid += p[:, None] * (votes - (rates[2] - rates[0]))
+            right_share += (prior if y else 1 - prior) * rates[2 * y] / (rates[0] + rates[2])
         dev = resid / (np.sqrt((resid**2).mean(axis=0)) + 1e-9)
         cor = np.abs(dev.T @ dev) / rows
+        counts = np.where(labelled, 1.0, UNLABELLED_SAY) if labelled.any() else np.ones(rows)
         np.fill_diagonal(cor, 0)
         cor[:, -1] = cor[-1, :] = 0
         weight = 1 / (1 + np.where(cor > 0.1, cor, 0).sum(axis=0))
         z = np.log(prior / (1 - prior)) + ll[:, 1] - ll[:, 0]
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return post, weight
+    return post, weight, right_share
 
 
 @dataclass
 class Sample:
-    """Labelled rows in flat arrays: entry k says that row[k] has stem[k] count[k] times."""
+    """Rows with labels (0, 1, or -1 for none) in flat arrays: entry k says that row[k] has stem[k] count[k] times."""
 
     labels: np.ndarray
     words: np.ndarray
@@ -158,7 +173,8 @@ class Sample:
 def fit(data: Sample, chosen: list[str], voters: int) -> Model:
     """Model over the chosen stems, the first `voters` of which vote as a lexicon."""
     labels, size, rows = data.labels, len(chosen), len(data.labels)
-    share = float(labels.mean()) if rows else 0.0
+    given = labels >= 0
+    share = float(labels[given].mean()) if given.any() else 0.0
     if not 0 < share < 1:
         return Model(bias=30.0 if share else -30.0)
     r, f = data.row, data.stem
@@ -173,17 +189,18 @@ def fit(data: Sample, chosen: list[str], voters: int) -> Model:
         if not (val > 0).any():
             continue
         cuts = np.unique(np.quantile(val[val > 0], (0, 0.25, 0.5, 0.75)))
-        best = max(cuts, key=lambda c: labels[val >= c].sum() / (1 + (val >= c).sum()) * np.sqrt((val >= c).sum()))
+        own = val[given]
+        best = max(cuts, key=lambda c: labels[given][own >= c].sum() / (1 + (own >= c).sum()) * np.sqrt((own >= c).sum()))
         votes.append(np.where(val >= best, 1, 0))
     seeds = np.array([s in SEEDS for s in chosen])
     votes.append(np.where(np.bincount(r, weights=seeds[f], minlength=rows) > 0, 1, 0))
     for j, cut in enumerate((0.3, 0.2, 0.1, 0.02)):
         votes.append(np.where(pats[:, j] >= cut, 1, 0))
-    votes.append(np.where(labels > 0, 1, -1))
-    post, _ = label_model(np.stack(votes, axis=1).astype(np.int8))
+    votes.append(np.where(given, np.where(labels > 0, 1, -1), 0))
+    post, _, _ = label_model(np.stack(votes, axis=1).astype(np.int8))
 
     # toxic rows are few: each counts so much more that both classes matter
-    cost = 1 + post * (1 - share) / share
+    cost = (1 + post * (1 - share) / share) * np.where(given, 1.0, UNLABELLED_COST)
     # full-batch Adam on the logistic loss against the posterior, with a small ridge
     w = np.zeros(2 * size + 4 + 1)
     w[-1] = np.log(share / (1 - share))
@@ -210,15 +227,16 @@ def fit_calibrated(data: Sample, chosen: list[str], voters: int, folds: int = 2)
     """fit, with scores shifted so that one half is the cut that parts the labels best when each fold is scored by a model
     of the others (F, precision counting twice)."""
     model = fit(data, chosen, voters)
-    y = data.labels
-    if not 0 < y.mean() < 1 or len(y) < 200:
+    y, given = data.labels, data.labels >= 0
+    if given.sum() < 200 or not 0 < y[given].mean() < 1:
         return model
     z, fold = np.zeros(len(y)), np.arange(len(y)) % folds
     for k in range(folds):
         part = data.part(fold != k)
-        if not 0 < part.labels.mean() < 1:
+        if not 0 < part.labels[part.labels >= 0].mean() < 1:
             return model
         z[fold == k] = logits(fit(part, chosen, voters), data.part(fold == k))
+    y, z = y[given], z[given]
     order = np.argsort(-z, kind="stable")
     best = int((1.25 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + 0.25 * max(1, y.sum()))).argmax())
     model.bias -= float(z[order][best : best + 2].mean())
@@ -229,8 +247,21 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fits the classifier on labelled rows that are not held out."""
+def unlabelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(id_, y, text): at most `most` documents without any label, held-out ids left out, in order of a hash of doc_id; y is -1.
+
+    A bound on the hash, from the share wanted, comes before the join and the sort.
+    """
+    slim = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id_"), "text")
+    n = max(1, slim.count())
+    few = slim.where(F.pmod(F.xxhash64("id_", F.lit("unlabelled")), F.lit(1 << 30)) <= min(1.0, 4.0 * most / n) * (1 << 30))
+    rest = few.join(labels.select(F.col("doc_id").cast("long").alias("id_")).distinct(), "id_", "left_anti")
+    one = rest.groupBy("id_").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return cut(one.orderBy(F.xxhash64("id_", F.lit("unlabelled")), "id_").limit(most).select("id_", F.lit(-1).alias("y"), "text"), "unlabelled")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """Fits the classifier on labelled rows that are not held out, and on unlabelled ones."""
     some = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("id_"))
@@ -239,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .limit(max_labelled)
     )
     slim = docs.select(F.col("doc_id").cast("long").alias("id_"), "text")
-    texts = cut(slim.join(F.broadcast(some), "id_").select("id_", "y", "text"), "labelled")
+    # one row for each id: rows that repeat it must not all come to the driver
+    texts = cut(slim.join(F.broadcast(some), "id_").groupBy("id_", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
 
     def stem_counts(words: Counter[str]) -> Counter[str]:
         got: Counter[str] = Counter()
@@ -286,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id_", "y", "n", "f", "c", "p"])
 
-    table = texts.mapInArrow(take, "id_ long, y int, n int, f array<int>, c array<int>, p array<double>").toArrow().sort_by("id_").combine_chunks()
+    table = texts.unionByName(unlabelled(docs, labels, max_unlabelled)).mapInArrow(take, "id_ long, y int, n int, f array<int>, c array<int>, p array<double>").toArrow().sort_by("id_").combine_chunks()
 
     def flat(name: str, kind: type) -> np.ndarray:
         return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
