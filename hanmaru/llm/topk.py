@@ -1,9 +1,12 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Vectors are dealt by a hash of their id to blocks of about BLOCK_ROWS rows. A block keeps its exact vectors and, apart from
-them, one quantised cell number per component. For a query the cells alone bound every score from both sides; exact
-vectors are then read in the order of their upper bounds until the k-th best score is certain. Queries come in packed
-blocks that meet every vector block, and each meeting returns at most k rows a query, which a window merges.
+Equal vectors are one, with the few smallest ids of its rows that can matter. Beside the table of exact vectors stands a
+file of cells: one byte a component, that says in which of CELLS equal stretches of that component's range it lies. A cell's
+lower corner scores s with a query, and the vector itself s + slack at most, where slack depends on the query alone.
+
+Queries go in batches of bounded size that are sent out. A first scan of the cells gives each query the vectors of the highest
+bounds; their exact vectors are read, and the k-th exact score so far is a bound for the whole table. A second scan of the
+cells finds all other vectors whose upper bound reaches it; only those are read, and then the k-th result is certain.
 
 Fixed cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; only
 vectors of as many components as the query are its candidates; a query's own id is never its candidate, however often it
@@ -17,15 +20,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-K, SCALE, CELLS = 5, 256, 64
-BLOCK_ROWS, QUERY_ROWS = 2048, 512
+K, SCALE, CELLS = 5, 256, 256
+#: Bytes of query vectors that are sent out at once, scores that a task holds at once, and how many times k vectors the first scan gives.
+BATCH_BYTES, SCORES, AHEAD = 8_000_000, 2_000_000, 4
 #: Sums of products below this are exact in float64.
 EXACT_SUM = 2.0**52
 
@@ -41,88 +44,153 @@ def quantised(x: Column, scale: int = SCALE) -> Column:
     return F.when(x.isNotNull() & fine, F.transform(x, whole))
 
 
-class VectorBlock:
-    """Exact vectors and their cells."""
-
-    def __init__(self, ids: np.ndarray, exact: np.ndarray) -> None:
-        self.ids, self.exact = ids, exact
-        low, high = exact.min(axis=0), exact.max(axis=0)
-        width = np.maximum((high - low) / CELLS, 1e-300)
-        self.cells = np.clip(((exact - low) / width), 0, CELLS - 1).astype(np.uint8)
-        # each cell's bounds are the least and largest component that fell into it
-        d = exact.shape[1]
-        self.low, self.high = np.full((CELLS, d), np.inf), np.full((CELLS, d), -np.inf)
-        at = (self.cells, np.broadcast_to(np.arange(d), exact.shape))
-        np.minimum.at(self.low, at, exact)
-        np.maximum.at(self.high, at, exact)
-
-    def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        got = self.exact[at]
-        if np.abs(got).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) < EXACT_SUM:
-            return (got @ q).astype(np.int64)
-        whole = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in got]
-        return np.array([max(-(2**63), min(2**63 - 1, x)) for x in whole], np.int64)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's place, ids, scores) of each query's k best rows here."""
-        cols = np.arange(self.exact.shape[1])
-        low, high = self.low[self.cells, cols], self.high[self.cells, cols]
-        pos, neg = np.maximum(queries, 0), np.minimum(queries, 0)
-        slack = 1e-9 * (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-6
-        upper, lower = pos @ high.T + neg @ low.T + slack, pos @ low.T + neg @ high.T - slack
-        upper, lower = np.clip(upper, -(2.0**63), 2.0**63), np.clip(lower, -(2.0**63), 2.0**63)  # as scores are
-        mine = own[:, None] == self.ids[None, :]
-        upper[mine] = lower[mine] = -np.inf
-        n = len(self.ids)
-        need = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-        for i, q in enumerate(queries):
-            at = np.flatnonzero((upper[i] >= need[i]) & (upper[i] > -np.inf))
-            at = at[np.lexsort((self.ids[at], -upper[i, at]))]
-            kept, got = at[:0], np.zeros(0, np.int64)
-            for s in range(0, len(at), 32):
-                if len(kept) == k and got[-1] > upper[i, at[s]]:
-                    break  # no vector further on can reach the k-th
-                some = at[s : s + 32]
-                kept, got = np.concatenate((kept, some)), np.concatenate((got, self.scores(q, some)))
-                best = np.lexsort((self.ids[kept], ~got))[:k]  # ~ turns the order round and can't overflow
-                kept, got = kept[best], got[best]
-            yield i, self.ids[kept], got
-
-
-def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k highest scores."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("x"))
-    rows = cut(v.where("vec_id is not null and x is not null").withColumn("d", F.size("x")), "vectors")
-    n_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
-    n_queries = max(1, -(-queries.count() // QUERY_ROWS))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(r, np.float64) for r in pdf["x"]])
-        return pd.DataFrame({"b": [pdf["b"].iloc[0]], "d": [x.shape[1]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
-
-    packed = "b long, d int, ids binary, x binary"
-    by = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n)).cast("long")
-    blocks = rows.withColumn("b", by(n_blocks)).groupBy("b", "d").applyInPandas(pack, packed)
-    asked = queries.withColumn("b", by(n_queries)).groupBy("b", "d").applyInPandas(pack, packed)
-    dealt = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"), "d", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, ids, x, q_ids, q_x in zip(*(batch.column(i) for i in range(5)), strict=True):
-                d, out = d.as_py(), []
-                ids = np.frombuffer(ids.as_py(), np.int64)
-                block = VectorBlock(ids, np.frombuffer(x.as_py(), np.float64).reshape(len(ids), d))
-                q_ids = np.frombuffer(q_ids.as_py(), np.int64)
-                for i, found, score in block.search(np.frombuffer(q_x.as_py(), np.float64).reshape(len(q_ids), d), q_ids, k):
-                    out.append((np.full(len(found), q_ids[i]), found, score))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    met = blocks.join(dealt.withColumnRenamed("d", "q_d"), (F.col("d") == F.col("q_d")) & (blocks["b"] == dealt["b"]))
-    found = met.select("d", "ids", "x", "q_ids", "q_x").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows; cut off at the ends of 64 bits."""
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < EXACT_SUM:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    whole = [sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for u, v in zip(q, x, strict=True)]
+    return np.array([max(-(2**63), min(2**63 - 1, w)) for w in whole], np.int64)
+
+
+class Batch:
+    """Queries of one length: their numbers, vectors, and what the cells' ranges make of them."""
+
+    def __init__(self, number: np.ndarray, x: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        self.number, self.x = number, x
+        with np.errstate(all="ignore"):
+            self.base, self.step = x @ low, x * width
+            self.rise = np.maximum(x, 0) @ width  # how far a vector of the cell may lie above its lower corner
+            self.blur = 1e-9 * (np.abs(x) @ (np.abs(low) + CELLS * width)) + 1e-6
+
+    def corners(self, cells: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores, queries by vectors; where numbers run over, any score is possible."""
+        with np.errstate(all="ignore"):
+            s = self.step @ cells.T.astype(np.float64) + (self.base + self.rise + self.blur)[:, None]
+        return np.where(np.isnan(s), np.inf, s)
+
+
+def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE, reads: list[int] | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k highest scores.
+
+    `reads`, if given, gets the number of exact vectors read for each batch of queries.
+    """
+    spark = vectors.sparkSession
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("x")).where("vec_id is not null and x is not null")
+    # of equal vectors the k + 1 smallest ids matter (one may be the query's own), each as often as it occurs, k times at most
+    counted = v.groupBy("x", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
+    few = counted.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    whole = cut(few.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids")).select(F.monotonically_increasing_id().alias("rid"), F.size("x").alias("d"), "x", "ids"), "vectors")
+    queries = cut(v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"]).select(F.monotonically_increasing_id().alias("q"), "vec_id", F.size("x").alias("d"), "x"), "queries")
+
+    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for d, x in by_length(b.column(0)):
+                lo, hi = held.get(d, (np.full(d, np.inf), np.full(d, -np.inf)))
+                held[d] = np.minimum(lo, x.min(axis=0)), np.maximum(hi, x.max(axis=0))
+        for d, (lo, hi) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(lo), pa.array(hi)], names=["d", "i", "lo", "hi"])
+
+    asked = {r.d: r["count"] for r in queries.groupBy("d").count().collect()}
+    ranges = whole.select("x").mapInArrow(extent, "d int, i int, lo double, hi double").groupBy("d", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    edges: dict[int, tuple[np.ndarray, np.ndarray]] = {d: (np.zeros(d), np.zeros(d)) for d in asked}
+    for r in ranges.toLocalIterator():
+        if r.d in edges:
+            with np.errstate(all="ignore"):
+                edges[r.d][0][r.i], edges[r.d][1][r.i] = r.lo, r.hi / CELLS - r.lo / CELLS
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid = b.column(0).to_numpy(zero_copy_only=False)
+            d_of = np.diff(b.column(1).offsets.to_numpy())
+            for d, x in by_length(b.column(1)):
+                low, width = edges[d]
+                with np.errstate(all="ignore"):
+                    c = np.nan_to_num((x - low) / np.where(width > 0, width, 1.0))
+                c = np.clip(c, 0, CELLS - 1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[d_of == d]), pa.array(np.full(len(c), d, np.int32)), pa.array([r.tobytes() for r in c], pa.binary())], names=["rid", "d", "cells"])
+
+    cells = cut(whole.where(F.col("d").isin(list(asked))).select("rid", "x").mapInArrow(cells_of, "rid long, d int, cells binary"), "cells")
+
+    def scan(sent, bound) -> DataFrame:
+        """(q, rid): each task's AHEAD * k + 1 highest upper bounds of each query, or all that reach the bound."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batch, least, most = sent.value, bound.value if bound else None, AHEAD * k + 1
+            n = len(batch.number)
+            held_s, held_r = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+            for b in batches:
+                rid = b.column(0).to_numpy(zero_copy_only=False)
+                code = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(rid), batch.x.shape[1])
+                size = max(1, SCORES // n)
+                for a in range(0, len(rid), size):
+                    s = batch.corners(code[a : a + size])
+                    own = rid[a : a + size]
+                    if least is not None:
+                        q, at = np.nonzero(s >= least[:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array(batch.number[q]), pa.array(own[at]), pa.array(s[q, at])], names=["q", "rid", "s"])
+                        continue
+                    s, r = np.hstack((held_s, s)), np.hstack((held_r, np.broadcast_to(own, s.shape)))
+                    if s.shape[1] > most:
+                        top = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                        s, r = np.take_along_axis(s, top, 1), np.take_along_axis(r, top, 1)
+                    held_s, held_r = s, r
+            if least is None and held_s.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.number, held_s.shape[1])), pa.array(held_r.ravel()), pa.array(held_s.ravel())], names=["q", "rid", "s"])
+
+        return cells.where(F.col("d") == sent.value.x.shape[1]).select("rid", "cells").mapInArrow(run, "q long, rid long, s double")
+
+    def read(pairs: DataFrame, sent) -> DataFrame:
+        """(q, vec_id, score): exact scores of the pairs (q, rid), with the ids of equal vectors."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batch = sent.value
+            for b in batches:
+                if b.num_rows:
+                    q = b.column(0).to_numpy(zero_copy_only=False)
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(q), batch.x.shape[1])
+                    score = exact_scores(batch.x[np.searchsorted(batch.number, q)], x)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score)], names=["q", "ids", "score"])
+
+        got = pairs.join(whole.select("rid", "x", "ids"), "rid").select("q", "x", "ids").mapInArrow(run, "q long, ids array<struct<vec_id:bigint,n:bigint>>, score long")
+        each = got.select("q", "score", F.explode("ids").alias("i")).select("q", "score", "i.vec_id", "i.n").join(queries.select("q", F.col("vec_id").alias("query_id")), "q").where("vec_id <> query_id")
+        return each.select("q", "query_id", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("col")
+
+    def best(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for d, n in sorted(asked.items()):
+        size = max(1, BATCH_BYTES // (8 * max(1, d)))
+        parts = -(-n // size)
+        for part in range(parts):
+            mine = queries.where((F.col("d") == d) & (F.pmod(F.xxhash64("q"), F.lit(parts)) == part)).select("q", "x").toArrow().sort_by("q").combine_chunks()
+            number = mine["q"].to_numpy().astype(np.int64)
+            if not len(number):
+                continue
+            x = np.asarray(mine["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(number), d)
+            sent = spark.sparkContext.broadcast(Batch(number, x, *edges[d]))
+            order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rid"))
+            ahead = scan(sent, None).withColumn("nth", order).where(F.col("nth") <= AHEAD * k + 1).select("q", "rid")
+            first = best(read(ahead, sent)).where(F.col("rank") == k).select("q", "score").toArrow()
+            least = np.full(len(number), -np.inf)
+            # an upper bound may lie a little below an exact score of 64 bits, as floats are coarse there
+            least[np.searchsorted(number, first["q"].to_numpy())] = first["score"].to_numpy().astype(np.float64) * (1 - 1e-12 * np.sign(first["score"].to_numpy())) - 1e-6
+            pairs = cut(scan(sent, spark.sparkContext.broadcast(least)).select("q", "rid"), "candidates")
+            if reads is not None:
+                reads.append(pairs.count())
+            out = out.unionByName(best(read(pairs, sent)).select("query_id", "rank", "vec_id", "score"))
+    return out
+
+
+def by_length(x: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """The lists of each length as a matrix."""
+    d_of = np.diff(x.offsets.to_numpy())
+    for d in np.unique(d_of).tolist():
+        rows = x.filter(pa.array(d_of == d))
+        yield d, np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), d)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
