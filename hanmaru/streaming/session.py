@@ -4,6 +4,10 @@
 state store of a streaming query; both feed events in order of seq through the same handler, so they give the same rows.
 Commit flushes pending choices, cancel drops them. Events of a client are in one group; clients are many and small.
 
+A clause is cut into the longest known readings and numbers, or, once a boundary was moved by hand, at boundaries that stay
+until the source changes. A panel shows the selected segment's candidates and, behind them, the segment itself. Readings are
+looked up in NFC and numbers by their digits; numbers always convert when asked, and never unasked.
+
 Candidates and usage come as a lookup, a plain dict that travels to the tasks; `lookup_table` builds it from ranked
 candidates and refuses tables beyond its bound, for which the joins of the batch operators are the way.
 """
@@ -12,11 +16,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,8 @@ OUTPUT = "client_id string, seq long, kind string, text string, value string"
 TRIGGER_TTL, SUPPRESS_TTL = 1.0, 0.5
 MAX_LOOKUP_ROWS = 300_000
 ENDS_CLAUSE = re.compile(r"[.?!;\n\rA-Za-z]")
+NUMBER = re.compile(r"[0-9,]*[0-9][0-9,]*")
+PAGE_SIZE = 9
 Lookup = dict[str, list[str]]
 
 
@@ -42,6 +50,11 @@ def lookup_table(candidates: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> Lookup:
     return out
 
 
+def key_of(surface: str) -> str:
+    """What a surface is looked up by: its digits if it is a number, else its NFC form."""
+    return surface.replace(",", "") if NUMBER.fullmatch(surface) else unicodedata.normalize("NFC", surface)
+
+
 _LAST: list[tuple[Lookup, int, int]] = []
 
 
@@ -64,24 +77,31 @@ class Session:
     selected: int = -1
     armed_at: float | None = None
     suppressed_at: float | None = None
+    boundaries: list[int] | None = None
+    panel: list[int] | None = None  # highlighted candidate, 1 if the segment's own row is highlighted instead, page
 
     def dump(self) -> str:
         """The state as JSON, which the state store keeps."""
         keyed = lambda d: [[*k, v] for k, v in d.items()]
         c = self.composer
-        return json.dumps([self.mode, [c.lead, c.vowel, c.tail], self.clause, keyed(self.locks), keyed(self.pending), self.selected, self.armed_at, self.suppressed_at])
+        return json.dumps([self.mode, [c.lead, c.vowel, c.tail], self.clause, keyed(self.locks), keyed(self.pending), self.selected, self.armed_at, self.suppressed_at, self.boundaries, self.panel])
 
     @classmethod
     def load(cls, text: str) -> "Session":
-        mode, jamo, clause, locks, pending, selected, armed, suppressed = json.loads(text)
+        mode, jamo, clause, locks, pending, selected, armed, suppressed, boundaries, panel = json.loads(text)
         keyed = lambda rows: {(at, surface): v for at, surface, v in rows}
-        return cls(mode, Composer(*jamo), clause, keyed(locks), keyed(pending), selected, armed, suppressed)
+        return cls(mode, Composer(*jamo), clause, keyed(locks), keyed(pending), selected, armed, suppressed, boundaries, panel)
 
     def source(self) -> str:
         return self.clause + self.composer.shown()
 
     def segments(self, lookup: Lookup) -> list[tuple[int, str]]:
-        """(start, surface) of the longest known readings from the left, and of runs of digits."""
+        """(start, surface) of the longest known readings from the left, and of runs of digits; of all stretches between
+        boundaries where those were drawn by hand."""
+        if self.boundaries is not None:
+            text = self.source()
+            edges = [0, *(b for b in self.boundaries if 0 < b < len(text)), len(text)]
+            return [(a, text[a:z]) for a, z in zip(edges, edges[1:], strict=False) if z > a]
         text, at, out, most = self.source(), 0, [], longest(lookup)
         while at < len(text):
             digits = re.match(r"[0-9,]*[0-9][0-9,]*", text[at:])
@@ -95,23 +115,99 @@ class Session:
         """The clause with each segment's locked or first candidate in its place."""
         text, out, at = self.source(), "", 0
         for start, surface in self.segments(lookup):
-            known = lookup.get(surface)
-            show = self.locks.get((start, surface), known[0] if known else None)
+            known = lookup.get(key_of(surface))
+            show = self.locks.get((start, surface), known[0] if known and not NUMBER.fullmatch(surface) else None)
             out += text[at:start] + (show or surface)
             at = start + len(surface)
         return out + text[at:]
 
-    def analyse(self, lookup: Lookup) -> None:
-        """After a change: locks and choices whose segment is gone go too; the selection stays in range."""
+    def analyse(self, lookup: Lookup, kept: tuple[int, str] | None = None) -> None:
+        """After a change: locks and choices whose segment is gone go too; the selection stays with its segment while that
+        is still there and converts, else it goes to the first that does. `kept` is the segment selected before."""
         keys = set(self.segments(lookup))
         self.locks = {k: v for k, v in self.locks.items() if k in keys}
         self.pending = {k: v for k, v in self.pending.items() if k in keys}
-        convertible = [i for i, (_, s) in enumerate(self.segments(lookup)) if s in lookup]
-        if self.selected not in convertible:
+        segs, convertible = self.segments(lookup), self.convertible(lookup)
+        same = next((i for i in convertible if segs[i] == kept), None)
+        if same is not None:
+            self.selected = same
+        elif self.selected not in convertible or kept is not None:
             self.selected = convertible[0] if convertible else -1
 
+    def convertible(self, lookup: Lookup) -> list[int]:
+        """Places of the segments that convert."""
+        return [i for i, (_, s) in enumerate(self.segments(lookup)) if NUMBER.fullmatch(s) or key_of(s) in lookup]
+
+    def current(self, lookup: Lookup) -> tuple[int, str] | None:
+        """The selected segment."""
+        segs = self.segments(lookup)
+        return segs[self.selected] if 0 <= self.selected < len(segs) else None
+
+    def candidates(self, lookup: Lookup) -> list[str]:
+        own = self.current(lookup)
+        return lookup.get(key_of(own[1]), []) if own else []
+
+    def open_panel(self, lookup: Lookup, keep: bool = False) -> None:
+        """Shows the selected segment's candidates, or nothing where there are none. Highlighted is what was before if that is
+        to be kept, else the candidate that the clause shows, else the segment itself if it is a number, else the first."""
+        own, values = self.current(lookup), self.candidates(lookup)
+        if self.mode != "realtime" or own is None or not values:
+            self.panel = None
+        elif not (keep and self.panel):
+            shown = self.locks.get(own, None if NUMBER.fullmatch(own[1]) else values[0])
+            at = values.index(shown) if shown in values else 0
+            self.panel = [at, int(shown is None), at // PAGE_SIZE]
+
+    def move_boundary(self, delta: int, lookup: Lookup) -> None:
+        """Moves the right edge of the selected segment by one character; the first move fixes the boundaries as they are."""
+        self.clause += self.composer.flush()
+        own, text = self.current(lookup), self.clause
+        if own is None:
+            return
+        if self.boundaries is None:
+            self.boundaries = sorted({e for a, surface in self.segments(lookup) for e in (a, a + len(surface)) if 0 < e < len(text)})
+        edges = [0, *self.boundaries, len(text)]
+        marks = [0]
+        for g in regex.findall(r"\X", text):
+            marks.append(marks[-1] + len(g))
+        right = own[0] + len(own[1])
+        to = next((m for m in marks if m > right), None) if delta > 0 else next((m for m in reversed(marks) if own[0] < m < right), None)
+        if to is not None and right in edges:
+            beyond = next((e for e in edges if e > right), None)
+            kept = {e for e in edges if e != right or right == len(text)}
+            if not (delta > 0 and to == beyond):
+                kept.add(to)
+            self.boundaries = sorted(e for e in kept if 0 < e < len(text))
+        segs = self.segments(lookup)
+        self.analyse(lookup)
+        self.selected = next((i for i, (a, _) in enumerate(segs) if a == own[0]), self.selected)
+
+    def step(self, delta: int, lookup: Lookup, wraps: bool = False) -> bool:
+        """Selects the next or previous segment that converts; whether there was one."""
+        ids = self.convertible(lookup)
+        ahead = [i for i in ids if (i > self.selected if delta > 0 else i < self.selected)] or (ids if wraps else [])
+        if ahead:
+            self.selected = ahead[0] if delta > 0 else ahead[-1]
+        return bool(ahead)
+
+    def advance(self, lookup: Lookup) -> Iterator[tuple[str, str, str | None]]:
+        """After a choice: on to the next segment with its panel, or commit after the last."""
+        if self.step(1, lookup):
+            self.open_panel(lookup)
+            yield "mark", self.preview(lookup), None
+        else:
+            yield from self.commit(lookup)
+
+    def panel_row(self, lookup: Lookup) -> tuple[str, str, str | None]:
+        """What the panel highlights, and its page; empty and null without a panel."""
+        own, values = self.current(lookup), self.candidates(lookup)
+        if not self.panel or own is None:
+            return "panel", "", None
+        at, on_key, page = self.panel
+        return "panel", own[1] if on_key else values[at], str(page)
+
     def reset(self) -> None:
-        self.clause, self.selected = "", -1
+        self.clause, self.selected, self.boundaries, self.panel = "", -1, None, None
         self.composer = Composer()
         self.locks, self.pending = {}, {}
 
@@ -130,7 +226,7 @@ class Session:
             yield "insert", text, None
         if self.mode == "realtime":
             for (_, surface), value in self.pending.items():
-                yield "usage", surface, value
+                yield "usage", key_of(surface), value
         self.reset()
 
     def handle(self, action: str, text: str | None, ts: float, lookup: Lookup) -> Iterator[tuple[str, str, str | None]]:
@@ -151,7 +247,11 @@ class Session:
         elif action == "suppress":
             self.suppressed_at = ts
         elif action == "toggle":
-            yield from self.commit(lookup)
+            if text == "not ready":
+                return
+            if text != "menu":  # the menu doesn't touch the composition
+                yield from self.commit(lookup)
+            self.panel = None
             self.mode = "hangul" if self.mode == "realtime" else "realtime"
             yield "mode", self.mode, None
         elif action in ("commit", "deactivate"):
@@ -160,33 +260,102 @@ class Session:
             self.reset()
             yield "mark", "", None
         elif action == "select":
-            segs = self.segments(lookup)
-            values = lookup.get(segs[self.selected][1], []) if 0 <= self.selected < len(segs) else []
-            if text in values:
+            if text in self.candidates(lookup):
                 self.choose(text, lookup)
             yield "mark", self.preview(lookup), None
         elif action == "hangul":
             self.choose(None, lookup)
             yield "mark", self.preview(lookup), None
         elif action == "move":
-            ids = [i for i, (_, s) in enumerate(self.segments(lookup)) if s in lookup]
-            step = int(text or 1)
-            ahead = [i for i in ids if (i > self.selected if step > 0 else i < self.selected)]
-            if ahead:
-                self.selected = ahead[0] if step > 0 else ahead[-1]
+            self.step(int(text or 1), lookup)
             yield "selected", str(self.selected), None
         elif action == "backspace":
+            kept, self.panel, self.boundaries = self.current(lookup), None, None
             if not self.composer.backspace():
-                self.clause = re.sub(r"(?s).[̀-ͯ⃐-⃿]*$", "", self.clause)
-            self.analyse(lookup)
+                self.clause = re.sub(r"(?s).[\u0300-\u036f\u20d0-\u20ff]*$", "", self.clause)
+            if self.source():
+                self.analyse(lookup, kept)
+            else:
+                self.reset()  # nothing is left to compose
             yield "mark", self.shown(lookup), None
         elif action == "key":
             yield from self.typed(text, lookup)
+        elif action == "manual":  # a value chosen for the whole source outside of real-time mode
+            source = self.source()
+            yield "insert", text, None
+            if source:
+                yield "usage", key_of(source), text
+            self.reset()
+        elif action in ("space", "return", "escape"):
+            yield from self.plain_key(action, lookup)
+        elif action == "panel":
+            self.open_panel(lookup)
+            yield self.panel_row(lookup)
+        elif action == "boundary" and self.mode == "realtime" and self.source():
+            self.move_boundary(int(text), lookup)
+            self.open_panel(lookup)
+            yield "mark", self.preview(lookup), None
+            yield self.panel_row(lookup)
+        elif self.panel and action in ("up", "down", "tab", "backtab", "left", "right", "number"):
+            yield from self.panel_key(action, text, lookup)
+
+    def plain_key(self, action: str, lookup: Lookup) -> Iterator[tuple[str, str, str | None]]:
+        """Space, return and escape: to the panel if there is one, else to the clause, else on to the host."""
+        if action != "space" and self.panel:
+            at, on_key, _ = self.panel
+            if action == "escape":
+                self.panel = None
+            elif on_key:
+                self.choose(None, lookup)
+                yield from self.advance(lookup)
+                return
+            else:
+                self.choose(self.candidates(lookup)[at], lookup)
+                self.panel = None
+                yield "mark", self.preview(lookup), None
+            yield self.panel_row(lookup)
+        elif not self.source():
+            yield "pass", action, None
+        elif action == "space" and self.mode == "realtime":
+            kept, self.panel, self.boundaries = self.current(lookup), None, None
+            self.clause += self.composer.flush() + " "
+            self.analyse(lookup, kept)
+            self.open_panel(lookup)
+            yield "mark", self.preview(lookup), None
+        elif action == "escape" and self.mode == "realtime":
+            self.reset()
+            yield "mark", "", None
+        else:
+            yield from self.commit(lookup)
+            if action == "space":
+                yield "insert", " ", None
+
+    def panel_key(self, action: str, text: str, lookup: Lookup) -> Iterator[tuple[str, str, str | None]]:
+        values, (at, on_key, page) = self.candidates(lookup), self.panel
+        n = len(values)
+        if action in ("up", "down"):  # the segment's own row stands behind the last candidate and before the first
+            to = (n if on_key else at) + (1 if action == "down" else -1)
+            to %= n + 1
+            self.panel = [at, 1, page] if to == n else [to, 0, to // PAGE_SIZE]
+        elif action in ("tab", "backtab"):
+            page = (page + (1 if action == "tab" else -1)) % -(-n // PAGE_SIZE)
+            self.panel = [page * PAGE_SIZE, 0, page]
+        elif action in ("left", "right"):
+            self.step(1 if action == "right" else -1, lookup, wraps=True)
+            self.open_panel(lookup)
+        else:  # number keys from 0; the tenth stands for the segment itself
+            k = int(text)
+            if k == 9 or page * PAGE_SIZE + k < n:
+                self.choose(None if k == 9 else values[page * PAGE_SIZE + k], lookup)
+                yield from self.advance(lookup)
+                return
+        yield self.panel_row(lookup)
 
     def shown(self, lookup: Lookup) -> str:
         return self.preview(lookup) if self.mode == "realtime" else self.source()
 
     def typed(self, char: str, lookup: Lookup) -> Iterator[tuple[str, str, str | None]]:
+        kept, self.panel, self.boundaries = self.current(lookup), None, None  # boundaries last until the source changes
         done = self.composer.type(char)
         if done is None:  # no jamo: it ends the syllable, and a clause where marks or letters do
             ended = self.composer.flush()
@@ -201,7 +370,7 @@ class Session:
             self.clause += done
         elif done:
             yield "insert", done, None
-        self.analyse(lookup)
+        self.analyse(lookup, kept)
         yield "mark", self.shown(lookup), None
 
 
@@ -222,17 +391,26 @@ def run_batch(events: DataFrame, lookup: Lookup) -> DataFrame:
     return events.groupBy("client_id").applyInPandas(one, OUTPUT)
 
 
-def run_stream(events: DataFrame, lookup: Lookup, idle: str = "NoTimeout") -> DataFrame:
-    """Rows of a stream of events, sessions kept between micro-batches. Arrival order is the only order."""
+def run_stream(events: DataFrame, lookup: Lookup, forget_after: int | None = None) -> DataFrame:
+    """Rows of a stream of events, sessions kept between micro-batches. Arrival order is the only order.
+
+    Sessions of clients that sent nothing for forget_after milliseconds are dropped, if that is given.
+    """
 
     def one(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         session = Session.load(state.get[0]) if state.exists else Session()
         frames = list(batches)
         events = pd.concat(frames) if frames else pd.DataFrame(columns=["client_id", "seq", "ts", "action", "text"])
         out = replay(session, events, lookup)
         state.update((session.dump(),))
+        if forget_after is not None:
+            state.setTimeoutDuration(forget_after)
         yield out
 
+    idle = "NoTimeout" if forget_after is None else "ProcessingTimeTimeout"
     return events.groupBy("client_id").applyInPandasWithState(one, OUTPUT, "session string", "append", idle)
 
 
