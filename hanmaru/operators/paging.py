@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 9
@@ -70,6 +70,12 @@ def start_on_hangul(numeric: Column, prefer: Column) -> Column:
     return numeric | prefer
 
 
+def with_preview_index(panels: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+    """panels (key, preview) with preview_index, the place of the candidate whose value is the preview: an equi-join; null if there is none."""
+    at = ranked.groupBy(F.col(key).alias("key__"), F.col("value").alias("value__")).agg((F.min("rn") - 1).cast("long").alias("preview_index"))
+    return panels.join(at, (panels[key] == at["key__"]) & (panels["preview"] == at["value__"]), "left").drop("key__", "value__")
+
+
 def start_row(kept: Column, preview: Column, default: Column) -> Column:
     """Highlighted row: the one kept from before, else the preview's, else the default."""
     return F.coalesce(kept, preview, default)

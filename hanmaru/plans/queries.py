@@ -319,6 +319,20 @@ def ring_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moves(spark, sf_dir).withColumn("s", start).select("*", "s.*").withColumn("m", moved).select("reading", "rn", "delta", "on_key", "key_row", "m.highlight", "m.hangul", "m.page")
 
 
+@query(f"""WITH {RANKED}, p AS (SELECT reading, count(*) AS n, CASE WHEN count(*) % 4 > 0 THEN max(value) ELSE 'none' END AS preview FROM r GROUP BY 1),
+h AS (SELECT p.*, (SELECT CAST(min(rn) - 1 AS BIGINT) FROM r WHERE r.reading = p.reading AND r.value = p.preview) AS place FROM p)
+SELECT reading, coalesce(place, -1) AS preview_index, CAST(CASE WHEN n % 3 = 0 THEN n - 1 ELSE coalesce(place, 0) END AS BIGINT) AS highlight, regexp_full_match(reading, '[0-9]+') OR (n % 5 = 0) AS on_key FROM h""")
+def panel_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each reading's panel starts: the row kept from before, else the preview's, else the first; numbers, and words where it is preferred, start on the key."""
+    r = T.ranked(spark, sf_dir)
+    n = F.count("*")
+    panels = r.groupBy("reading").agg(n.alias("n"), F.when(n % 4 > 0, F.max("value")).otherwise("none").alias("preview"))
+    found = P.with_preview_index(panels, r, "reading")
+    kept = F.when(F.col("n") % 3 == 0, F.col("n") - 1)
+    on_key = P.start_on_hangul(F.col("reading").rlike(r"^[0-9]+\z"), F.col("n") % 5 == 0)
+    return found.select("reading", F.coalesce("preview_index", F.lit(-1).cast("long")).alias("preview_index"), P.start_row(kept, F.col("preview_index"), F.lit(0)).cast("long").alias("highlight"), on_key.alias("on_key"))
+
+
 @query(SIZES + """, a AS (SELECT *, (n + 8) // 9 AS pages FROM mv), b AS (SELECT *, (((rn - 1) // 9 + delta) % pages + pages) % pages AS page_ FROM a)
 SELECT reading, rn, delta, CAST(page_ AS BIGINT) AS page, CAST(least(page_ * 9, n - 1) AS BIGINT) AS highlight FROM b""")
 def page_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
