@@ -36,7 +36,7 @@ MAX_LABELLED, MAX_UNLABELLED = 6000, 3000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 MAX_VOTERS, MAX_STEMS = 96, 3000
 #: Where the estimate of the labels' accuracy starts, and a prior of so many rows that holds it there.
-GOLD_ACCURACY, GOLD_ROWS = 0.95, 50
+GOLD_ACCURACY, GOLD_ROWS = 0.95, 500
 #: What an unlabelled row counts beside a labelled one: in the label model's rates, and in the classifier's loss.
 UNLABELLED_SAY, UNLABELLED_COST = 0.1, 0.02
 #: Seed lexicon: general insults of a few languages.

@@ -39,7 +39,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_likely_in_loses_nothing(spark):
     rows = spark.range(5000)
-    kept = common.likely_in(rows, spark.range(0, 5000, 500), "id", bits=17)
+    kept = common.likely_in(rows, spark.range(0, 5000, 500), "id")
     assert {r.id for r in kept.collect()} >= set(range(0, 5000, 500)) and kept.count() < 500
 
 
