@@ -112,13 +112,13 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     keys = found.join(first, "grp").groupBy("doc_id", "h").agg(F.max((rank == F.col("first")).cast("int")).alias("keep__"), F.count("*").alias("n"))
     touched = cut(keys.where("keep__ = 0 or n > 1").select(F.col("doc_id").alias("id__"), F.col("h").alias("h__"), "keep__"), "repeats")
     both = lambda i, h: F.xxhash64(F.coalesce(i, F.lit(-1).cast("long")), h)
-    hash_ = F.xxhash64(docs["text"])
-    split = marked(docs, touched.select(both(F.col("id__"), F.col("h__")).alias("id")), both(docs["doc_id"].cast("long"), hash_))
-    some = split.where("maybe__").withColumn("own_id__", F.col("doc_id").cast("long")).withColumn("own_h__", F.xxhash64("text"))
-    met = some.join(touched, some["own_id__"].eqNullSafe(touched["id__"]) & (some["own_h__"] == touched["h__"]), "left")
-    lone = met.where("keep__ is null").select(*docs.columns)
-    one = met.where("keep__ = 1").dropDuplicates(["own_id__", "own_h__"]).select(*docs.columns)
-    return split.where("not maybe__").select(*docs.columns).unionByName(lone).unionByName(one)
+    # docs travel as one column, so their names can't clash with those here
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    split = marked(rows, touched.select(both(F.col("id__"), F.col("h__")).alias("id")), both(F.col("doc_id"), F.col("h")))
+    met = split.where("maybe__").join(touched, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("h") == F.col("h__")), "left")
+    lone = met.where("keep__ is null").select("doc.*")
+    one = met.where("keep__ = 1").dropDuplicates(["doc_id", "h"]).select("doc.*")
+    return split.where("not maybe__").select("doc.*").unionByName(lone).unionByName(one)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

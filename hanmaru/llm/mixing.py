@@ -97,13 +97,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).select(*[F.col(k).alias(v) for k, v in names.items()], "copies")
     # repeated rows are alike in id, hash and source: the copies of such a group are dealt to one row
     taken = cut(taken.groupBy(*names.values()).agg(F.sum("copies").alias("mix_copies__"), F.count("*").alias("mix_rows__")).where("mix_copies__ > 0"), "taken")
-    rows = docs.withColumn("row_hash__", F.xxhash64("text"))
-    on = rows["doc_id"].eqNullSafe(taken["mix_id__"]) & (rows["row_hash__"] == taken["mix_hash__"]) & rows["source"].eqNullSafe(taken["mix_source__"])
+    # docs travel as one column, so their names can't clash with those here
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy"]).alias("doc"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"), F.col("source").alias("own_source"))
+    on = F.col("own_id").eqNullSafe(F.col("mix_id__")) & (F.col("own_hash") == F.col("mix_hash__")) & F.col("own_source").eqNullSafe(F.col("mix_source__"))
     met = rows.join(taken.hint("merge"), on)  # texts are shuffled once at every size
     if taken.where("mix_rows__ > 1").limit(1).count():
         met = met.where("mix_rows__ = 1").unionByName(met.where("mix_rows__ > 1").dropDuplicates(list(names.values())))
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies__") - 1))
-    return met.select(*[c for c in docs.columns if c != "copy"], copy.alias("copy"))
+    return met.select("doc.*", copy.alias("copy"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
