@@ -5,7 +5,7 @@ and pattern voters (shouting, exclamation, symbol noise, address in the second p
 by expectation maximisation how often each voter is right in either class and how strongly voters correlate given the
 class; correlated voters share their say. It sees labelled and unlabelled texts alike: the label that a row carries is one
 more voter, which abstains on unlabelled texts and whose accuracy is estimated as any other's. A linear classifier is then
-trained on the posterior labels of all these texts, and it alone scores texts.
+trained on the posterior labels of the labelled ones (unlabelled ones count UNLABELLED_COST), and it alone scores texts.
 
 Only lexicon, label model and classifier are fitted on a sample: at most MAX_LABELLED labelled rows and MAX_UNLABELLED
 unlabelled ones, in order of a hash of doc_id; scoring reads every whole text. Model and lexicon are of fixed size, so what
@@ -38,7 +38,7 @@ MAX_VOTERS, MAX_STEMS = 96, 3000
 #: Where the estimate of the labels' accuracy starts, and a prior of so many rows that holds it there.
 GOLD_ACCURACY, GOLD_ROWS = 0.95, 500
 #: What an unlabelled row counts beside a labelled one: in the label model's rates, and in the classifier's loss.
-UNLABELLED_SAY, UNLABELLED_COST = 0.1, 0.02
+UNLABELLED_SAY, UNLABELLED_COST = 0.1, 0.0
 #: Seed lexicon: general insults of a few languages.
 SEEDS = frozenset(
     "asshole bastard bitch clown cretin disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless "
