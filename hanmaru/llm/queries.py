@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, lmscore, mixing, secrets, simhash, substrings, topk, toxicity
+from . import codebooks, decontaminate, htmltext, langid, lmscore, mixing, negatives, packing, secrets, simhash, substrings, topk, toxicity
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +24,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash": op10_simhash,
+    "op11_negatives": negatives.query,
+    "op12_codebooks": codebooks.query,
+    "op13_packing": packing.query,
 }
-ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op3_topk": topk.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL}
+ORACLE = {"op11_negatives": negatives.ORACLE_SQL, "op12_codebooks": codebooks.ORACLE_SQL, "op1_mixing": mixing.ORACLE_SQL, "op2_substrings": substrings.ORACLE_SQL, "op3_topk": topk.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL}
