@@ -28,6 +28,8 @@ NAVIGATION_PREFIXES = (
     "moveToBeginningOf", "moveToEndOf",
 )
 WON = "₩"
+#: Key that turns real-time conversion on and off, with Control.
+TOGGLE = "a"
 
 
 def modifiers(c: Column) -> Column:
@@ -65,7 +67,7 @@ def is_manual_trigger(key_code: Column, mods: Column) -> Column:
 
 def is_realtime_toggle(chars: Column, mods: Column) -> Column:
     """A with Control and nothing else."""
-    return (F.lower(chars) == "a") & (modifiers(mods) == CONTROL)
+    return (F.lower(chars) == TOGGLE) & (modifiers(mods) == CONTROL)
 
 
 def passes_through(mods: Column) -> Column:
@@ -96,6 +98,15 @@ def boundary_step(key_code: Column, mods: Column) -> Column:
     return F.when(only & (key_code == RIGHT), 1).when(only & (key_code == LEFT), -1)
 
 
+def typed(chars: str | None, key_code: int, mods: int) -> str | None:
+    """`typed_character` for one key, null if it stands for no character."""
+    own = chars is not None and len(chars) == 1 and " " <= chars <= "~"
+    base = chars.lower() if own else ANSI_KEYS.get(key_code)
+    if base is None or not mods & SHIFT:
+        return base
+    return base.upper() if base in SHIFT_LETTERS else SHIFTED.get(base, base)
+
+
 def shown_character(c: Column) -> Column:
     """The back quote types a won sign."""
     return F.when(c == "`", F.lit(WON)).otherwise(c)
