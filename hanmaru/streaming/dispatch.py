@@ -121,40 +121,41 @@ def actions(state: Callable[[], Met]) -> Iterator[Rule]:
                 return
 
 
-def _test(r: Rule, c: dict[str, Column]) -> Column:
-    mods = P.modifiers(c["modifiers"])
-    parts = [c["source"] == r.source]
-    parts += [c["key"].isin(*r.keys)] if r.keys is not None else []
-    parts += [mods == r.only] if r.only is not None else []
-    parts += [mods.bitwiseAND(r.held) != 0] if r.held is not None else []
-    parts += [mods.bitwiseAND(r.free) == 0] if r.free is not None else []
-    parts += [F.lower(c["char"]) == r.char] if r.char is not None else []
-    parts += [c["command"] == r.command] if r.command is not None else []
-    parts += [c["panel"].isin(*r.panel)] if r.panel is not None else []
-    parts += [c[f] if getattr(r, f) else ~c[f] for f in ("clause", "pending", "suppressed", "armed", "moved") if getattr(r, f) is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return F.coalesce(out, F.lit(False))
+FLAGS = ("clause", "pending", "suppressed", "armed", "moved")
+_TEXTS, _NUMBERS = ("action", "value", "source", "char", "command"), ("only", "held", "free")
+
+
+def _as_struct(r: Rule) -> Column:
+    cells = [F.lit(getattr(r, f)).cast("string").alias(f) for f in _TEXTS] + [F.lit(getattr(r, f)).cast("long").alias(f) for f in _NUMBERS]
+    cells += [F.lit(getattr(r, f)).cast("boolean").alias(f) for f in (*FLAGS, "goes_on")]
+    cells += [(F.lit(None) if getattr(r, f) is None else F.array(*map(F.lit, getattr(r, f)))).cast(f"array<{t}>").alias(f) for f, t in (("keys", "int"), ("panel", "string"))]
+    return F.struct(*cells)
 
 
 def actions_of(**met: Column) -> Column:
-    """array<struct<action, value>> of the rules that apply to a row; columns are named as the fields of `Met`."""
-    c = dict(met)
-    going: list[Column] = []
-    final: list[tuple[Column, Column]] = []
-    word = lambda r: F.struct(F.lit(r.action).alias("action"), F.lit(r.value).alias("value"))
-    for r in RULES:
-        test = _test(r, c)
-        if not r.goes_on:
-            final.append((test, word(r)))
-            continue
-        for before, _ in final:  # a key that a former rule took doesn't come so far
-            test = test & ~before
-        going.append(F.when(test, word(r)))
-        if r.action == "dismiss":
-            c["panel"] = F.when(test, F.lit("none")).otherwise(c["panel"])
-        if r.action == "commit":
-            c["clause"], c["pending"] = c["clause"] & ~test, c["pending"] & ~test
-    last = F.coalesce(*[F.when(test, w) for test, w in final])
-    return F.filter(F.array(*going, last), lambda a: a.isNotNull())
+    """array<struct<action, value>> of the rules that apply to a row; columns are named as the fields of `Met`.
+
+    The rules are an array that each row folds over, so that the expression stays small however many there are.
+    """
+    mods = P.modifiers(met["modifiers"])
+    start = F.struct(met["panel"].alias("panel"), met["clause"].alias("clause"), met["pending"].alias("pending"), F.lit(False).alias("done"), F.array().cast("array<struct<action:string,value:string>>").alias("out"))
+
+    def fits_row(r: Column, state: Column) -> Column:
+        anything = lambda want, test: want.isNull() | F.coalesce(test, F.lit(False))
+        now = {**met, "panel": state["panel"], "clause": state["clause"], "pending": state["pending"]}
+        out = (r["source"] == met["source"]) & anything(r["keys"], F.array_contains(r["keys"], met["key"]))
+        out = out & anything(r["only"], mods == r["only"]) & anything(r["held"], mods.bitwiseAND(r["held"]) != 0) & anything(r["free"], mods.bitwiseAND(r["free"]) == 0)
+        out = out & anything(r["char"], F.lower(met["char"]) == r["char"]) & anything(r["command"], met["command"] == r["command"]) & anything(r["panel"], F.array_contains(r["panel"], now["panel"]))
+        for f in FLAGS:
+            out = out & anything(r[f], now[f] == r[f])
+        return ~state["done"] & out
+
+    def step(state: Column, r: Column) -> Column:
+        committed = r["action"] == "commit"
+        after = F.struct(
+            F.when(r["action"] == "dismiss", F.lit("none")).otherwise(state["panel"]).alias("panel"), (state["clause"] & ~committed).alias("clause"), (state["pending"] & ~committed).alias("pending"),
+            (~r["goes_on"]).alias("done"), F.array_append(state["out"], F.struct(r["action"].alias("action"), r["value"].alias("value"))).alias("out"),
+        )
+        return F.when(fits_row(r, state), after).otherwise(state)
+
+    return F.aggregate(F.array(*map(_as_struct, RULES)), start, step, lambda state: state["out"])

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 PAGE_SIZE = 9
 #: Number key that stands for the text itself.
 OWN_ROW = 9
+#: Choice of the text itself.
+OWN = -1
 KINDS = ("manual", "realtime", "notice")
 
 
@@ -85,5 +87,24 @@ class Panel:
             self.page = (self.page + step) % -(-len(self.values) // PAGE_SIZE)
             self.at = self.page * PAGE_SIZE
 
+    def take(self, action: str, number: int | None = None) -> tuple[bool, int | None]:
+        """Takes an action of the panel: (whether the panel stays, what is chosen: a candidate's place, OWN, or None)."""
+        if action in ("up", "down"):
+            self.move(1 if action == "down" else -1)
+        elif action in ("tab", "backtab"):
+            self.turn(1 if action == "tab" else -1)
+        elif action in ("escape", "dismiss"):
+            return False, None
+        elif action == "return":
+            if self.kind == "notice" or not self.on_key and self.chosen() is None:
+                return False, None
+            return False, OWN if self.on_key else self.at
+        elif action == "number" and number is not None:
+            if number == OWN_ROW:
+                return False, OWN
+            if self.row(number) is not None:
+                return False, self.page * PAGE_SIZE + number
+        return True, None
+
     def dump(self) -> list:
         return [self.kind, self.values, self.key, self.at, self.on_key, self.page, self.loc, self.size, self.segment, self.message, self.detail]

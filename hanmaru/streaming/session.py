@@ -33,7 +33,7 @@ from ..functions.text import HANGUL, nfc_key
 from ..operators.targets import BLANK
 from .hangul import Composer
 from .numbers import readings
-from .panel import OWN_ROW, PAGE_SIZE, Panel
+from .panel import OWN, PAGE_SIZE, Panel
 
 EVENTS = "client_id string, seq long, ts double, action string, text string"
 OUTPUT = "client_id string, seq long, kind string, text string, value string"
@@ -442,19 +442,18 @@ class Session:
         """Space, return and escape: to the panel if there is one, else to the clause, else on to the host."""
         if action != "space" and self.panel:
             p = self.panel
-            if action == "escape" or p.kind == "notice" or not p.on_key and p.chosen() is None:
-                self.panel = None
-            elif p.kind == "manual":
-                yield from self.apply(None if p.on_key else p.chosen(), lookup)
-                return
-            elif p.on_key:
-                self.choose(None, lookup)
-                yield from self.advance(lookup)
+            _, choice = p.take(action)
+            value = None if choice in (None, OWN) else p.values[choice]
+            if choice is not None and p.kind == "manual":
+                yield from self.apply(value, lookup)
                 return
-            else:
-                self.choose(p.chosen(), lookup)
-                self.panel = None
+            if choice is not None:
+                self.choose(value, lookup)
+                if choice == OWN:
+                    yield from self.advance(lookup)
+                    return
                 yield "mark", self.preview(lookup), None
+            self.panel = None
             yield self.panel_row(lookup)
         elif not self.source():
             yield "pass", action, None
@@ -474,21 +473,17 @@ class Session:
 
     def panel_key(self, action: str, text: str, lookup: dict[str, list[str]]) -> Iterator[tuple[str, str, str | None]]:
         p = self.panel
-        if action in ("up", "down"):
-            p.move(1 if action == "down" else -1)
-        elif action in ("tab", "backtab"):
-            p.turn(1 if action == "tab" else -1)
-        elif action in ("left", "right"):
+        if action in ("left", "right"):
             if p.kind == "realtime":
                 self.step(1 if action == "right" else -1, lookup, wraps=True)
                 self.open_panel(lookup)
         else:  # number keys from 0; the tenth stands for the text itself
-            k = whole(text)
-            value = p.row(k) if k is not None else None
-            if k == OWN_ROW or value is not None:
+            _, choice = p.take(action, whole(text))
+            if choice is not None:
+                value = None if choice == OWN else p.values[choice]
                 if p.kind == "manual":
                     yield from self.apply(value, lookup)
-                elif p.kind == "realtime":
+                else:
                     self.choose(value, lookup)
                     yield from self.advance(lookup)
                 return
