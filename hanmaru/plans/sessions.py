@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from ..streaming import dispatch
+from ..streaming import ranges as R
 from ..streaming.panel import Panel
 from . import tables as T
 from .queries import query
@@ -150,3 +151,31 @@ def key_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel=panel, clause=F.col("value") > 10, pending=k % 2 == 0, suppressed=n % 5 == 0, armed=n % 7 == 0, moved=n % 11 == 0,
     )
     return e.select("event_id", F.array_join(F.transform(found, lambda a: F.concat(a["action"], F.lit(":"), a["value"])), " ").alias("actions"))
+
+
+def range_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as range events: views begin, clicks mark (in no known place every fifth time), signups insert, purchases clear, errors finish."""
+    e = T.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "begin").when(F.col("event_type") == "click", "sync").when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "purchase", "clear").otherwise("finish")
+    k = _number().cast("long")
+    return e.select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(k % 5 > 0, k).alias("loc"), (k % 7).alias("len"), (k % 3).alias("text_len"))
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, event_type AS t, CASE WHEN {K} % 5 > 0 THEN {K} END AS l, {K} % 7 AS n, {K} % 3 AS w FROM events),
+s AS (
+  SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS nth, 'none' AS mode, CAST(NULL AS INT) AS loc, CAST(NULL AS INT) AS len FROM events
+  UNION ALL
+  SELECT s.user_id, e.event_id, e.nth,
+    CASE t WHEN 'view' THEN CASE mode WHEN 'none' THEN 'initial-selection' ELSE mode END WHEN 'click' THEN CASE WHEN l IS NULL THEN 'implicit' ELSE 'client-marked' END
+      WHEN 'signup' THEN CASE WHEN l IS NULL THEN 'implicit' ELSE 'initial-selection' END WHEN 'purchase' THEN CASE mode WHEN 'client-marked' THEN 'initial-selection' ELSE mode END ELSE 'none' END,
+    CASE t WHEN 'view' THEN CASE mode WHEN 'none' THEN l ELSE loc END WHEN 'click' THEN l WHEN 'signup' THEN l + w WHEN 'purchase' THEN loc END,
+    CASE t WHEN 'view' THEN CASE mode WHEN 'none' THEN n ELSE len END WHEN 'click' THEN CASE WHEN l IS NOT NULL THEN n END WHEN 'signup' THEN CASE WHEN l IS NOT NULL THEN 0 END
+      WHEN 'purchase' THEN CASE mode WHEN 'client-marked' THEN 0 ELSE len END END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.nth = s.nth + 1)
+SELECT user_id AS client_id, event_id AS seq, mode, coalesce(loc, -1)::BIGINT AS loc, coalesce(len, -1)::BIGINT AS len FROM s WHERE nth > 0""")
+def range_states_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range state after every event, by composed maps of blocks of events; the SQL goes event by event."""
+    none = F.lit(-1).cast("long")
+    found = R.range_states_at(range_events(spark, sf_dir))
+    return found.select("client_id", "seq", "mode", F.coalesce("loc", none).alias("loc"), F.coalesce("len", none).alias("len"))
