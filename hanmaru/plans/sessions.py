@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
-from ..streaming import dispatch
+from ..sources import versions
+from ..streaming import choices, dispatch
 from ..streaming import ranges as R
+from ..streaming import usage as W
 from ..streaming.panel import Panel
 from . import tables as T
-from .queries import query
+from .queries import ORACLE, query
 
 #: Keys that events stand for, by their number k: escape, return, tab, arrows, space, digits, backspace, a letter, enter.
 KEY_OF = [53, 36, 48, 126, 125, 123, 124, 49, 18, 19, 25, 29, 51, 0, 76, 22]
@@ -179,3 +181,37 @@ def range_states_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(-1).cast("long")
     found = R.range_states_at(range_events(spark, sf_dir))
     return found.select("client_id", "seq", "mode", F.coalesce("loc", none).alias("loc"), F.coalesce("len", none).alias("len"))
+
+
+@query(ORACLE["commit_flush_cancel_drop"])
+def streamed_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choices that commits write out, by a stream that keeps each client's open ones."""
+    return choices.run_through(spark, choices.flushed(T.event_stream(spark, sf_dir)), "flushes")
+
+
+@query(ORACLE["ttl_match_consume_once"])
+def streamed_limits_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choices.run_through(spark, _limits(spark, sf_dir, True), "limits")
+
+
+@query(ORACLE["ttl_match_sticky"])
+def streamed_limits_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choices.run_through(spark, _limits(spark, sf_dir, False), "limits")
+
+
+def _limits(spark: SparkSession, sf_dir: str, once: bool) -> DataFrame:
+    return choices.within_limit(T.event_stream(spark, sf_dir), F.col("slot") == "signup", F.col("slot") == "view", 8 * 3600, once)
+
+
+@query(ORACLE["usage_upsert"])
+def usage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in four micro-batches, one of which runs twice, through the usage table of buckets."""
+    import uuid
+
+    path = f"{versions.shared_folder(spark)}/usage-{uuid.uuid4().hex}"
+    events = T.events(spark, sf_dir)
+    most = F.broadcast(events.agg((F.max("seq") + 1).alias("most")))
+    quarter = events.join(most).withColumn("batch", F.floor(F.col("seq") * 4 / F.col("most"))).drop("most")
+    for batch in (0, 1, 1, 2, 3):
+        W.writer(path)(quarter.where(F.col("batch") == batch), batch)
+    return W.latest(spark, path)

@@ -56,7 +56,16 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as gestures of clients: a purchase commits, an error cancels, anything else selects value k for its type."""
-    e = table(spark, sf_dir, "events")
+    return gestures(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the files of events."""
+    schema = table(spark, sf_dir, "events").schema
+    return gestures(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))  # a pattern may match a file; a plain path must be a folder
+
+
+def gestures(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "cancel").otherwise("select")
     return e.select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("client_id"), F.col("ts"), F.col("event_type").alias("slot"), kind.alias("kind"),
