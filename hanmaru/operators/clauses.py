@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import graphemes, utf16_length, utf16_slice
+from ..functions.text import utf16_length, utf16_slice
 
 
 def spliced(text: Column, segs: Column) -> Column:
@@ -52,12 +52,6 @@ def seeded_boundaries(text: Column, segs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(ends, lambda p: (p > 0) & (p < n))))
 
 
-def grapheme_edges(text: Column) -> Column:
-    """Offsets at which user-perceived characters begin and end, with 0 and the length."""
-    start = F.array(F.lit(0).cast("long"))
-    return F.aggregate(graphemes(text), start, lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + utf16_length(g))))
-
-
 def moved_boundary(text: Column, boundaries: Column, focus: Column, delta: int) -> Column:
     """Boundaries after the right edge of the span that starts at focus moves by delta (+1 or -1) characters.
 
@@ -68,16 +62,16 @@ def moved_boundary(text: Column, boundaries: Column, focus: Column, delta: int)
     edges = F.concat(F.array(F.lit(0).cast("long")), F.transform(boundaries, lambda b: b.cast("long")), F.array(n))
     i = F.array_position(edges, focus.cast("long")).cast("int")  # from 1; 0 if focus is no edge
     right, beyond = F.get(edges, i), F.get(edges, i + 1)
-    marks = grapheme_edges(text)
+    left = F.get(edges, i - 1)
     inner = lambda e: F.filter(e, lambda p: (p > 0) & (p < n))
     without = F.filter(edges, lambda p: p != right)
     if delta > 0:
-        to = F.array_min(F.filter(marks, lambda p: p > right))
+        to = right + utf16_length(F.nullif(F.regexp_extract(utf16_slice(text, right, n - right), r"^\X", 0), F.lit("")))
         grown = F.when(F.least(to, beyond) == beyond, without).otherwise(F.array_sort(F.concat(without, F.array(to))))
         fine = (i >= 1) & right.isNotNull() & beyond.isNotNull() & to.isNotNull()
         return F.when(fine, inner(grown)).otherwise(inner(edges))
-    to = F.array_max(F.filter(marks, lambda p: p < right))
-    fine = (i >= 1) & right.isNotNull() & (to > F.get(edges, i - 1))
+    to = right - utf16_length(F.regexp_extract(utf16_slice(text, left, right - left), r"\X\z", 0))
+    fine = (i >= 1) & right.isNotNull() & (to > left)
     base = F.when(right == n, edges).otherwise(without)
     return F.when(fine, inner(F.array_sort(F.concat(base, F.array(to))))).otherwise(inner(edges))
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from hanmaru.plans import fixtures, sessions  # noqa: F401
+from hanmaru.plans import fixtures, sessions, whole  # noqa: F401
 from hanmaru.plans.queries import ORACLE, QUERIES
 
 
