@@ -17,6 +17,7 @@ vectors score 0; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 K, SCALE, CELLS = 5, 256, 256
 #: Bytes of query vectors that are sent out at once, scores that a task holds at once, and how many times k vectors the first scan gives.
 BATCH_BYTES, SCORES, AHEAD = 8_000_000, 2_000_000, 4
 #: Sums of products below this are exact in float64.
 EXACT_SUM = 2.0**52
+FOUND = "query_id long, rank int, vec_id long, score long"
 
 
 def quantised(x: Column, scale: int = SCALE) -> Column:
@@ -117,7 +119,7 @@ def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE, reads:
         """(q, rid): each task's AHEAD * k + 1 highest upper bounds of each query, or all that reach the bound."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            batch, least, most = sent.value, bound.value if bound else None, AHEAD * k + 1
+            batch, least, most = Batch(*sent.value), bound.value if bound else None, AHEAD * k + 1
             n = len(batch.number)
             held_s, held_r = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
             for b in batches:
@@ -139,13 +141,13 @@ def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE, reads:
             if least is None and held_s.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.number, held_s.shape[1])), pa.array(held_r.ravel()), pa.array(held_s.ravel())], names=["q", "rid", "s"])
 
-        return cells.where(F.col("d") == sent.value.x.shape[1]).select("rid", "cells").mapInArrow(run, "q long, rid long, s double")
+        return cells.where(F.col("d") == sent.value[1].shape[1]).select("rid", "cells").mapInArrow(run, "q long, rid long, s double")
 
     def read(pairs: DataFrame, sent) -> DataFrame:
         """(q, vec_id, score): exact scores of the pairs (q, rid), with the ids of equal vectors."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            batch = sent.value
+            batch = Batch(*sent.value)
             for b in batches:
                 if b.num_rows:
                     q = b.column(0).to_numpy(zero_copy_only=False)
@@ -161,7 +163,8 @@ def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE, reads:
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
         return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/topk-{uuid.uuid4().hex}"
+    spark.createDataFrame([], FOUND).write.parquet(path)
     for d, n in sorted(asked.items()):
         size = max(1, BATCH_BYTES // (8 * max(1, d)))
         parts = -(-n // size)
@@ -171,18 +174,22 @@ def top_k(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE, reads:
             if not len(number):
                 continue
             x = np.asarray(mine["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(number), d)
-            sent = spark.sparkContext.broadcast(Batch(number, x, *edges[d]))
+            sent = spark.sparkContext.broadcast((number, x, *edges[d]))  # plain arrays: executors may not know this package's classes
             order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rid"))
             ahead = scan(sent, None).withColumn("nth", order).where(F.col("nth") <= AHEAD * k + 1).select("q", "rid")
             first = best(read(ahead, sent)).where(F.col("rank") == k).select("q", "score").toArrow()
             least = np.full(len(number), -np.inf)
             # an upper bound may lie a little below an exact score of 64 bits, as floats are coarse there
             least[np.searchsorted(number, first["q"].to_numpy())] = first["score"].to_numpy().astype(np.float64) * (1 - 1e-12 * np.sign(first["score"].to_numpy())) - 1e-6
-            pairs = cut(scan(sent, spark.sparkContext.broadcast(least)).select("q", "rid"), "candidates")
+            bound = spark.sparkContext.broadcast(least)
+            pairs = cut(scan(sent, bound).select("q", "rid"), "candidates")
             if reads is not None:
                 reads.append(pairs.count())
-            out = out.unionByName(best(read(pairs, sent)).select("query_id", "rank", "vec_id", "score"))
-    return out
+            # each batch's rows are written, so that what was sent out for it can go
+            best(read(pairs, sent)).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+            sent.destroy()
+            bound.destroy()
+    return spark.read.schema(FOUND).parquet(path)
 
 
 def by_length(x: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
