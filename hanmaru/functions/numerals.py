@@ -26,58 +26,54 @@ def spelled(d: Column, zero: str = "零") -> Column:
     return F.translate(d, DIGITS, zero + HANJA_DIGITS[1:])
 
 
-def groups(d: Column) -> list[Column]:
-    """MAX_GROUPS groups of four digits, the highest first, padded with zeros; d has no more digits than that.
-
-    Each is a plain expression, so readings stay in generated code.
-    """
-    padded = F.lpad(d, 4 * MAX_GROUPS, "0")
-    return [F.substring(padded, 4 * i + 1, 4) for i in range(MAX_GROUPS)]
-
-
-def small_group(g: Column, digits: str, units: tuple[str, ...]) -> Column:
-    """A group of four digits as a quantity: one is silent before a unit."""
-    parts = []
-    for k, unit in enumerate(units):
-        d = F.substring(g, k + 1, 1)
-        read = F.when(d == "0", "").otherwise(F.concat(F.translate(d, DIGITS, digits), F.lit(unit)))
-        parts.append(F.when(d == "1", F.lit(unit)).otherwise(read) if unit else read)
-    return F.concat(*parts)
-
-
-def quantity(d: Column, digits: str, units: tuple[str, ...], names: tuple[str, ...]) -> Column:
-    """The number as a quantity; groups of zero are skipped, zero itself is its digit."""
-    read = [F.when(x == "0000", "").otherwise(F.concat(small_group(x, digits, units), F.lit(name))) for x, name in zip(groups(d), reversed(names), strict=True)]
-    return F.when(d.rlike(r"^0+\z"), F.lit(digits[0])).otherwise(F.concat(*read))
-
-
-def grouped(d: Column) -> Column:
-    """Digits with the names of their groups, for two to five groups; null otherwise."""
-    read = [F.when(x == "0000", "").otherwise(F.concat(x.cast("int").cast("string"), F.lit(name))) for x, name in zip(groups(d), reversed(HANGUL_GROUPS), strict=True)]
-    return F.when(F.length(d).between(5, 4 * MAX_GROUPS) & ~d.rlike(r"^0+\z"), F.concat(*read))
-
-
-def readings(c: Column) -> Column:
-    """All readings of a digit string in order, without repeats; null if it isn't one."""
-    d = normal_digits(c)
-    few = F.length(d) <= 4 * MAX_GROUPS
-    safe = F.when(few, d).otherwise(F.lit("0"))  # longer strings have no quantity
-    hanja, hangul = quantity(safe, HANJA_DIGITS, HANJA_UNITS, HANJA_GROUPS), quantity(safe, HANGUL_DIGITS, HANGUL_UNITS, HANGUL_GROUPS)
-    plain, circle = spelled(d), F.when(F.contains(d, F.lit("0")), spelled(d, CIRCLE_ZERO))
-    spoken = F.translate(d, DIGITS, HANGUL_DIGITS)
-    unitless = ~few | ((F.length(d) > 1) & F.startswith(d, F.lit("0")))
-    large = F.length(F.regexp_replace(d, "^0+", "")) >= LARGE_DIGITS
-    out = (
-        F.when(unitless, F.array(plain, circle, spoken))
-        .when(large, F.array(plain, hanja, circle, grouped(safe), hangul))
-        .otherwise(F.array(hanja, plain, circle, hangul, grouped(safe)))
-    )
-    return F.when(d.isNotNull(), F.array_distinct(F.filter(out, lambda x: x.isNotNull() & (x != ""))))
+#: Column that holds the digits of a number that readings are put together from.
+DIGITS_OF = "digits__"
+
+
+def _named(parts: list[str]) -> str:
+    """A replacement that sets each of the matched groups before its name."""
+    return "".join(f"${i}{name}" for i, name in enumerate(parts, start=1))
+
+
+def quantity(padded: Column, digits: str, units: tuple[str, ...], names: tuple[str, ...]) -> Column:
+    """The number of 4 * MAX_GROUPS padded digits as a quantity: every digit is set before its unit and every group before its
+    name; then zeros go with their units, ones that stand before a unit, and names that nothing stands before. Zero is empty."""
+    after = [units[k] or name for name in reversed(names) for k in range(4)]
+    spelt = F.regexp_replace(F.translate(padded, DIGITS, digits), "(.)" * (4 * MAX_GROUPS), _named(after))
+    small, large, spoken = "".join(units), "".join(names), digits[1:]
+    some = F.regexp_replace(spelt, f"{digits[0]}[{small}]?", "")
+    return F.regexp_replace(some, f"{digits[1]}(?=[{small}])|(?<![{spoken}{small}])[{large}]", "")
+
+
+def grouped(padded: Column) -> Column:
+    """Digits with the names of their groups; groups of zero and zeros that lead a group go."""
+    split = F.regexp_replace(padded, "([0-9]{4})" * MAX_GROUPS, _named(list(reversed(HANGUL_GROUPS))))
+    return F.regexp_replace(split, f"0000[{''.join(HANGUL_GROUPS)}]?|(?<![0-9])0+(?=[0-9])", "")
+
+
+def with_readings(df, key: str, out: str):
+    """df with the readings of its numeric keys in order, without repeats; null where the key isn't a number. Step by step, each
+    in a column of its own that the next ones use many times."""
+    d, padded = F.col(DIGITS_OF), F.col("padded__")
+    few, size = F.length(d) <= 4 * MAX_GROUPS, F.length(d)
+    df = df.select("*", normal_digits(F.col(key)).alias(DIGITS_OF))
+    df = df.select("*", F.lpad(F.when(few, d).otherwise("0"), 4 * MAX_GROUPS, "0").alias("padded__"))  # longer strings have no quantity
+    df = df.select("*", quantity(padded, HANJA_DIGITS, HANJA_UNITS, HANJA_GROUPS).alias("h__"), quantity(padded, HANGUL_DIGITS, HANGUL_UNITS, HANGUL_GROUPS).alias("k__"))
+    zero = F.col("h__") == ""
+    hanja, hangul = F.when(zero, HANJA_DIGITS[0]).otherwise(F.col("h__")), F.when(zero, HANGUL_DIGITS[0]).otherwise(F.col("k__"))
+    named = F.when((size > 4) & few & ~zero, grouped(padded)).otherwise("")
+    plain, spoken = spelled(d), F.translate(d, DIGITS, HANGUL_DIGITS)
+    circle = F.when(F.contains(d, F.lit("0")), spelled(d, CIRCLE_ZERO)).otherwise("")
+    unitless = ~few | ((size > 1) & F.startswith(d, F.lit("0")))
+    large = F.length(F.ltrim(d, F.lit("0"))) >= LARGE_DIGITS
+    found = F.when(unitless, F.array(plain, circle, spoken)).when(large, F.array(plain, hanja, circle, named, hangul)).otherwise(F.array(hanja, plain, circle, hangul, named))
+    return df.select("*", F.when(d.isNotNull(), F.array_remove(F.array_distinct(found), "")).alias(out)).drop("padded__", "h__", "k__")
 
 
 def numeral_candidates(df, key: str = "key"):
     """A row for each reading of df's numeric keys: df's columns, reading, value, comment, source, usage_count, frequency, base_rank."""
     zero = F.lit(0).cast("long")
-    return df.select("*", normal_digits(F.col(key)).alias("reading"), F.posexplode(readings(F.col(key))).alias("base_rank", "value")).select(
-        *df.columns, "reading", "value", F.lit(COMMENT).alias("comment"), F.lit("system").alias("source"), zero.alias("usage_count"), zero.alias("frequency"), F.col("base_rank").cast("long").alias("base_rank")
+    # the plain generator would put a filter on the readings below the columns they are made from, and compute all of them again
+    return with_readings(df, key, "readings__").select("*", F.posexplode_outer("readings__").alias("base_rank", "value")).where("base_rank is not null").select(
+        *df.columns, F.col(DIGITS_OF).alias("reading"), "value", F.lit(COMMENT).alias("comment"), F.lit("system").alias("source"), zero.alias("usage_count"), zero.alias("frequency"), F.col("base_rank").cast("long").alias("base_rank")
     )
