@@ -210,8 +210,8 @@ def usage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{versions.shared_folder(spark)}/usage-{uuid.uuid4().hex}"
     events = T.events(spark, sf_dir)
-    most = F.broadcast(events.agg((F.max("seq") + 1).alias("most")))
-    quarter = events.join(most).withColumn("batch", F.floor(F.col("seq") * 4 / F.col("most"))).drop("most")
+    most = (events.agg(F.max("seq")).first()[0] or 0) + 1
+    quarter = events.withColumn("batch", F.floor(F.col("seq") * 4 / most))
     for batch in (0, 1, 1, 2, 3):
         W.writer(path)(quarter.where(F.col("batch") == batch), batch)
     return W.latest(spark, path)

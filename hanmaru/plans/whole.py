@@ -312,3 +312,30 @@ def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     T.table(spark, sf_dir, "part").orderBy("p_partkey").select(F.concat_ws("\t", "p_brand", "p_name", "p_type").alias("value")).write.text(path)
     loaded = stores.load_dictionary(spark, path)
     return loaded.select((F.row_number().over(Window.orderBy("pos")) - 1).cast("long").alias("nth"), "reading", "value", "comment")
+
+
+@query("""WITH RECURSIVE b AS (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark), c AS (SELECT DISTINCT w FROM b),
+x AS (SELECT substr(w, i, n) AS form FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM b), (VALUES (2), (3)) q(n) WHERE i + n - 1 <= length(w) AND (i = 1 OR i + n - 1 = length(w))),
+d AS (SELECT form, CASE WHEN length(form) = 2 THEN 'nng' ELSE 'nnp' END AS tag, 100 - least(99, count(*)) AS cost FROM x GROUP BY form),
+e AS (SELECT form, tag, cost, length(form) AS n FROM d),
+p AS (
+  SELECT w, 0 AS pos, CAST(0 AS BIGINT) AS cost, '' AS name FROM c
+  UNION ALL
+  SELECT * FROM (
+    SELECT w, pos + n AS pos, cost + more AS cost, CASE WHEN name = '' THEN '' ELSE name || '|' END || form || '/' || tag AS name FROM (
+      SELECT p.*, e.n, e.cost AS more, e.form, e.tag FROM p JOIN e ON e.form = substr(p.w, p.pos + 1, e.n) AND p.pos + e.n <= length(p.w)
+      UNION ALL SELECT p.*, 1, 1000, substr(p.w, p.pos + 1, 1), 'un' FROM p WHERE pos < length(w)))
+  WHERE cost < 1000 * (length(w) // 2 + 2))
+SELECT w AS clause, CAST(row_number() OVER (PARTITION BY w ORDER BY cost, name) - 1 AS INT) AS result_rank, -CAST(cost AS DOUBLE) AS score, name AS path FROM p WHERE pos = length(w)
+QUALIFY row_number() OVER (PARTITION BY w ORDER BY cost, name) <= 3""")
+def lattice_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three cheapest ways to put every word of the benchmark together from the beginnings and ends of all its words."""
+    from ..operators import lattice
+
+    words = T.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    at = lambda n: F.array(F.when(F.length("w") >= n, F.substring("w", 1, n)), F.when(F.length("w") > n, F.expr(f"right(w, {n})")))
+    pieces = words.select(F.explode(F.concat(at(2), at(3))).alias("form")).where("form is not null")
+    known = pieces.groupBy("form").agg((100 - F.least(F.lit(99), F.count("*"))).alias("cost")).select("form", F.when(F.length("form") == 2, "nng").otherwise("nnp").alias("tag"), "cost")
+    clauses = words.distinct().select(F.col("w").alias("clause_id"), F.col("w").alias("text"))
+    path = F.array_join(F.transform("tokens", lambda t: F.concat(t["form"], F.lit("/"), t["tag"])), "|")
+    return lattice.tokenizations(clauses, known).select(F.col("clause_id").alias("clause"), "result_rank", "score", path.alias("path"))
