@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: (a long, b long) links to (node long, root long), root the smallest node.
 
     Alternates large-star and small-star steps until the links no longer change, which takes some log2(nodes)**2 rounds at most. Every step is a grouped minimum (summed
-    up before its shuffle) and an equi-join whose skewed keys AQE splits, and each round's links go to the shared folder.
+    up before its shuffle) and an equi-join with it, and each round's links go to the shared folder. As the minimum stands in the
+    same plan, AQE doesn't split that join where one node has very many links.
     Nodes without links don't appear. Self links and nulls are ignored.
     """
     pairs = cut(
