@@ -559,7 +559,7 @@ def chunk_gains(rows: DataFrame) -> DataFrame:
     often the text has that pair (k) and that chunk before (kp), and log, the log10 probability of its bytes.
     """
     one = F.when(F.col("train"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    # contexts that stand in one place only, or in no training text, predict nothing; both joins may split skewed contexts
+    # contexts that stand in one place only, or in no training text, predict nothing
     contexts = rows.groupBy("p").agg(F.sum(one).alias("all"), F.count("*").alias("places")).where("places > 1 and all > 0").select("p", "all")
     held = cut(rows.join(contexts, "p"), "chunks")
     pairs = held.groupBy("p", "s").agg(F.sum(one).alias("c"))
