@@ -9,23 +9,29 @@ of any size needs the memory of its state alone. `run_stream` keeps the same sta
 values, the locks as a map and the pending choices as a list, written only where they changed; a timer of event time drops
 clients that were silent for long, and with them choices that no commit wrote out. Both give the same rows.
 
+A tokenizer may read the clauses: `tokens.answered` joins its answers to the keys, in batches and streams alike, and rows that
+bring one (clause, tokens) cut the clause by it. `run_read_stream` holds a client's rows back until the watermark has passed
+them, as rows without an answer leave the join later than others, and takes them in order of seq.
+
 Fixed cases: a null source is a key, null modifiers are none, a key code or text that means nothing passes on, rows without
 a turn each are a turn of their own for commands and keys alike, and ranges without a place are null.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import policy as P
-from . import dispatch
+from . import dispatch, tokens
 from .hangul import Composer
 from .panel import Panel
 from .session import SUPPRESS_TTL, TRIGGER_TTL, Host, Session, units
@@ -33,9 +39,11 @@ from .session import SUPPRESS_TTL, TRIGGER_TTL, Host, Session, units
 KEYS = "client_id string, seq long, ts double, turn long, source string, key_code int, modifiers long, chars string, command string, sel_loc long, sel_len long, marked_loc long, marked_len long, left_text string, selected_text string, status string"
 ROWS = "client_id string, seq long, nth int, kind string, text string, value string, loc long, len long"
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+FIELDS = [c.split()[0] for c in KEYS.split(", ")]
 Range = tuple[int, int] | None
 CORE = (
     "mode string, lead string, vowel string, tail string, clause string, selected int, armed_at double, suppressed_at double, turn long, boundaries array<int>, "
+    "clause_read string, words array<struct<at:int,surface:string,tag:string>>, "
     "range_mode string, range_loc long, range_len long, "
     "panel struct<kind:string,values:array<string>,key:string,at:int,on_key:boolean,page:int,loc:bigint,size:bigint,segment:int,message:string,detail:string>"
 )
@@ -108,6 +116,8 @@ class KeySession:
                 self.ranges.mode == "client-marked" and host.marked is not None and host.marked != self.ranges.place(),
             )
 
+        if (clause := known(getattr(e, "clause", None))) is not None and (answer := known(getattr(e, "tokens", None))) is not None:
+            s.read(clause, json.loads(answer), lookup)
         out: list[tuple] = []
         for rule in dispatch.actions(met):
             composing = bool(s.source())
@@ -115,6 +125,7 @@ class KeySession:
             if s.suppressed_at == ts:
                 self.turn = turn
             out += self.placed(rows, composing, host)
+        s.forget()
         return out
 
     def act(self, rule: dispatch.Rule, ts: float, code: int, mods: int, chars: str | None, command: str | None, host: Host, lookup: dict[str, list[str]]) -> Iterator[tuple]:
@@ -187,7 +198,7 @@ def stepped(state: KeySession, rows: pd.DataFrame, lookup: dict[str, list[str]])
 
 
 def replay(keys: DataFrame, lookup: dict[str, list[str]]) -> DataFrame:
-    """All rows of a bounded table of KEYS."""
+    """All rows of a bounded table of KEYS, with or without a tokenizer's answers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, state = None, KeySession()
@@ -197,7 +208,7 @@ def replay(keys: DataFrame, lookup: dict[str, list[str]]) -> DataFrame:
                     client, state = name, KeySession()
                 yield stepped(state, rows, lookup)
 
-    fields = [c.split()[0] for c in KEYS.split(", ")]
+    fields = [*FIELDS, *(c for c in ("clause", "tokens") if c in keys.columns)]
     return keys.select(*fields).where("client_id is not null").repartition("client_id").sortWithinPartitions("client_id", "seq").mapInPandas(run, ROWS)
 
 
@@ -216,16 +227,17 @@ class Sessions(StatefulProcessor):
     def load(self) -> KeySession:
         if not self.core.exists():
             return KeySession()
-        mode, lead, vowel, tail, clause, selected, armed, suppressed, turn, boundaries, range_mode, loc, size, panel = self.core.get()
+        mode, lead, vowel, tail, clause, selected, armed, suppressed, turn, boundaries, clause_read, words, range_mode, loc, size, panel = self.core.get()
         locks = {(k[0], k[1]): v[0] for k, v in self.locks.iterator()} if self.locks.exists() else {}
         pending = {(at, surface): value for at, surface, value in self.pending.get()} if self.pending.exists() else {}
         session = Session(mode, Composer(lead, vowel, tail), clause, locks, pending, selected, armed, suppressed, None if boundaries is None else list(boundaries), None if panel is None else Panel(*[list(x) if isinstance(x, (list, tuple)) else x for x in panel]))
+        session.words = None if clause_read is None else (clause_read, [tuple(w) for w in words])
         return KeySession(session, Ranges(range_mode, loc, size), turn)
 
     def save(self, state: KeySession, before: tuple[dict, dict]) -> None:
         s, r = state.session, state.ranges
         c, p = s.composer, s.panel
-        self.core.update((s.mode, c.lead, c.vowel, c.tail, s.clause, s.selected, s.armed_at, s.suppressed_at, state.turn, s.boundaries, r.mode, r.loc, r.len, None if p is None else tuple(p.dump())))
+        self.core.update((s.mode, c.lead, c.vowel, c.tail, s.clause, s.selected, s.armed_at, s.suppressed_at, state.turn, s.boundaries, *(s.words or (None, None)), r.mode, r.loc, r.len, None if p is None else tuple(p.dump())))
         locks, pending = before
         for key in locks.keys() - s.locks.keys():
             self.locks.removeKey(key)
@@ -238,30 +250,88 @@ class Sessions(StatefulProcessor):
             else:
                 self.pending.clear()
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
+    def take(self, events: pd.DataFrame) -> pd.DataFrame:
+        """Output of rows, by which the stored state moves on."""
         state = self.load()
         before = dict(state.session.locks), dict(state.session.pending)
-        events = pd.concat(frames)
         out = stepped(state, events, self.lookup)
         self.save(state, before)
+        return out
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows))
+        out = self.take(events)
         for due in list(self.handle.listTimers()):
             self.handle.deleteTimer(due)
         self.handle.registerTimer(int(events["at"].max().timestamp() * 1000) + self.idle_ms)
         yield out
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield self.expired(key)
+
+    def expired(self, key: Any) -> pd.DataFrame:
         for field_ in (self.core, self.locks, self.pending):
             field_.clear()
-        yield pd.DataFrame([(key[0], None, 0, "expired", "", None, None, None)], columns=COLUMNS).astype({"seq": "Int64", "loc": "Int64", "len": "Int64"})
+        return pd.DataFrame([(key[0], None, 0, "expired", "", None, None, None)], columns=COLUMNS).astype({"seq": "Int64", "loc": "Int64", "len": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+def plain(x: Any) -> Any:
+    """A value of a pandas row as the state store takes it."""
+    x = known(x)
+    return x.item() if isinstance(x, np.generic) else x
+
+
+class OrderedSessions(Sessions):
+    """Sessions whose rows wait until the watermark has passed them, so that none of their client can still come before them."""
+
+    WAITING = f"{KEYS}, clause string, tokens string, due long"
+    NAMES = [c.split()[0] for c in WAITING.split(", ")]
+    WHOLE = [c.split()[0] for c in WAITING.split(", ") if c.endswith((" long", " int"))]
+
+    def init(self, handle: Any) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.idle = handle.getValueState("idle", "due long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows))
+        events["due"] = [int(t.timestamp() * 1000) for t in events["at"]]
+        held = [tuple(v if v is None or n not in self.WHOLE else int(v) for n, v in zip(self.NAMES, map(plain, r), strict=True)) for r in events[self.NAMES].itertuples(index=False)]
+        self.waiting.appendList(held)
+        self.handle.registerTimer(int(events["due"].max()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = [r for r in held if r[-1] <= now]
+        if due:
+            later = [r for r in held if r[-1] > now]
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            silent = max(r[-1] for r in due) + self.idle_ms
+            self.idle.update((silent,))
+            self.handle.registerTimer(silent)
+            yield self.take(pd.DataFrame(due, columns=self.NAMES))
+        elif not held and self.idle.exists() and self.idle.get()[0] <= now:
+            self.idle.clear()
+            yield self.expired(key)
+
+
+def run_read_stream(keys: DataFrame, answers: DataFrame, lookup: dict[str, list[str]], late: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """Rows of a stream of KEYS joined with a stream of a tokenizer's answers, those of `replay(tokens.answered(keys, answers))`.
+    An answer counts if it comes within `late` after its key. A client's ts must not fall as its seq grows."""
+    read = tokens.answered(keys, answers, late).where("client_id is not null")
+    return read.groupBy("client_id").transformWithStateInPandas(OrderedSessions(lookup, idle_ms), ROWS, "Append", "EventTime")
+
+
 def run_stream(keys: DataFrame, lookup: dict[str, list[str]], late: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
     """Rows of a stream of KEYS. A client is dropped, with a row that says so, once the watermark, `late` behind the latest
     event, has passed its own last event by idle_ms. The state store must be RocksDB's."""
-    fields = [c.split()[0] for c in KEYS.split(", ")]
-    timed = keys.select(*fields, F.timestamp_micros((F.col("ts") * 1e6).cast("long")).alias("at")).withWatermark("at", late)
+    timed = keys.select(*FIELDS, tokens.moment("ts").alias("at")).withWatermark("at", late)
     return timed.groupBy("client_id").transformWithStateInPandas(Sessions(lookup, idle_ms), ROWS, "Append", "EventTime")

@@ -4,8 +4,8 @@
 state store of a streaming query; both feed events in order of seq through the same handler, so they give the same rows.
 Commit flushes pending choices, cancel drops them. Events of a client are in one group; clients are many and small.
 
-A clause is cut into the longest known readings and numbers, or, once a boundary was moved by hand, at boundaries that stay
-until the source changes. A panel (see `panel`) shows the selected segment's candidates and, behind them, the segment itself, or
+A clause is cut by the tokenizer's answer for it where there is one (see `tokens`), else into the longest known readings and
+numbers, or, once a boundary was moved by hand, at boundaries that stay until the source changes. A panel (see `panel`) shows the selected segment's candidates and, behind them, the segment itself, or
 those of a manual conversion, or a notice. Readings are looked up in NFC, whole graphemes at a time, and numbers by their
 digits; numbers always convert when asked, and never unasked, and so do readings whose Hangul is chosen at least as often.
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HANGUL, nfc_key
+from ..operators.segments import ELIGIBLE, NOT_UNASKED, NUMERIC, TOP_TOKENIZATIONS
 from ..operators.targets import BLANK
 from .hangul import Composer
 from .numbers import readings
@@ -41,7 +42,7 @@ OUTPUT = "client_id string, seq long, kind string, text string, value string"
 TRIGGER_TTL, SUPPRESS_TTL = 1.0, 0.5
 MAX_LOOKUP_ROWS = 300_000
 ENDS_CLAUSE = re.compile(r"[.?!;\n\rA-Za-z]")
-NUMBER = re.compile(r"[0-9,]*[0-9][0-9,]*")
+NUMBER = re.compile(NUMERIC)
 TAIL, EMPTY = re.compile(f"[{HANGUL}]*\\Z"), regex.compile(BLANK)
 # fixed values: what notices say
 NO_CANDIDATES, NO_TARGET, LOADING, UNAVAILABLE = "후보 없음", "변환할 텍스트가 없습니다.", "한자 사전을 불러오는 중입니다.", "한자 사전을 사용할 수 없습니다."
@@ -113,6 +114,28 @@ def values_of(surface: str, lookup: dict[str, list[str]]) -> list[str]:
     return lookup.get(key) or (readings(key) if NUMBER.fullmatch(surface) else [])
 
 
+def words_of(clause: str, tokens: list[dict]) -> list[tuple[int, str, str]]:
+    """(start, surface, tag) of a tokenization's words that are looked up, and of the clause's numbers, to which tokens that
+    touch them give way. Positions of tokens are UTF-16 units; those that cut a character in two count for nothing."""
+    at, place = {0: 0}, 0
+    for i, c in enumerate(clause, 1):
+        place += units(c)
+        at[place] = i
+    spots = ((at.get(t["position"]), at.get(t["position"] + t["length"]), t["tag"]) for t in tokens if t["length"] > 0 and t["tag"] in ELIGIBLE)
+    found = [(a, clause[a:z], tag) for a, z, tag in spots if a is not None and z is not None]
+    numbers = [(m.start(), m[0], "sn") for m in NUMBER.finditer(clause)]
+    if not numbers:
+        return found
+    free = [w for w in found if not any(w[0] < n[0] + len(n[1]) and n[0] < w[0] + len(w[1]) for n in numbers)]
+    return sorted(free + numbers, key=lambda w: (w[0], -units(w[1])))
+
+
+def best_words(clause: str, tokenizations: list[list[dict]], lookup: dict[str, list[str]]) -> list[tuple[int, str, str]]:
+    """Words of the tokenization whose convertible ones are longest in sum; of equals, the earlier one."""
+    every = [words_of(clause, tokens) for tokens in tokenizations[:TOP_TOKENIZATIONS]]
+    return max(every, key=lambda words: sum(units(s) for _, s, _ in words if NUMBER.fullmatch(s) or key_of(s) in lookup), default=[])
+
+
 def hangul_tail(text: str) -> str:
     return TAIL.search(text)[0]
 
@@ -157,29 +180,45 @@ class Session:
     suppressed_at: float | None = None
     boundaries: list[int] | None = None
     panel: Panel | None = None
+    words: tuple[str, list[tuple[int, str, str]]] | None = None  # a clause and how a tokenizer reads it
 
     def dump(self) -> str:
         """The state as JSON, which the state store keeps."""
         keyed = lambda d: [[*k, v] for k, v in d.items()]
         c = self.composer
-        return json.dumps([self.mode, [c.lead, c.vowel, c.tail], self.clause, keyed(self.locks), keyed(self.pending), self.selected, self.armed_at, self.suppressed_at, self.boundaries, self.panel and self.panel.dump()])
+        return json.dumps([self.mode, [c.lead, c.vowel, c.tail], self.clause, keyed(self.locks), keyed(self.pending), self.selected, self.armed_at, self.suppressed_at, self.boundaries, self.panel and self.panel.dump(), self.words])
 
     @classmethod
     def load(cls, text: str) -> "Session":
-        mode, jamo, clause, locks, pending, selected, armed, suppressed, boundaries, panel = json.loads(text)
+        mode, jamo, clause, locks, pending, selected, armed, suppressed, boundaries, panel, words = json.loads(text)
         keyed = lambda rows: {(at, surface): v for at, surface, v in rows}
-        return cls(mode, Composer(*jamo), clause, keyed(locks), keyed(pending), selected, armed, suppressed, boundaries, panel and Panel(*panel))
+        return cls(mode, Composer(*jamo), clause, keyed(locks), keyed(pending), selected, armed, suppressed, boundaries, panel and Panel(*panel), words and (words[0], [tuple(w) for w in words[1]]))
 
     def source(self) -> str:
         return self.clause + self.composer.shown()
 
+    def read(self, clause: str, tokenizations: list[list[dict]], lookup: dict[str, list[str]]) -> None:
+        """Takes a tokenizer's answer, tokens (tag, position, length) by rank. It serves while the source is that clause."""
+        self.words = clause, best_words(clause, tokenizations, lookup)
+
+    def forget(self) -> None:
+        """Drops an answer about another clause."""
+        if self.words is not None and self.words[0] != self.source():
+            self.words = None
+
+    def tagged(self) -> list[tuple[int, str, str]] | None:
+        """The source's words with their tags, unless they were cut by hand or no tokenizer read them."""
+        return self.words[1] if self.boundaries is None and self.words is not None and self.words[0] == self.source() else None
+
     def segments(self, lookup: dict[str, list[str]]) -> list[tuple[int, str]]:
-        """(start, surface) of the longest known readings from the left, and of runs of digits; of all stretches between
-        boundaries where those were drawn by hand."""
+        """(start, surface) of the tokenizer's words, or else of the longest known readings from the left, and of runs of
+        digits; of all stretches between boundaries where those were drawn by hand."""
         if self.boundaries is not None:
             text = self.source()
             edges = [0, *(b for b in self.boundaries if 0 < b < len(text)), len(text)]
             return [(a, text[a:z]) for a, z in zip(edges, edges[1:], strict=False) if z > a]
+        if (words := self.tagged()) is not None:
+            return [w[:2] for w in words]
         text, at, out, most = self.source(), 0, [], longest(lookup)
         marks = [0]
         for g in regex.findall(r"\X", text):
@@ -197,19 +236,26 @@ class Session:
         return out
 
     def preview(self, lookup: dict[str, list[str]]) -> str:
-        """The clause with each segment's locked or first candidate in its place."""
+        """The clause with each segment's locked or first candidate in its place; of segments that overlap, the first one's,
+        of those that begin together the shortest one's."""
         text, out, at = self.source(), "", 0
-        for start, surface in self.segments(lookup):
-            show = self.locks.get((start, surface), self.unasked(surface, lookup))
+        for start, surface in sorted(self.segments(lookup), key=lambda s: (s[0], len(s[1]))):
+            if start < at:
+                continue
+            show = self.locks.get((start, surface), self.unasked((start, surface), lookup))
             out += text[at:start] + (show or surface)
             at = start + len(surface)
         return out + text[at:]
 
-    def unasked(self, surface: str, lookup: dict[str, list[str]]) -> str | None:
-        """What a segment converts to as long as nobody chose: numbers, and readings whose Hangul is preferred, stay."""
-        key = key_of(surface)
+    def unasked(self, segment: tuple[int, str], lookup: dict[str, list[str]]) -> str | None:
+        """What a segment converts to as long as nobody chose: numbers stay, and so do readings whose Hangul is preferred and
+        words of kinds that never convert unasked. Cuts by hand ask for neither use nor kind."""
+        key = key_of(segment[1])
         known = lookup.get(key)
-        return known[0] if known and not NUMBER.fullmatch(surface) and not prefers_hangul(lookup, key) else None
+        if not known or NUMBER.fullmatch(segment[1]):
+            return None
+        tag = next((w[2] for w in self.tagged() or () if w[:2] == segment), None)
+        return None if self.boundaries is None and (prefers_hangul(lookup, key) or tag in NOT_UNASKED) else known[0]
 
     def analyse(self, lookup: dict[str, list[str]], kept: tuple[int, str] | None = None) -> None:
         """After a change: locks and choices whose segment is gone go too; the selection stays with its segment while that
@@ -244,7 +290,7 @@ class Session:
         if self.mode != "realtime" or own is None or not values:
             self.panel = None
         elif not (keep and before and before.kind == "realtime" and before.segment == self.selected):
-            shown = self.locks.get(own, self.unasked(own[1], lookup))
+            shown = self.locks.get(own, self.unasked(own, lookup))
             at = values.index(shown) if shown in values else 0
             self.panel = Panel("realtime", values, own[1], at, shown is None, at // PAGE_SIZE, segment=self.selected)
         elif before.values != values:
