@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from ..sources import versions
-from ..streaming import choices, dispatch
+from ..streaming import choices, dispatch, keys
 from ..streaming import ranges as R
 from ..streaming import usage as W
+from ..streaming.hangul import FIRST_SYLLABLE, LEADS, TAILS, VOWELS
+from ..streaming.hangul import KEYS as TWO_SET
 from ..streaming.panel import Panel
+from ..streaming.session import lookup_table
+from ..streaming.tokens import answered
 from . import tables as T
 from .queries import ORACLE, query
 
@@ -215,3 +219,53 @@ def usage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (0, 1, 1, 2, 3):
         W.writer(path)(quarter.where(F.col("batch") == batch), batch)
     return W.latest(spark, path)
+
+
+#: Letters as syllables: the keys of one consonant and one vowel each, so that no syllable takes the next one's consonant.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+PAIRS = [c + v for v in "kj" for c in "rsefaqtdwczxvg"][:26]
+SYLLABLES = "".join(chr(FIRST_SYLLABLE + (LEADS.index(TWO_SET[c]) * len(VOWELS) + VOWELS.index(TWO_SET[v])) * len(TAILS)) for c, v in PAIRS)
+#: Letters in a token of the first, second and third tokenization, and the tags that take turns.
+SIZES, TAGS = (3, 2, 4), ("nnp", "jks", "nng", "vx")
+
+
+@query(f"""WITH b AS (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark),
+d AS (SELECT form, count(*) % 5 = 0 AS own FROM (SELECT substr(w, 1, n) AS form FROM b, (VALUES (2), (3)) q(n) WHERE length(w) >= n) GROUP BY form),
+c AS (SELECT DISTINCT w FROM b),
+t AS (
+  SELECT w, rank, i, substr(w, i * size + 1, size) AS form, (['nnp', 'jks', 'nng', 'vx'])[(i + rank) % 4 + 1] AS tag
+  FROM (SELECT w, rank, size, unnest(range((length(w) + size - 1) // size)) AS i FROM c, (VALUES (0, 3), (1, 2), (2, 4)) q(rank, size))),
+s AS (SELECT t.*, tag <> 'jks' AND d.form IS NOT NULL AS converts, CASE WHEN tag IN ('nnp', 'nng') AND NOT own THEN upper(form) ELSE form END AS shown FROM t LEFT JOIN d USING (form)),
+r AS (SELECT w, rank, sum(CASE WHEN converts THEN length(form) ELSE 0 END) AS cover, string_agg(CASE WHEN converts THEN shown ELSE form END, '' ORDER BY i) AS shown FROM s GROUP BY ALL)
+SELECT w AS client_id, CAST(2 * length(w) + 1 AS BIGINT) AS seq, translate(shown, '{LETTERS}', '{SYLLABLES}') AS text FROM r QUALIFY row_number() OVER (PARTITION BY w ORDER BY cover DESC, rank) = 1""")
+def read_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark typed key by key, read by a tokenizer at its last key, and committed. The beginnings of all
+    its words are known; where their count is a multiple of five, their Hangul is preferred."""
+    words = T.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    hangul = lambda c: F.translate(c, LETTERS, SYLLABLES)
+    forms = words.select(F.explode(F.array(*[F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in (2, 3)])).alias("form")).where("form is not null").groupBy("form").agg(F.count("*").alias("n"))
+    known = forms.select(hangul(F.col("form")).alias("reading_k"), F.lit(1).alias("rn"), F.upper("form").alias("value"), F.col("n").alias("usage_count"))
+    own = forms.where("n % 5 = 0").select(hangul(F.col("form")).alias("lookup_key"), hangul(F.col("form")).alias("value"), F.col("n").alias("count"))
+    lookup = lookup_table(known, usage=own)  # two or three letters: at most 26 ** 2 + 26 ** 3 forms
+
+    clauses = words.distinct()
+    pairs = F.create_map(*[F.lit(x) for kv in zip(LETTERS, PAIRS, strict=True) for x in kv])
+    letters = F.split("w", "")
+    strokes = F.flatten(F.transform(letters, lambda c: F.split(pairs[c], "")))
+    row = lambda chars, modifiers, command: F.struct(chars.alias("chars"), F.lit(modifiers).cast("long").alias("modifiers"), F.lit(command).cast("string").alias("command"))
+    nothing = F.lit(None).cast("string")
+    typed = F.concat(F.array(row(F.lit(P.TOGGLE), P.CONTROL, None)), F.transform(strokes, lambda c: row(c, 0, None)), F.array(row(nothing, 0, "insertNewline:")))
+    flat = clauses.select(F.col("w").alias("client_id"), F.posexplode(typed).alias("seq", "k")).select("client_id", F.col("seq").cast("long"), F.col("seq").cast("double").alias("ts"), "k.*", F.when(F.col("k.command").isNotNull(), "command").alias("source"))
+    absent = [c.split() for c in keys.KEYS.split(", ") if c.split()[0] not in flat.columns]
+    rows = flat.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in absent])
+
+    tags = F.array(*map(F.lit, TAGS))
+
+    def tokens(rank: int, size: int) -> F.Column:
+        token = lambda i: F.struct(F.get(tags, (i + rank) % 4).alias("tag"), (i * size).alias("position"), F.least(F.lit(size), F.length("w") - i * size).alias("length"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / size).cast("int")), token)
+
+    last = 2 * F.length("w")
+    answers = clauses.select(F.col("w").alias("client_id"), last.cast("long").alias("seq"), last.cast("double").alias("ts"), hangul(F.col("w")).alias("clause"), F.array(*[tokens(r, n) for r, n in enumerate(SIZES)]).alias("tokenizations"))
+    done = keys.replay(answered(rows, answers), lookup)
+    return done.where("kind = 'insert'").select("client_id", "seq", "text")

@@ -114,11 +114,13 @@ def fits(r: Rule, m: Met) -> bool:
 
 def actions(state: Callable[[], Met]) -> Iterator[Rule]:
     """The rules that apply to a key, each after the former's action was taken: `state` tells what the key meets by then."""
+    met = state()
     for r in RULES:
-        if fits(r, state()):
+        if r.source == met.source and fits(r, met):
             yield r
             if not r.goes_on:
                 return
+            met = state()  # only an action changes it
 
 
 FLAGS = ("clause", "pending", "suppressed", "armed", "moved")

@@ -192,9 +192,11 @@ class KeySession:
 
 def stepped(state: KeySession, rows: pd.DataFrame, lookup: dict[str, list[str]]) -> pd.DataFrame:
     """Output of a client's rows in order of seq."""
-    out = [(e.client_id, e.seq, i, *r) for e in rows.sort_values("seq", kind="stable").itertuples(index=False) for i, r in enumerate(state.step(e, lookup))]
-    frame = pd.DataFrame(out, columns=COLUMNS)
-    return frame.astype({"loc": "Int64", "len": "Int64"})
+    return output([(e.client_id, e.seq, i, *r) for e in rows.sort_values("seq", kind="stable").itertuples(index=False) for i, r in enumerate(state.step(e, lookup))])
+
+
+def output(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS).astype({"loc": "Int64", "len": "Int64"})
 
 
 def replay(keys: DataFrame, lookup: dict[str, list[str]]) -> DataFrame:
@@ -203,13 +205,17 @@ def replay(keys: DataFrame, lookup: dict[str, list[str]]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, state = None, KeySession()
         for frame in frames:
-            for name, rows in frame.groupby("client_id", sort=False, dropna=False):
-                if name != client:  # clients come one after the other
-                    client, state = name, KeySession()
-                yield stepped(state, rows, lookup)
+            out = []
+            for e in frame.itertuples(index=False):
+                if e.client_id != client:  # clients come one after the other
+                    client, state = e.client_id, KeySession()
+                out += [(client, e.seq, i, *r) for i, r in enumerate(state.step(e, lookup))]
+            yield output(out)
 
     fields = [*FIELDS, *(c for c in ("clause", "tokens") if c in keys.columns)]
-    return keys.select(*fields).where("client_id is not null").repartition("client_id").sortWithinPartitions("client_id", "seq").mapInPandas(run, ROWS)
+    # a stated number, as partitions of few bytes are still much work for Python, and would be joined into one
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.select(*fields).where("client_id is not null").repartition(tasks, "client_id").sortWithinPartitions("client_id", "seq").mapInPandas(run, ROWS)
 
 
 class Sessions(StatefulProcessor):

@@ -43,7 +43,7 @@ TRIGGER_TTL, SUPPRESS_TTL = 1.0, 0.5
 MAX_LOOKUP_ROWS = 300_000
 ENDS_CLAUSE = re.compile(r"[.?!;\n\rA-Za-z]")
 NUMBER = re.compile(NUMERIC)
-TAIL, EMPTY = re.compile(f"[{HANGUL}]*\\Z"), regex.compile(BLANK)
+TAIL, EMPTY, GRAPHEME = re.compile(f"[{HANGUL}]*\\Z"), regex.compile(BLANK), regex.compile(r"\X")
 # fixed values: what notices say
 NO_CANDIDATES, NO_TARGET, LOADING, UNAVAILABLE = "후보 없음", "변환할 텍스트가 없습니다.", "한자 사전을 불러오는 중입니다.", "한자 사전을 사용할 수 없습니다."
 REALTIME_IS_ON = "실시간 변환이 활성화되어 있습니다."
@@ -221,7 +221,7 @@ class Session:
             return [w[:2] for w in words]
         text, at, out, most = self.source(), 0, [], longest(lookup)
         marks = [0]
-        for g in regex.findall(r"\X", text):
+        for g in GRAPHEME.findall(text):
             marks.append(marks[-1] + len(g))
         k = 0
         while k < len(marks) - 1:
@@ -335,7 +335,7 @@ class Session:
             self.boundaries = sorted({e for a, surface in self.segments(lookup) for e in (a, a + len(surface)) if 0 < e < len(text)})
         edges = [0, *self.boundaries, len(text)]
         marks = [0]
-        for g in regex.findall(r"\X", text):
+        for g in GRAPHEME.findall(text):
             marks.append(marks[-1] + len(g))
         right = own[0] + len(own[1])
         to = next((m for m in marks if m > right), None) if delta > 0 else next((m for m in reversed(marks) if own[0] < m < right), None)
