@@ -213,7 +213,7 @@ def replay(keys: DataFrame, lookup: dict[str, list[str]]) -> DataFrame:
             yield output(out)
 
     fields = [*FIELDS, *(c for c in ("clause", "tokens") if c in keys.columns)]
-    # a stated number, as partitions of few bytes are still much work for Python, and would be joined into one
+    # a stated number, as partitions of few bytes are much work for Python; keys that come partitioned by client stay as they are
     tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keys.select(*fields).where("client_id is not null").repartition(tasks, "client_id").sortWithinPartitions("client_id", "seq").mapInPandas(run, ROWS)
 
