@@ -213,9 +213,10 @@ def replay(keys: DataFrame, lookup: dict[str, list[str]]) -> DataFrame:
             yield output(out)
 
     fields = [*FIELDS, *(c for c in ("clause", "tokens") if c in keys.columns)]
-    # a stated number, as partitions of few bytes are much work for Python; keys that come partitioned by client stay as they are
+    # a stated number of tasks over a hash of its own, as few bytes are much work for Python: a partitioning by client that is there
+    # already would be taken as it is, and joined into one task
     tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.select(*fields).where("client_id is not null").repartition(tasks, "client_id").sortWithinPartitions("client_id", "seq").mapInPandas(run, ROWS)
+    return keys.select(*fields).where("client_id is not null").repartition(tasks, F.xxhash64("client_id")).sortWithinPartitions("client_id", "seq").mapInPandas(run, ROWS)
 
 
 class Sessions(StatefulProcessor):
