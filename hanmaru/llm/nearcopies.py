@@ -1,10 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash fingerprints by the generalised pigeonhole principle first,
+MinHash bands for what lies beyond their radius.
 
 Texts are sets of shingles of SHINGLE words (lower-cased A-Z). Two texts are linked when the Jaccard similarity of their
-sets is SIMILARITY or more. Texts that agree in all ROWS minima of one of BANDS bands are candidates: at similarity 0.8 a
-pair is missed with a chance of (1 - 0.8^4)^24, about 3 in a million, and less above. Every candidate link is verified on
-the whole sets. SimHash can't serve here: at similarity 0.8 fingerprints differ in 10 of 64 bits on average, and a radius
-that wide makes nearly all pairs candidates.
+sets is SIMILARITY or more; every candidate link is verified on the whole sets. Candidates are, first, texts whose
+fingerprints over the same shingles differ in at most RADIUS bits (`simhash.linked`). At similarity 0.8 fingerprints differ in
+10 of 64 bits on average and 20 at times, a radius at which nearly all pairs would be candidates. So texts that agree in all
+ROWS minima of one of BANDS bands are candidates too, where fingerprints have not joined them yet: of all pairs at similarity
+0.8 bands miss (1 - 0.8^4)^24, about 3 in a million, and less above.
 
 Groups of a band with at most SMALL texts are compared in all pairs, larger ones with one of the group first. Where texts of
 a larger group are still in several components after that, all texts of those components that stand in such groups form a
@@ -27,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, cut, likely_in, slices, without_repeats
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of candidates may differ: the most that four partitions cover with one flipped bit on either side.
+RADIUS = 11
 BANDS, ROWS = 24, 4
 SMALL = 24
 #: Texts of a cluster that meet in one task, about, on either side.
@@ -72,17 +77,25 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, node long, keys): node is the hash of the text's words; keys are its bands'; h is the text's xxhash64."""
+    """(doc_id, h, node long, fp long, n int, keys): node is the hash of the text's words, fp the fingerprint of its n shingles;
+    keys are its bands'; h is the text's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
-                keys = np.array([band_keys(shingles(t.as_py())) for t in b.column(1)], np.uint64).view(np.int64).reshape(-1, BANDS)
+                keys, fps, sizes = [], [], []
+                for t in b.column(1):
+                    own = shingles(t.as_py())
+                    keys.append(band_keys(own))
+                    fps.append(simhash.folded(own))
+                    sizes.append(len(own))
+                keys = np.array(keys, np.uint64).view(np.int64).reshape(-1, BANDS)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node_ids(b.column(1))), flat], ["doc_id", "h", "node", "keys"])
+                fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node_ids(b.column(1))), fp, pa.array(sizes, pa.int32()), flat], ["doc_id", "h", "node", "fp", "n", "keys"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    return slim.mapInArrow(run, "doc_id long, h long, node long, keys array<long>")
+    return slim.mapInArrow(run, "doc_id long, h long, node long, fp long, n int, keys array<long>")
 
 
 def node_ids(texts: pa.Array) -> np.ndarray:
@@ -152,21 +165,45 @@ def links_apart(apart: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     return rows.groupBy("cluster", "x", "y").applyInPandas(lambda pdf: roots_linked(pdf), "a long, b long")
 
 
+def fingerprint_pairs(one: DataFrame) -> DataFrame:
+    """(a, b): pairs of one(node, fp, n) within RADIUS bits whose sizes allow SIMILARITY.
+
+    A fingerprint's texts are paired with one of them, which also stands for them in links to other fingerprints.
+    """
+    prints = cut(one.groupBy("fp").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "fp")).alias("p")).select("fp", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot")), "fingerprints")
+    links = simhash.linked(prints.select("fp"), RADIUS, halved=True).distinct()
+    of = lambda k: prints.select(F.col("fp").alias(k), F.col("pivot").alias(f"node_{k}"), F.col("n_pivot").alias(f"n_{k}"))
+    apart = links.join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b", "n_a", "n_b")
+    equal = one.join(prints, "fp").where("node <> pivot").select(F.col("node").alias("node_a"), F.col("pivot").alias("node_b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b"))
+    fits = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    return apart.unionByName(equal).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def beyond(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that roots (node, root) don't join yet."""
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, h, node, root, component_id): component_id is the smallest doc_id reachable over links; root names the component."""
     rows = cut(nodes(docs), "nodes")
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    bands = rows.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    one = rows.dropDuplicates(["node"])
+    near = cut(fingerprint_pairs(one.select("node", "fp", "n")), "near")
+    bands = one.select("node", F.explode("keys").alias("key"))
     size = bands.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot")).where("n > 1")
     met = cut(bands.join(size, "key"), "met")
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     x, y = met.where(f"n <= {SMALL}").select("key", F.col("node").alias("a")), met.where(f"n <= {SMALL}").select("key", F.col("node").alias("b"))
     star = met.where(f"n > {SMALL} and node <> pivot").select(*pair("node", "pivot"))
     pairs = cut(x.join(y, "key").where("a < b").select("a", "b").unionByName(star).distinct(), "pairs")
-    ids = met.select("node").distinct()
+    ids = met.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = with_node(docs.select("doc_id", "text"))
     texts = cut(likely_in(wanted, ids, "node").join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = cut(verified(pairs, texts), "verified")
+    links = cut(verified(near, texts), "verified")
+    rest = cut(beyond(pairs, connected_components(links)), "beyond")
+    links = links.unionByName(cut(verified(rest, texts), "verified"))
     roots = connected_components(links)
     large = met.where(f"n > {SMALL}").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")

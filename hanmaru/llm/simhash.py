@@ -44,7 +44,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    h = np.array([xxh64_intdigest(line[s:e], seed) for s, e in spans], dtype="<u8")
+    return folded(np.array([xxh64_intdigest(line[s:e], seed) for s, e in spans], dtype="<u8"))
+
+
+def folded(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: each bit that more than half of them have."""
+    h = h.astype("<u8", copy=False)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -88,8 +93,12 @@ def project(fps: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def plan(sample: np.ndarray, total: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold) of least estimated cost, by dynamic programming over thresholds for each partition count."""
+def plan(sample: np.ndarray, total: int, radius: int = RADIUS, halved: bool = False) -> list[tuple[list[int], int]]:
+    """Partitions (bits, bits to flip) of least estimated cost, by dynamic programming over thresholds for each partition count.
+
+    Both sides of a pair flip bits, so half a partition's threshold is enough (`halved`), which a wide radius can't do without.
+    """
+    flips = (lambda t: (t + 1) // 2) if halved else (lambda t: t)
     from math import comb
 
     best: tuple[float, list[tuple[list[int], int]]] = (np.inf, [])
@@ -102,9 +111,9 @@ def plan(sample: np.ndarray, total: int, radius: int = RADIUS) -> list[tuple[lis
             d = np.bitwise_count(v[:, None] ^ v[None, :])
             row = [0.0]  # threshold -1: left out
             for t in range(radius + 1):
-                probes = sum(comb(len(bits), i) for i in range(t + 1)) if t <= 2 else np.inf
+                probes = sum(comb(len(bits), i) for i in range(flips(t) + 1)) if flips(t) <= 2 else np.inf
                 # one pair in the sample stands for `scale` pairs, so a value seen nowhere still counts as a chance hit
-                meets = max(float((d <= t).sum() - len(sample)), 0.0) * scale + total**2 / 2 * probes / 2.0 ** len(bits)
+                meets = max(float((d <= t).sum() - len(sample)), 0.0) * scale + total**2 / 2 * (probes**2 if halved else probes) / 2.0 ** len(bits)
                 row.append(PROBE_COST * total * probes + meets)
             cost.append(row)
         table = {0: (0.0, [])}
@@ -118,12 +127,12 @@ def plan(sample: np.ndarray, total: int, radius: int = RADIUS) -> list[tuple[lis
             table = nxt
         c, ts = table.get(radius + 1, (np.inf, []))
         if c < best[0]:
-            best = (c, [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0])
+            best = (c, [(g, flips(t)) for g, t in zip(groups, ts, strict=True) if t >= 0])
     return best[1]
 
 
 def probe_rows(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, fp): a row for each partition value that lies within the partition's threshold of the fingerprint's own."""
+    """(key, fp): a row for each partition value that differs from the fingerprint's own in as many bits as the plan flips, or fewer."""
     from itertools import combinations
 
     flips = [np.array([sum(1 << i for i in c) for r in range(t + 1) for c in combinations(range(len(bits)), r)], np.uint64) for bits, t in parts]
@@ -216,18 +225,21 @@ def verified_links(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def linked(reps: DataFrame, radius: int = RADIUS, halved: bool = False) -> DataFrame:
+    """(a, b): links within the radius between the distinct fingerprints of reps(fp), enough to join all that are linked."""
+    total = reps.count()
+    if not total:
+        return reps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    sample = np.array([r.fp for r in reps.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    return verified_links(cut(probe_rows(reps, plan(sample, total, radius, halved)), "probes"), radius)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, h, fp long, root, component_id): component_id is the smallest doc_id reachable over links of at most radius bits,
     root names the component where no document of it has an id."""
     rows = cut(fingerprints(docs, shingle, seed), "fingerprints")
     reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints")
-    total = reps.count()
-    if total:
-        sample = np.array([r.fp for r in reps.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-        links = verified_links(cut(probe_rows(reps, plan(sample, total, radius)), "probes"), radius)
-    else:
-        links = reps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    roots = connected_components(links)
+    roots = connected_components(linked(reps, radius))
     known = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = known.join(first, "root").select("fp", "root", "component_id")

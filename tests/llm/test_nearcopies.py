@@ -42,3 +42,26 @@ def test_stage_removes_planted_near_copies(spark):
     odd = spark.createDataFrame([(None, "a b"), (None, "A  b"), (7, None), (8, " ")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()) == ["7", "None"]
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_fingerprints_find_near_copies_within_their_radius(spark, monkeypatch):
+    from hanmaru.llm import nearcopies, simhash
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioulnrstmdk") for _ in range(rng.randint(3, 9)))
+    texts = [[word() for _ in range(150)] for _ in range(40)]
+    for k in range(40):  # similarity 0.93, 0.88 and 0.83
+        copy = list(texts[k])
+        for at in range(20, 20 + 10 * (1 + k % 3), 10):
+            copy[at] = word()
+        texts.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    fps = [simhash.folded(nearcopies.shingles(t)) for _, t in rows]
+    near = {(i, j) for i in range(80) for j in range(i + 1, 80) if (fps[i] ^ fps[j]).bit_count() <= nearcopies.RADIUS}
+    assert 25 < len(near) <= 40 and all(j == i + 40 for i, j in near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = nearcopies.nodes(docs).cache()
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    assert {tuple(sorted((of[r.a], of[r.b]))) for r in nearcopies.fingerprint_pairs(nodes).collect()} == near
+    monkeypatch.setattr(nearcopies, "beyond", lambda pairs, roots: pairs.limit(0))  # the stage without MinHash
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(range(80)) - {j for _, j in near}
