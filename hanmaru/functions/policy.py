@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ NAVIGATION_PREFIXES = (
     "moveLeft", "moveRight", "moveUp", "moveDown", "moveWordLeft", "moveWordRight", "moveBackward", "moveForward",
     "moveToBeginningOf", "moveToEndOf",
 )
+#: Characters by class, all of them: printable ASCII, those that end a clause, and line ends.
+PRINTABLE, CLAUSE_ENDS, NEWLINES = "".join(map(chr, range(0x20, 0x7F))), ".?!;\n\r" + ascii_letters, "\r\n\u2028\u2029"
 WON = "₩"
 #: Key that turns real-time conversion on and off, with Control.
 TOGGLE = "a"
@@ -46,7 +50,7 @@ def commits_clause(c: Column) -> Column:
 
 
 def is_newline_text(c: Column) -> Column:
-    return c.isin("\r", "\n", "\u2028", "\u2029")
+    return c.isin(*NEWLINES)
 
 
 def is_navigation(command: Column) -> Column:

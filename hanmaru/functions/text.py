@@ -16,6 +16,9 @@ SURELY_NFC = r"^[\x00-\x7F가-힣ㄱ-ㆎ一-鿿]*\z"
 #: Hangul: syllables, compatibility jamo, jamo, and both extended jamo blocks.
 HANGUL = "가-힣ㄱ-ㆎᄀ-ᇿꥠ-ꥼힰ-ퟻ"
 
+#: One or two characters, each a user-perceived one before any other of these: ASCII, Latin letters, precomposed Hangul, ideographs.
+APART = r"^[\n\x20-\x7EÀ-ɏ가-힣一-鿿]{1,2}\z"
+
 
 def nfc_key(c: Column) -> Column:
     """The NFC form of a string: the form in which keys are joined, grouped and ordered.
@@ -32,18 +35,32 @@ def utf16_length(c: Column) -> Column:
 
 def utf16_slice(text: Column, loc: Column, size: Column) -> Column:
     """The stretch of `size` UTF-16 units from `loc` on; null if it leaves the text or cuts a character in two."""
-    raw = F.encode(text, "UTF-16BE")
+    return units_slice(F.encode(text, "UTF-16BE"), loc, size)
+
+
+def units_slice(raw: Column, loc: Column, size: Column) -> Column:
+    """utf16_slice of a text in UTF-16BE: many stretches of one text need it encoded only once."""
     part = F.substring(raw, (loc * 2 + 1).cast("int"), (size * 2).cast("int"))
     head = F.hex(F.substring(raw, (loc * 2 + 1).cast("int"), F.lit(1)))
     after = F.hex(F.substring(raw, ((loc + size) * 2 + 1).cast("int"), F.lit(1)))
     low = lambda h: h.between("DC", "DF")  # noqa: E731  the second half of a surrogate pair
-    inside = (loc >= 0) & (size >= 0) & (loc + size <= utf16_length(text))
+    inside = (loc >= 0) & (size >= 0) & (loc + size <= F.floor(F.length(raw) / 2).cast("long"))
     return F.when(inside & ~(low(head) & (size > 0)) & ~F.coalesce(low(after), F.lit(False)), F.decode(part, "UTF-16BE"))
 
 
 def hangul_tail(c: Column) -> Column:
     """The run of Hangul at the end of a string, empty if there is none."""
-    return F.regexp_extract(c, f"[{HANGUL}]+\\z", 0)
+    return F.reverse(F.regexp_extract(F.reverse(c), f"^[{HANGUL}]+", 0))
+
+
+def count_of(c: Column, chars: str) -> Column:
+    """How many characters of a string are among these."""
+    return (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+
+
+def hangul_count(c: Column) -> Column:
+    """How many characters of a string are Hangul."""
+    return (F.length(c) - F.length(F.regexp_replace(c, f"[{HANGUL}]+", ""))).cast("long")
 
 
 def graphemes(c: Column) -> Column:
@@ -52,9 +69,13 @@ def graphemes(c: Column) -> Column:
 
 
 def drop_last_grapheme(c: Column) -> Column:
-    """The string without its last user-perceived character."""
+    """The string without its last user-perceived character.
+
+    Nearly all strings end in two characters that never join, which a pattern can tell; only others are cut up whole.
+    """
     g = graphemes(c)
-    return F.when(F.size(g) > 0, F.array_join(F.slice(g, F.lit(1), F.size(g) - 1), "")).otherwise(F.lit(""))
+    cut_up = F.when(F.size(g) > 0, F.array_join(F.slice(g, F.lit(1), F.size(g) - 1), "")).otherwise(F.lit(""))
+    return F.when(F.substring(c, -2, 2).rlike(APART), F.left(c, F.length(c) - 1)).otherwise(cut_up)
 
 
 #: Conjoining jamo that have a compatibility form: leading consonants, vowels, trailing consonants (Unicode names agree).

@@ -157,11 +157,10 @@ FROM (SELECT doc_id, text, translate(text, '{LATIN}', '{HANGUL}') AS t FROM docu
 def character_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of every text by class, its Hangul tail, its jamo composed, and its length without the last character."""
     docs = T.table(spark, sf_dir, "documents").withColumn("t", F.translate("text", LATIN, HANGUL))
-    chars = F.split("t", "")
-    count = lambda rule, name: F.size(F.filter(chars, rule)).cast("long").alias(name)
+    count = lambda chars, name: X.count_of(F.col("t"), chars).alias(name)
     jamo = X.compose_jamo(F.translate("text", "abc", "각"))
     return docs.select(
-        "doc_id", count(lambda c: c.rlike(f"^[{X.HANGUL}]\\z"), "hangul"), count(P.is_printable_ascii, "printable"), count(P.commits_clause, "ends"), count(P.is_newline_text, "newlines"),
+        "doc_id", X.hangul_count(F.col("t")).alias("hangul"), count(P.PRINTABLE, "printable"), count(P.CLAUSE_ENDS, "ends"), count(P.NEWLINES, "newlines"),
         P.shown_character(F.substring("t", 1, 1)).alias("first_"), X.hangul_tail(F.col("t")).alias("tail"), F.md5(jamo).alias("composed"), X.utf16_length(X.drop_last_grapheme(F.col("text"))).alias("shorter"),
     )
 
