@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerals import normal_digits
-from ..functions.text import nfc_key, utf16_length, utf16_slice
+from ..functions.text import nfc_key, units_slice, utf16_length
 from .candidates import prefers_hangul
 
 # fixed values: part-of-speech tags whose words are looked up, and those of them that never convert unasked
@@ -18,13 +18,16 @@ ELIGIBLE = ("nng", "nnp", "nnb", "nr", "np", "sn", "vv", "vvi", "va", "vai", "vx
 NOT_UNASKED = ("np", "ic", "vx", "vxi", "xsv", "xsa", "xsai", "xsn")
 TOP_TOKENIZATIONS = 3
 NUMERIC = "[0-9,]*[0-9][0-9,]*"
+#: Spans of a text that are gathered at a time.
+PART = 32
 
 
 def numeric_spans(text: Column, pattern: str = NUMERIC) -> Column:
     """array<struct<loc, len, surface>> of the longest runs of digits and commas that hold a digit."""
     runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), utf16_length)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<loc:bigint,len:bigint,surface:string>>").alias("got"))
+    none = F.array().cast("array<struct<loc:bigint,len:bigint,surface:string>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("got"))
 
     def step(acc: Column, x: Column) -> Column:
         loc = acc["at"] + x["g"]
@@ -32,8 +35,17 @@ def numeric_spans(text: Column, pattern: str = NUMERIC) -> Column:
         span = F.struct(loc.alias("loc"), size.alias("len"), x["r"].alias("surface"))
         return F.struct((loc + size).alias("at"), F.concat(acc["got"], F.array(span)).alias("got"))
 
+    def some(acc: Column, pairs: Column) -> Column:
+        """The next pairs, gathered apart: to append each to all before it would take time by the square of their number."""
+        return F.aggregate(pairs, F.struct(acc["at"].alias("at"), none.alias("got")), step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["got"], x["got"]).alias("got")))
+
+    def parts(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(pairs) - 1, F.lit(0)), F.lit(PART)), lambda i: F.slice(pairs, i + 1, PART))
+
     pairs = F.filter(F.arrays_zip(runs.alias("r"), gaps.alias("g")), lambda x: x["r"].isNotNull())
-    return F.when(F.size(runs) > 0, F.aggregate(pairs, start, step, lambda acc: acc["got"])).otherwise(F.array().cast("array<struct<loc:bigint,len:bigint,surface:string>>"))
+    # as a variable of the lambda the pairs are made once
+    found = F.transform(F.array(pairs), lambda p: F.aggregate(parts(p), start, some, lambda acc: acc["got"]))[0]
+    return F.coalesce(found, none)
 
 
 def lookup_key(surface: Column) -> Column:
@@ -56,10 +68,12 @@ def realtime_segments(clauses: DataFrame, tokenizations: DataFrame, lookup: Data
     tokens' own.
     """
     few = tokenizations.where(F.col("result_rank") < TOP_TOKENIZATIONS)
-    flat = few.join(clauses, "clause_id").select("clause_id", "result_rank", "text", F.posexplode("tokens").alias("token_pos", "t"))
+    # a text is encoded once, not for each of its tokens
+    raw = clauses.select("clause_id", F.encode("text", "UTF-16BE").alias("raw"))
+    flat = few.join(raw, "clause_id").select("clause_id", "result_rank", "raw", F.posexplode_outer("tokens").alias("token_pos", "t"))  # not outer, a filter on the tokens would make them twice
     tokens = flat.where(F.col("t.tag").isin(*ELIGIBLE) & (F.col("t.length") > 0)).select(
         "clause_id", "result_rank", "token_pos", F.col("t.position").cast("long").alias("loc"), F.col("t.length").cast("long").alias("len"), F.col("t.tag").alias("tag"),
-        utf16_slice(F.col("text"), F.col("t.position").cast("long"), F.col("t.length").cast("long")).alias("surface"),
+        units_slice(F.col("raw"), F.col("t.position").cast("long"), F.col("t.length").cast("long")).alias("surface"),
     ).where("surface is not null")
     keyed = tokens.withColumn("lookup_key", lookup_key(F.col("surface"))).withColumn("key_k", nfc_key(F.col("lookup_key")))
     known = keyed.join(lookup, "key_k", "left")
@@ -73,7 +87,7 @@ def realtime_segments(clauses: DataFrame, tokenizations: DataFrame, lookup: Data
         "clause_id", "result_rank", F.lit(None).cast("int").alias("token_pos"), "loc", "len", "surface", lookup_key(F.col("surface")).alias("lookup_key"),
         F.lit("sn").alias("tag"), F.lit(True).alias("is_convertible"), F.lit(None).cast("string").alias("preview"),
     )
-    both = without_overlaps(words, spans, "clause_id").unionByName(numbers)
+    both = without_overlaps(words, spans, "clause_id").unionByName(numbers).repartition("clause_id")
     mine = Window.partitionBy("clause_id", "result_rank")
     by_place = F.max(F.col("token_pos").isNull()).over(mine)
     order = mine.orderBy(F.when(F.col("by_place"), F.col("loc")).otherwise(F.col("token_pos")), F.when(F.col("by_place"), -F.col("len")), "token_pos")
@@ -82,10 +96,12 @@ def realtime_segments(clauses: DataFrame, tokenizations: DataFrame, lookup: Data
 
 def best_segments(segments: DataFrame, tokenizations: DataFrame) -> DataFrame:
     """Segments of the tokenization whose convertible stretches are longest in sum; of equals, the earlier one."""
-    cover = segments.groupBy("clause_id", "result_rank").agg(F.sum(F.when(F.col("is_convertible"), F.col("len")).otherwise(0)).alias("cover"))
-    every = tokenizations.where(F.col("result_rank") < TOP_TOKENIZATIONS).select("clause_id", "result_rank").join(cover, ["clause_id", "result_rank"], "left")
-    best = every.groupBy("clause_id").agg(F.max_by("result_rank", F.struct(F.coalesce("cover", F.lit(0)), -F.col("result_rank"))).alias("result_rank"))
-    return segments.join(best, ["clause_id", "result_rank"])
+    first = tokenizations.where(F.col("result_rank") < TOP_TOKENIZATIONS).groupBy("clause_id").agg(F.min("result_rank").alias("first_rank"))
+    cover = F.sum(F.when(F.col("is_convertible"), F.col("len")).otherwise(0)).over(Window.partitionBy("clause_id", "result_rank"))
+    best = F.max(F.struct("cover", (-F.col("result_rank")).alias("place"))).over(Window.partitionBy("clause_id"))
+    # the first tokenization wins where none covers anything, even if it has no segments
+    mine = (F.col("result_rank") == -F.col("best.place")) & ((F.col("cover") > 0) | (F.col("result_rank") == F.col("first_rank")))
+    return segments.withColumn("cover", cover).withColumn("best", best).join(first, "clause_id").where(mine).select(*segments.columns)
 
 
 def manual_segments(clauses: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -96,9 +112,9 @@ def manual_segments(clauses: DataFrame, lookup: DataFrame) -> DataFrame:
     n = utf16_length(F.col("text"))
     inner = F.array_sort(F.array_distinct(F.filter(F.transform("boundaries", lambda b: b.cast("long")), lambda b: (b > 0) & (b < n))))
     edges = F.concat(F.array(F.lit(0).cast("long")), inner, F.array(n))
-    cut = clauses.where("text <> ''").select("clause_id", "text", edges.alias("e"))
-    flat = cut.select("clause_id", "text", "e", F.posexplode(F.slice("e", F.lit(1), F.size("e") - 1)).alias("k", "loc"))
-    flat = flat.withColumn("len", F.get("e", F.col("k") + 1) - F.col("loc")).withColumn("surface", utf16_slice(F.col("text"), F.col("loc"), F.col("len"))).where("len > 0 and surface is not null")
+    cut = clauses.where("text <> ''").select("clause_id", F.encode("text", "UTF-16BE").alias("raw"), edges.alias("e"))
+    flat = cut.select("clause_id", "raw", "e", F.posexplode(F.slice("e", F.lit(1), F.size("e") - 1)).alias("k", "loc"))
+    flat = flat.withColumn("len", F.get("e", F.col("k") + 1) - F.col("loc")).withColumn("surface", units_slice(F.col("raw"), F.col("loc"), F.col("len"))).where("len > 0 and surface is not null")
     keyed = flat.withColumn("lookup_key", lookup_key(F.col("surface"))).withColumn("key_k", nfc_key(F.col("lookup_key"))).join(lookup, "key_k", "left")
     number = normal_digits(F.col("surface")).isNotNull()
     order = Window.partitionBy("clause_id").orderBy("loc")
