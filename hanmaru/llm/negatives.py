@@ -6,8 +6,9 @@ distance sqrt(|anchor|**2 + M**2 - 2 s): a window of scores is an annulus around
 The top of the tree is grown on a bounded sample and splits space into regions; every row goes to its region, regions of many
 rows are dealt over several shards, and each shard's task grows the rest of the tree over all its rows. Anchors travel to the
 shards whose region meets their annulus, first to the nearest region alone, then to the others that may still hold something
-better than the k-th row found there. In a shard a queue yields nodes nearest first, and a search ends when no node left may
-hold a row of the annulus that belongs among the first k. Anchors of a shard that very many meet are dealt over copies of it.
+better than the k-th row found there. In a shard a queue yields an anchor's nearest leaves, and from the bound found there a
+block of anchors goes down the tree together; each leaves out the nodes that can't hold a row of its annulus that belongs
+among its first k. Anchors of a shard that very many meet are dealt over copies of it.
 Positives are found in the same way, with the window of all scores and rows of the anchor's own label.
 
 Only the top of the tree (LEAVES vectors) and counts of rows by region come to the driver. Scores are whole numbers, computed
@@ -40,6 +41,8 @@ LOW, HIGH = 50, 95
 SHARD_ROWS, LEAVES, SAMPLE, LEAF = 20_000, 512, 4096, 96
 #: Anchors that one copy of a shard serves, and that are searched together.
 ANCHORS, BLOCK = 20_000, 256
+#: Leaves that a search reads for one anchor alone, and rows of a leaf that are scored at a time.
+FIRST, PIECE = 2, 2048
 SLACK = 1e-6
 TOP = (1 << 63) - 1
 WINDOWS = "array<struct<id:bigint,hi:bigint,lo:bigint>>"
@@ -110,61 +113,90 @@ class Shard:
         self.largest = float(np.abs(x).max(initial=0))
 
     def search(self, queries: np.ndarray, own: list[int], label: list[int], windows: list[list[tuple[int, int, int]]], k: int, same: bool) -> Iterator[tuple[int, int, int, int]]:
-        """(query, window, score, id): the first k rows of each window (id, hi, lo) of each query."""
+        """(query, window, score, id): the first k rows of each window (id, hi, lo) of each query.
+
+        A query looks into its FIRST nearest leaves by itself, which gives it a bound. Then all queries go down the tree
+        together, so that a leaf's scores are one product for all that may still find a row in it.
+        """
         total = span(queries, self.most)
         dv = np.where(np.isfinite(d := to_vantages(queries, total, self.vantages)), d, np.nan)
         plain = self.largest * np.abs(queries).max(initial=0) * max(1, queries.shape[1]) < EXACT_SUM
-        for q in range(len(queries)):
-            yield from self.one(q, queries[q], own[q], label[q], windows[q], k, same, float(total[q]), dv[q].tolist(), plain)
-
-    def one(self, q, x, own, label, windows, k, same, total, dv, plain) -> Iterator[tuple[int, int, int, int]]:
-        windows = [w for w in windows if w[2] <= w[1]]
-        if not windows:
-            return
-        slack = SLACK * (total**0.5 + 1)
-        best: list[list[tuple[int, int]]] = [[] for _ in windows]  # (-score, id), first ones first
-        need = [lo for _, _, lo in windows]
-        least, most = min(need), max(hi for _, hi, _ in windows)
-        near, edge = float(far(total, most)) - slack, float(far(total, least)) + slack
-        heap: list[tuple[float, int]] = [(0.0, 0 if self.nodes else ~0)]
-        while heap:
-            bound, node = heapq.heappop(heap)
-            if bound > edge:
-                break
-            if node >= 0:
-                _, a, b, c, z, inside, outside = self.nodes[node]
-                d = dv[node]
-                if d != d:  # no bound where numbers run over
-                    heapq.heappush(heap, (bound, inside))
-                    heapq.heappush(heap, (bound, outside))
-                    continue
-                for lo, hi, child in ((a, b, inside), (c, z, outside)):
-                    low = max(bound, d - hi, lo - d)
-                    if low <= edge and d + hi >= near:
-                        heapq.heappush(heap, (low, child))
-                continue
-            a, z = self.leaves[~node]
-            rows = self.x[a:z]
-            s = (rows @ x).astype(np.int64) if plain else exact_scores(np.broadcast_to(x, rows.shape), rows)
-            fits = ((self.label[a:z] == label) == same) & (s >= least) & (s <= most)
+        windows = [[w for w in ws if w[2] <= w[1]] for ws in windows]
+        slack = SLACK * (np.sqrt(total) + 1)
+        best: list[list[list[tuple[int, int]]]] = [[[] for _ in ws] for ws in windows]  # (-score, id), first ones first
+        need = [[lo for _, _, lo in ws] for ws in windows]
+        labels = np.asarray(label)
+        least = np.array([min(x, default=0) for x in need], np.int64)
+        most = np.array([max((hi for _, hi, _ in ws), default=0) for ws in windows], np.int64)
+        near, edge = far(total, most) - slack, far(total, least) + slack
+        seen = np.zeros((len(queries), len(self.leaves)), bool)
+
+        def take(q: int, rows: list[int], scores: list[int]) -> None:
             changed = False
-            for i in np.flatnonzero(fits).tolist():
-                score = int(s[i])
-                for w, (_, hi, _) in enumerate(windows):
-                    if need[w] <= score <= hi:
-                        got = best[w]
-                        for row in self.ids[a + i]:
-                            if row != own:
+            for i, score in zip(rows, scores, strict=True):
+                for w, (_, hi, _) in enumerate(windows[q]):
+                    if need[q][w] <= score <= hi:
+                        got = best[q][w]
+                        for row in self.ids[i]:
+                            if row != own[q]:
                                 insort(got, (-score, row))
                         del got[k:]
-                        if len(got) == k and -got[-1][0] > need[w]:
-                            need[w], changed = -got[-1][0], True
-            if changed and min(need) > least:
-                least = min(need)
-                edge = float(far(total, least)) + slack
-        for (w, _, _), got in zip(windows, best, strict=True):
-            for score, row in got:
-                yield q, w, -score, row
+                        if len(got) == k and -got[-1][0] > need[q][w]:
+                            need[q][w], changed = -got[-1][0], True
+            if changed and (low := min(need[q])) > least[q]:
+                least[q] = low
+                edge[q] = far(total[q], low) + slack[q]
+
+        def read(leaf: int, qs: np.ndarray) -> None:
+            qs = qs[~seen[qs, leaf]]
+            seen[qs, leaf] = True
+            first, end = self.leaves[leaf]
+            for a in range(first, end if len(qs) else first, PIECE):
+                z = min(a + PIECE, end)
+                rows = self.x[a:z]
+                s = (queries[qs] @ rows.T).astype(np.int64) if plain else np.stack([exact_scores(np.broadcast_to(x, rows.shape), rows) for x in queries[qs]])
+                fits = ((self.label[a:z] == labels[qs, None]) == same) & (s >= least[qs, None]) & (s <= most[qs, None])
+                for i in np.flatnonzero(fits.any(axis=1)).tolist():
+                    at = np.flatnonzero(fits[i])
+                    take(int(qs[i]), (a + at).tolist(), s[i, at].tolist())
+
+        def children(node: int, qs: np.ndarray, bound: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+            """Both children with the bounds of queries, and whether these reach their annulus; distances that ran over bound nothing."""
+            _, a, b, c, z, inside, outside = self.nodes[node]
+            d = dv[qs, node]
+            return [(child, np.fmax(bound, np.fmax(d - hi, lo - d)), ~(d + hi < near[qs])) for lo, hi, child in ((a, b, inside), (c, z, outside))]
+
+        def walk(node: int, qs: np.ndarray, bound: np.ndarray) -> None:
+            if node < 0:
+                read(~node, qs)
+                return
+            for child, low, reach in sorted(children(node, qs, bound), key=lambda x: float(x[1].sum())):
+                on = reach & (low <= edge[qs])
+                if on.any():
+                    walk(child, qs[on], low[on])
+
+        asking = np.flatnonzero([bool(ws) for ws in windows])
+        for q in asking:
+            one = np.array([q])
+            heap: list[tuple[float, int]] = [(0.0, 0 if self.nodes else ~0)]
+            left = FIRST
+            while heap and left:
+                bound, node = heapq.heappop(heap)
+                if bound > edge[q]:
+                    break
+                if node < 0:
+                    read(~node, one)
+                    left -= 1
+                    continue
+                for child, low, reach in children(node, one, np.array([bound])):
+                    if reach[0] and low[0] <= edge[q]:
+                        heapq.heappush(heap, (float(low[0]), child))
+        if len(asking):
+            walk(0 if self.nodes else ~0, asking, np.zeros(len(asking)))
+        for q in asking.tolist():
+            for (w, _, _), got in zip(windows[q], best[q], strict=True):
+                for score, row in got:
+                    yield q, w, -score, row
 
 
 def regions(nodes: list) -> list[list[tuple[int, bool, float]]]:

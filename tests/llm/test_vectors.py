@@ -107,3 +107,22 @@ def test_lengths_that_dont_divide_are_left_out(spark):
 def test_as_pandas_types(spark):
     got = codebooks.compressed(table(spark, odd_rows())).toPandas()
     assert got["error"].dtype == np.int64 and isinstance(got, pd.DataFrame)
+
+
+def test_a_block_reads_each_leaf_about_once():
+    rng = np.random.default_rng(3)
+    x, queries = np.floor(rng.normal(size=(3000, 32)) * 256), np.floor(rng.normal(size=(64, 32)) * 256)
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, at):
+            Counted.reads += 1
+            return super().__getitem__(at)
+
+    shard = negatives.Shard(x, np.arange(3000) % 10, [[i] for i in range(3000)], float((x * x).sum(axis=1).max()))
+    shard.leaves = Counted(shard.leaves)
+    window = [(0, negatives.TOP, -negatives.TOP - 1)]
+    found = list(shard.search(queries, [-1] * 64, [1] * 64, [window] * 64, 5, True))
+    assert len(found) == 320
+    assert Counted.reads <= 64 * negatives.FIRST + 2 * len(shard.leaves)
