@@ -185,6 +185,11 @@ def beyond(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after more links (a, b): components that are known start as stars."""
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, h, node, root, component_id): component_id is the smallest doc_id reachable over links; root names the component."""
     rows = cut(nodes(docs), "nodes")
@@ -202,14 +207,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     wanted = with_node(docs.select("doc_id", "text"))
     texts = cut(likely_in(wanted, ids, "node").join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = cut(verified(near, texts), "verified")
-    rest = cut(beyond(pairs, connected_components(links)), "beyond")
-    links = links.unionByName(cut(verified(rest, texts), "verified"))
     roots = connected_components(links)
+    rest = cut(beyond(pairs, roots), "beyond")
+    roots = joined(roots, cut(verified(rest, texts), "verified"))
     large = met.where(f"n > {SMALL}").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     apart = cut(large.join(several, "key", "left_semi"), "apart")
     if apart.limit(1).count():
-        roots = connected_components(links.unionByName(cut(links_apart(apart, texts), "links_apart")))
+        roots = joined(roots, cut(links_apart(apart, texts), "links_apart"))
     known = reps.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = known.join(first, "root").select("node", "root", "component_id")
